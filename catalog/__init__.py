@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 from typing import NamedTuple
 
-SECTIONS = ("bars", "series")
+SECTIONS = ("bars", "series", "contagion", "evaluation")
 
 
 class Catalog(NamedTuple):

@@ -17,9 +17,16 @@ from tickerloom.sources import star
 BAR_COLUMNS = "symbol, date, round(close, 6) AS close, volume"
 
 
+@query("daily_bars", using("bars", body="""
+SELECT symbol, date, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close,
+       volume, quote_asset_volume, number_of_trades FROM bars"""))
+def daily_bars(spark, folder):
+    return rounded(star.bars(spark, folder))
+
+
 @query("filter_suffix", using("bars", body="SELECT symbol, date, round(close, 6) AS close, symbol LIKE '%USDT' AS is_usd FROM bars"))
 def filter_suffix(spark, folder):
-    both = star.bars(spark, folder)
+    both = frames.bars(spark, folder)
     usd = both.filter(B.is_usd()).withColumn("is_usd", F.lit(True))
     other = both.filter(~B.is_usd()).withColumn("is_usd", F.lit(False))
     return rounded(usd.unionByName(other).select("symbol", "date", "close", "is_usd"))
@@ -27,23 +34,23 @@ def filter_suffix(spark, folder):
 
 @query("filter_eq_project", using("bars", body="SELECT date, round(close, 6) AS btc_usd_price FROM bars WHERE symbol = 'BTCUSDT'"))
 def filter_eq_project(spark, folder):
-    return rounded(B.bridge_prices(star.bars(spark, folder)))
+    return rounded(B.bridge_prices(frames.bars(spark, folder)))
 
 
 @query("filter_isin", using("usd_bars", body="SELECT symbol, date, round(close_usd, 6) AS close_usd FROM usd_bars WHERE symbol IN ('BTCUSDT', 'B7USDT')"))
 def filter_isin(spark, folder):
-    chosen = star.usd_bars(spark, folder).filter(F.col("symbol").isin("BTCUSDT", "B7USDT"))
+    chosen = frames.usd_bars(spark, folder).filter(F.col("symbol").isin("BTCUSDT", "B7USDT"))
     return rounded(chosen.select("symbol", "date", "close_usd"))
 
 
 @query("filter_trailing_days", using("usd_bars", body="SELECT symbol, date, round(close_usd, 6) AS close_usd FROM usd_bars WHERE date >= (SELECT max(date) FROM usd_bars) - 30"))
 def filter_trailing_days(spark, folder):
-    return rounded(S.trailing_days(star.usd_bars(spark, folder)).select("symbol", "date", "close_usd"))
+    return rounded(S.trailing_days(frames.usd_bars(spark, folder)).select("symbol", "date", "close_usd"))
 
 
 @query("filter_latest_date", using("usd_bars", body="SELECT symbol, date, round(close_usd, 6) AS close_usd FROM usd_bars WHERE date = (SELECT max(date) FROM usd_bars)"))
 def filter_latest_date(spark, folder):
-    return rounded(S.at_latest_date(star.usd_bars(spark, folder)).select("symbol", "date", "close_usd"))
+    return rounded(S.at_latest_date(frames.usd_bars(spark, folder)).select("symbol", "date", "close_usd"))
 
 
 @query("case_guard", """
@@ -68,7 +75,7 @@ FROM usd_bars WINDOW w AS (PARTITION BY symbol ORDER BY date)"""
 
 @query("fill_per_column", using("usd_bars", body=LAGGED))
 def fill_per_column(spark, folder):
-    wide = R.with_returns(star.usd_bars(spark, folder)).select("symbol", "date", "prev_close_usd", "close_usd_30d_ago")
+    wide = R.with_returns(frames.usd_bars(spark, folder)).select("symbol", "date", "prev_close_usd", "close_usd_30d_ago")
     return rounded(guards.fill_columns(wide, {"prev_close_usd": 0.0, "close_usd_30d_ago": -1.0}))
 
 
@@ -77,13 +84,13 @@ SELECT symbol, date, close_usd_30d_ago FROM (
   SELECT symbol, date, round(lag(close_usd, 30) OVER (PARTITION BY symbol ORDER BY date), 6) AS close_usd_30d_ago
   FROM usd_bars) WHERE close_usd_30d_ago IS NOT NULL AND date IS NOT NULL"""))
 def drop_null_keys(spark, folder):
-    wide = R.with_returns(star.usd_bars(spark, folder)).select("symbol", "date", "close_usd_30d_ago")
+    wide = R.with_returns(frames.usd_bars(spark, folder)).select("symbol", "date", "close_usd_30d_ago")
     return rounded(guards.drop_null_keys(wide, ("close_usd_30d_ago", "date")))
 
 
 @query("ensure_columns", using("usd_bars", body="SELECT symbol, date, round(volume_usd, 6) AS volume_usd, 0.0::DOUBLE AS btc_return FROM usd_bars"))
 def ensure_columns(spark, folder):
-    padded = guards.ensure_columns(star.usd_bars(spark, folder), {"volume_usd": 1.0, "btc_return": 0.0})
+    padded = guards.ensure_columns(frames.usd_bars(spark, folder), {"volume_usd": 1.0, "btc_return": 0.0})
     return rounded(padded.select("symbol", "date", "volume_usd", "btc_return"))
 
 
@@ -93,7 +100,7 @@ SELECT symbol, date, round(greatest(-0.5, least(5.0, daily_return)), 6) AS model
        round(greatest(1e-9, close_usd), 6) AS price
 FROM analyzed"""))
 def clip(spark, folder):
-    df = R.with_returns(star.usd_bars(spark, folder))
+    df = R.with_returns(frames.usd_bars(spark, folder))
     return rounded(
         df.select(
             "symbol",
@@ -110,7 +117,7 @@ SELECT symbol, date, round(close_usd, 6) AS close_usd FROM usd_bars WHERE symbol
   SELECT symbol FROM usd_bars GROUP BY symbol
   HAVING count(*) >= 1000 AND stddev_pop(close_usd) / (avg(abs(close_usd)) + 1e-9) >= 0.32)"""))
 def series_quality_gate(spark, folder):
-    gated = S.series_quality_gate(star.usd_bars(spark, folder), min_rows=1000, min_variation=0.32)
+    gated = S.series_quality_gate(frames.usd_bars(spark, folder), min_rows=1000, min_variation=0.32)
     return rounded(gated.select("symbol", "date", "close_usd"))
 
 
@@ -125,14 +132,14 @@ def usable_rows_gate(spark, folder):
 SELECT symbol, date, round(close, 6) AS close FROM twin_bars b WHERE symbol LIKE '%BTC' AND NOT EXISTS (
   SELECT 1 FROM twin_bars u WHERE u.symbol = regexp_replace(b.symbol, 'BTC$', 'USDT'))"""))
 def anti_join_existing_usd(spark, folder):
-    return rounded(B.without_usd_pair(star.bars_with_twins(spark, folder)).select("symbol", "date", "close"))
+    return rounded(B.without_usd_pair(frames.bars_with_twins(spark, folder)).select("symbol", "date", "close"))
 
 
 @query("bridge_convert", using("bars", body="""
 SELECT b.symbol, b.date, round(b.close * x.close, 6) AS close_usd, round(b.volume * x.close, 6) AS volume_usd
 FROM bars b JOIN bars x ON x.symbol = 'BTCUSDT' AND x.date = b.date WHERE b.symbol LIKE '%BTC'"""))
 def bridge_convert(spark, folder):
-    bars = star.bars(spark, folder)
+    bars = frames.bars(spark, folder)
     other = bars.filter(~B.is_usd())
     return rounded(B.bridge_convert(other, B.bridge_prices(bars)).select("symbol", "date", "close_usd", "volume_usd"))
 
@@ -151,26 +158,26 @@ HAVING count(date) >= 0.6 * (SELECT count(DISTINCT date) FROM usd_bars)"""
 
 @query("coverage_by_symbol", using("usd_bars", body=COVERED))
 def coverage_by_symbol(spark, folder):
-    return S.coverage(star.usd_bars(spark, folder), 0.6)
+    return S.coverage(frames.usd_bars(spark, folder), 0.6)
 
 
 @query("semi_join_coverage", using("usd_bars", body=f"""
 SELECT symbol, date, round(close_usd, 6) AS close_usd FROM usd_bars
 WHERE date = (SELECT max(date) FROM usd_bars) AND symbol IN (SELECT symbol FROM ({COVERED}))"""))
 def semi_join_coverage(spark, folder):
-    usd = star.usd_bars(spark, folder)
+    usd = frames.usd_bars(spark, folder)
     kept = S.semi_join_coverage(S.at_latest_date(usd), S.coverage(usd, 0.6))
     return rounded(kept.select("symbol", "date", "close_usd"))
 
 
 @query("max_date", using("usd_bars", body="SELECT max(date) AS max_date FROM usd_bars"))
 def max_date(spark, folder):
-    return S.max_date(star.usd_bars(spark, folder))
+    return S.max_date(frames.usd_bars(spark, folder))
 
 
 @query("count_distinct_symbols", using("usd_bars", body="SELECT count(DISTINCT symbol) AS n_symbols, count(DISTINCT date) AS n_dates FROM usd_bars"))
 def count_distinct_symbols(spark, folder):
-    return star.usd_bars(spark, folder).agg(
+    return frames.usd_bars(spark, folder).agg(
         F.count_distinct("symbol").alias("n_symbols"), F.count_distinct("date").alias("n_dates")
     )
 
@@ -179,7 +186,7 @@ def count_distinct_symbols(spark, folder):
 SELECT symbol, count(*) AS n_rows, round(stddev_pop(close_usd) / (avg(abs(close_usd)) + 1e-9), 6) AS cv
 FROM usd_bars GROUP BY symbol"""))
 def series_cv(spark, folder):
-    return rounded(S.series_variation(star.usd_bars(spark, folder)))
+    return rounded(S.series_variation(frames.usd_bars(spark, folder)))
 
 
 @query("union_usd", using("bars", body="""
@@ -188,7 +195,7 @@ UNION ALL
 SELECT b.symbol, b.date, round(b.close * x.close, 6) FROM bars b JOIN bars x ON x.symbol = 'BTCUSDT' AND x.date = b.date
 WHERE b.symbol LIKE '%BTC'"""))
 def union_usd(spark, folder):
-    bars = star.bars(spark, folder)
+    bars = frames.bars(spark, folder)
     native = bars.filter(B.is_usd()).withColumns({"close_usd": F.col("close"), "volume_usd": F.col("volume")})
     converted = B.bridge_convert(bars.filter(~B.is_usd()), B.bridge_prices(bars))
     return rounded(B.union_usd(native, converted).select("symbol", "date", "close_usd"))
@@ -198,7 +205,7 @@ def union_usd(spark, folder):
 SELECT symbol, date, round(CASE WHEN date > (SELECT max(date) FROM bars) - 60 THEN close * 1.01 ELSE close END, 6) AS close, volume
 FROM bars"""))
 def dedup_key(spark, folder):
-    monthly = star.bars(spark, folder).select("symbol", "date", "close", "volume")
+    monthly = frames.bars(spark, folder).select("symbol", "date", "close", "volume")
     recent = monthly.filter(F.col("date") > F.date_sub(S.max_date(monthly).scalar(), 60))
     daily = recent.withColumn("close", F.col("close") * 1.01)
     open_time = F.unix_millis(F.col("date").cast("timestamp"))
@@ -213,26 +220,26 @@ def dedup_key(spark, folder):
 SELECT date, symbol, round(close, 6) AS close, round(volume, 6) AS volume, round(close_usd, 6) AS close_usd,
        round(volume_usd, 6) AS volume_usd FROM twin_usd_bars"""))
 def normalize_usd(spark, folder):
-    return rounded(B.normalize_usd(star.bars_with_twins(spark, folder)))
+    return rounded(B.normalize_usd(frames.bars_with_twins(spark, folder)))
 
 
 @query("distinct_symbols", using("usd_bars", body="SELECT DISTINCT symbol FROM usd_bars ORDER BY symbol"))
 def distinct_symbols(spark, folder):
-    return star.usd_bars(spark, folder).select("symbol").distinct().orderBy("symbol")
+    return frames.usd_bars(spark, folder).select("symbol").distinct().orderBy("symbol")
 
 
 @query("future_dates", using("usd_bars", body="""
 SELECT symbol, CAST(unnest(generate_series(last + INTERVAL 1 DAY, last + INTERVAL 365 DAY, INTERVAL 1 DAY)) AS DATE) AS date
 FROM (SELECT symbol, max(date) AS last FROM usd_bars GROUP BY symbol)"""))
 def future_dates(spark, folder):
-    last = star.usd_bars(spark, folder).groupBy("symbol").agg(F.max("date").alias("last"))
+    last = frames.usd_bars(spark, folder).groupBy("symbol").agg(F.max("date").alias("last"))
     days = F.sequence(F.date_add("last", 1), F.date_add("last", 365))
     return last.select("symbol", F.explode(days).alias("date"))
 
 
 @query("sort_series", using("usd_bars", body="SELECT symbol, date, round(close_usd, 6) AS close_usd FROM usd_bars ORDER BY symbol, date"))
 def sort_series(spark, folder):
-    return rounded(star.usd_bars(spark, folder).select("symbol", "date", "close_usd")).orderBy("symbol", "date")
+    return rounded(frames.usd_bars(spark, folder).select("symbol", "date", "close_usd")).orderBy("symbol", "date")
 
 
 @query("label_distribution", using("labelled", body="""

@@ -2,16 +2,49 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from tickerloom.operators.bars import normalize_usd
+from tickerloom.operators.evaluation import fold_metrics, symbol_metrics
 from tickerloom.operators.features import feature_frame, with_model_return
 from tickerloom.operators.labels import labelled_panel, persistence_prediction, walk_forward_folds
-from tickerloom.operators.returns import analyze, join_market_factor, market_factor
+from tickerloom.operators.returns import analyze, join_market_factor, market_factor, scored_series
 from tickerloom.sources import star
+from tickerloom.workspace import fresh_path, settle, stage
+
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def bars(spark: SparkSession, folder: str) -> DataFrame:
+    """Bars of a folder, aggregated from the trades once per application and read from the shared folder after
+    that, as every stage table is."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key in _STORED:
+        try:
+            return settle(spark).read.parquet(_STORED[key])
+        except AnalysisException:  # the stored copy is gone
+            del _STORED[key]
+    path = fresh_path(spark, "bars")
+    star.bars(spark, folder).write.parquet(path)
+    _STORED[key] = path
+    return spark.read.parquet(path)
+
+
+def bars_with_twins(spark: SparkSession, folder: str) -> DataFrame:
+    return star.with_twins(bars(spark, folder))
+
+
+def usd_bars(spark: SparkSession, folder: str) -> DataFrame:
+    return normalize_usd(bars(spark, folder))
+
+
+def scored(spark: SparkSession, folder: str) -> DataFrame:
+    return scored_series(usd_bars(spark, folder))
 
 
 def panel_input(spark: SparkSession, folder: str) -> DataFrame:
-    usd = star.usd_bars(spark, folder)
+    usd = usd_bars(spark, folder)
     return join_market_factor(usd, market_factor(analyze(usd)))
 
 
@@ -33,3 +66,8 @@ def predicted(spark: SparkSession, folder: str) -> DataFrame:
 
 def folded(spark: SparkSession, folder: str) -> DataFrame:
     return walk_forward_folds(predicted(spark, folder))
+
+
+def metrics(spark: SparkSession, folder: str) -> DataFrame:
+    panel = stage(predicted(spark, folder), "predicted")
+    return stage(symbol_metrics(fold_metrics(walk_forward_folds(panel)), panel), "metrics")

@@ -12,7 +12,6 @@ from tickerloom.operators import labels as L
 from tickerloom.operators import ranking as K
 from tickerloom.operators import returns as R
 from tickerloom.operators.bars import dedup_key
-from tickerloom.sources import star
 
 
 def scored_query(name: str, *columns: str):
@@ -21,7 +20,7 @@ def scored_query(name: str, *columns: str):
 
     @query(name, using("scored", body=f"SELECT symbol, date, {shown} FROM scored"))
     def run(spark, folder):
-        return rounded(star.scored(spark, folder).select("symbol", "date", *columns))
+        return rounded(frames.scored(spark, folder).select("symbol", "date", *columns))
 
 
 scored_query("prev_close", "prev_close_usd")
@@ -157,21 +156,21 @@ FROM scored WHERE date = (SELECT max(date) FROM scored) ORDER BY scored.safety_s
 
 @query("top10_safest", TOP10)
 def top10_safest(spark, folder):
-    return rounded(K.top_safest(star.scored(spark, folder)))
+    return rounded(K.top_safest(frames.scored(spark, folder)))
 
 
 @query("risk_scatter", using("scored", body="""
 SELECT symbol, round(volatility_30d, 6) AS volatility_30d, round(safety_score, 6) AS safety_score
 FROM scored WHERE date = (SELECT max(date) FROM scored)"""))
 def risk_scatter(spark, folder):
-    return rounded(K.risk_scatter(star.scored(spark, folder)))
+    return rounded(K.risk_scatter(frames.scored(spark, folder)))
 
 
 @query("compare_series", using("scored", body="""
 SELECT symbol, date, round(close_usd, 6) AS close_usd, round(volatility_30d, 6) AS volatility_30d
 FROM scored WHERE symbol IN ('BTCUSDT', 'B2USDT') ORDER BY symbol, date"""))
 def compare_series(spark, folder):
-    return rounded(K.compare_series(star.scored(spark, folder), "BTCUSDT", "B2USDT"))
+    return rounded(K.compare_series(frames.scored(spark, folder), "BTCUSDT", "B2USDT"))
 
 
 @query("top30_by_volume", using("scored", body="""
@@ -181,7 +180,7 @@ WHERE date = (SELECT max(date) FROM scored) AND symbol IN (
   HAVING count(date) >= 0.6 * (SELECT count(DISTINCT date) FROM scored))
 ORDER BY scored.avg_volume_30d DESC, symbol LIMIT 30"""))
 def top30_by_volume(spark, folder):
-    top = K.top_by_volume(star.scored(spark, folder), min_coverage=0.6)
+    top = K.top_by_volume(frames.scored(spark, folder), min_coverage=0.6)
     return rounded(top.select("symbol", "avg_volume_30d"))
 
 
@@ -189,7 +188,7 @@ def top30_by_volume(spark, folder):
 SELECT symbol, round(volume_usd, 6) AS volume_usd, round(return_30d, 6) AS return_30d FROM scored
 WHERE date = (SELECT max(date) FROM scored) ORDER BY scored.return_30d DESC, symbol LIMIT 12"""))
 def leaderboard(spark, folder):
-    latest = K.leaderboard(star.scored(spark, folder), "return_30d", 12)
+    latest = K.leaderboard(frames.scored(spark, folder), "return_30d", 12)
     return rounded(latest.select("symbol", "volume_usd", "return_30d"))
 
 
@@ -199,6 +198,6 @@ SELECT '{c}' AS measure, count({c}) AS n, round(avg({c}), 4) AS mean, round(stdd
        round(quantile_disc({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max FROM scored"""
     for c in ("volatility_7d", "volatility_30d", "return_30d", "safety_score"))))
 def describe_scores(spark, folder):
-    stats = K.describe(star.scored(spark, folder), ["volatility_7d", "volatility_30d", "return_30d", "safety_score"])
+    stats = K.describe(frames.scored(spark, folder), ["volatility_7d", "volatility_30d", "return_30d", "safety_score"])
     return stats.select("measure", "n", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"),
                         *[F.round(c, 6).alias(c) for c in ("min", "q25", "q50", "q75", "max")])

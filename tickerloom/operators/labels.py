@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tickerloom.operators.features import HISTORY, feature_rows
-from tickerloom.operators.selection import MIN_ROWS, MIN_VARIATION, variation
+from tickerloom.operators.selection import MIN_ROWS, MIN_VARIATION, with_series_quality
 
 UP, DOWN, NEUTRAL = "UP", "DOWN", "NEUTRAL"
 CLASSES = [UP, DOWN, NEUTRAL]
@@ -54,12 +54,6 @@ def direction(value: Column) -> Column:
     )
 
 
-def with_series_quality(df: DataFrame) -> DataFrame:
-    return df.withColumns(
-        {"n_rows": F.count(F.lit(1)).over(whole_series()), "cv": variation(over=whole_series())}
-    )
-
-
 def labelled_panel(
     frame: DataFrame,
     min_rows: int = MIN_ROWS,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 MIN_ROWS = 180
@@ -53,22 +53,32 @@ def series_variation(df: DataFrame, price: str = "close_usd") -> DataFrame:
     return df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), variation(price).alias("cv"))
 
 
+def with_series_quality(df: DataFrame, price: str = "close_usd") -> DataFrame:
+    """Row count and variation of the own series on every row.
+
+    Windows instead of an aggregate joined back: the input is not computed twice, and the partitioning by symbol
+    is the one the following window operators need anyway.
+    """
+    own = Window.partitionBy("symbol")
+    return df.withColumns({"n_rows": F.count(F.lit(1)).over(own), "cv": variation(price, own)})
+
+
 def series_quality_gate(
     df: DataFrame, min_rows: int = MIN_ROWS, min_variation: float | None = MIN_VARIATION
 ) -> DataFrame:
     """Keep series that are long enough and, unless ``min_variation`` is None, move enough."""
-    good = series_variation(df).filter(F.col("n_rows") >= min_rows)
+    good = with_series_quality(df).filter(F.col("n_rows") >= min_rows)
     if min_variation is not None:
         good = good.filter(F.col("cv") >= min_variation)
-    return df.join(good.select("symbol"), "symbol", "left_semi")
+    return good.select(*df.columns)
 
 
 def usable_rows_gate(
     labelled: DataFrame, min_rows: int = MIN_FEATURE_ROWS, min_labels: int = MIN_LABELS
 ) -> DataFrame:
-    good = (
-        labelled.groupBy("symbol")
-        .agg(F.count(F.lit(1)).alias("n"), F.count_distinct("label").alias("k"))
-        .filter((F.col("n") >= min_rows) & (F.col("k") >= min_labels))
+    """Keep series with enough feature rows and enough different labels."""
+    own = Window.partitionBy("symbol")
+    counted = labelled.withColumns(
+        {"_n": F.count(F.lit(1)).over(own), "_k": F.size(F.collect_set("label").over(own))}
     )
-    return labelled.join(good.select("symbol"), "symbol", "left_semi")
+    return counted.filter((F.col("_n") >= min_rows) & (F.col("_k") >= min_labels)).drop("_n", "_k")

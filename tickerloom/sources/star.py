@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.operators.bars import normalize_usd
-from tickerloom.operators.returns import scored_series
 from tickerloom.workspace import settle
 
 
@@ -56,18 +54,9 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def bars_with_twins(spark: SparkSession, folder: str) -> DataFrame:
+def with_twins(all_bars: DataFrame) -> DataFrame:
     """Bars plus bridge-quoted copies of three USD series, which a conversion has to leave out."""
-    all_bars = bars(spark, folder)
     twins = all_bars.filter(F.col("symbol").isin("B2USDT", "B3USDT", "B4USDT")).withColumn(
         "symbol", F.regexp_replace("symbol", "USDT$", "BTC")
     )
     return all_bars.unionByName(twins)
-
-
-def usd_bars(spark: SparkSession, folder: str) -> DataFrame:
-    return normalize_usd(bars(spark, folder))
-
-
-def scored(spark: SparkSession, folder: str) -> DataFrame:
-    return scored_series(usd_bars(spark, folder))
