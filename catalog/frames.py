@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
+from tickerloom.learning.classifier import ClassifierSettings, generate_signals
+from tickerloom.learning.forecast import forecast_trend
+from tickerloom.learning.quantile import QuantileSettings
 from tickerloom.operators.bars import normalize_usd
 from tickerloom.operators.evaluation import fold_metrics, symbol_metrics
 from tickerloom.operators.features import feature_frame, with_model_return
@@ -13,24 +18,27 @@ from tickerloom.operators.returns import analyze, join_market_factor, market_fac
 from tickerloom.sources import star
 from tickerloom.workspace import fresh_path, settle, stage
 
-_STORED: dict[tuple[str, str], str] = {}
+_STORED: dict[tuple[str, str, str], str] = {}
 
 
-def bars(spark: SparkSession, folder: str) -> DataFrame:
-    """Bars of a folder, aggregated from the trades once per application and read from the shared folder after
-    that, as every stage table is."""
-    key = (spark.sparkContext.applicationId, folder)
+def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """A stage table of a folder, written once per application and read from the shared folder after that."""
+    key = (spark.sparkContext.applicationId, folder, name)
     if key in _STORED:
         try:
             return settle(spark).read.parquet(_STORED[key])
         except AnalysisException:  # the stored copy is gone
             del _STORED[key]
-    path = fresh_path(spark, "bars")
-    star.bars(spark, folder).write.parquet(path)
+    path = fresh_path(spark, name)
+    build().write.parquet(path)
     _STORED[key] = path
     return spark.read.parquet(path)
 
 
+def bars(spark: SparkSession, folder: str) -> DataFrame:
+    return stored(spark, folder, "bars", lambda: star.bars(spark, folder))
+
+
 def bars_with_twins(spark: SparkSession, folder: str) -> DataFrame:
     return star.with_twins(bars(spark, folder))
 
@@ -71,3 +79,13 @@ def folded(spark: SparkSession, folder: str) -> DataFrame:
 def metrics(spark: SparkSession, folder: str) -> DataFrame:
     panel = stage(predicted(spark, folder), "predicted")
     return stage(symbol_metrics(fold_metrics(walk_forward_folds(panel)), panel), "metrics")
+
+
+def signals(spark: SparkSession, folder: str) -> DataFrame:
+    settings = ClassifierSettings(rounds=5)
+    return stored(spark, folder, "signals", lambda: generate_signals(labelled(spark, folder), settings))
+
+
+def forecast(spark: SparkSession, folder: str) -> DataFrame:
+    settings = QuantileSettings(rounds=5)
+    return stored(spark, folder, "forecast", lambda: forecast_trend(features(spark, folder), settings))
