@@ -6,7 +6,7 @@ import importlib
 from collections.abc import Callable
 from typing import NamedTuple
 
-SECTIONS = ("bars", "series", "contagion", "evaluation", "storage", "scalars", "market", "models")
+SECTIONS = ("bars", "series", "contagion", "evaluation", "storage", "scalars", "market", "models", "streams")
 
 
 class Catalog(NamedTuple):

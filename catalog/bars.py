@@ -177,9 +177,7 @@ def max_date(spark, folder):
 
 @query("count_distinct_symbols", using("usd_bars", body="SELECT count(DISTINCT symbol) AS n_symbols, count(DISTINCT date) AS n_dates FROM usd_bars"))
 def count_distinct_symbols(spark, folder):
-    return frames.usd_bars(spark, folder).agg(
-        F.count_distinct("symbol").alias("n_symbols"), F.count_distinct("date").alias("n_dates")
-    )
+    return S.distinct_counts(frames.usd_bars(spark, folder))
 
 
 @query("series_cv", using("usd_bars", body="""

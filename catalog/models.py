@@ -127,11 +127,16 @@ def forecast_trend(spark, folder):
 
 @query("recursive_rollout")
 def recursive_rollout(spark, folder):
-    """Width of the cone and order of its paths at the first, middle and last day."""
+    """Length and shape of every symbol's cone: days, days in order p10 <= p50 <= p90, and the lowest price."""
     cone = frames.forecast(spark, folder)
-    day = F.row_number().over(C.series())
-    numbered = cone.withColumn("day", day).filter(F.col("day").isin(1, 180, 365))
-    return numbered.select("symbol", "day", "predicted_p10", "predicted_p50", "predicted_p90")
+    ordered = (F.col("predicted_p10") <= F.col("predicted_p50")) & (F.col("predicted_p50") <= F.col("predicted_p90"))
+    return cone.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n_days"),
+        F.min("date").alias("first_date"),
+        F.max("date").alias("last_date"),
+        F.count_if(ordered).alias("n_ordered"),
+        F.min("predicted_p10").alias("lowest"),
+    )
 
 
 @query("forecast_cone", using("returns", "thresholds", body="""

@@ -198,6 +198,7 @@ SELECT '{c}' AS measure, count({c}) AS n, round(avg({c}), 4) AS mean, round(stdd
        round(quantile_disc({c}, 0.75), 6) AS q75, round(max({c}), 6) AS max FROM scored"""
     for c in ("volatility_7d", "volatility_30d", "return_30d", "safety_score"))))
 def describe_scores(spark, folder):
-    stats = K.describe(frames.scored(spark, folder), ["volatility_7d", "volatility_30d", "return_30d", "safety_score"])
+    stats = K.describe(frames.scored(spark, folder), ["volatility_7d", "volatility_30d", "return_30d", "safety_score"],
+                       accuracy=1_000_000)
     return stats.select("measure", "n", F.round("mean", 4).alias("mean"), F.round("stddev", 4).alias("stddev"),
                         *[F.round(c, 6).alias(c) for c in ("min", "q25", "q50", "q75", "max")])

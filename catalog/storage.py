@@ -89,7 +89,7 @@ FROM scored"""))
 def write_parquet(spark, folder):
     path = fresh_path(spark, "scored_data")
     scored = rounded(frames.scored(spark, folder).select("symbol", "date", "close_usd", "safety_score"))
-    T.write_parquet(scored.withColumn("year", F.year("date")).repartition("year"), path, ["year"])
+    T.write_parquet(scored.withColumn("year", F.year("date")), path, ["year"])
     return T.read_parquet(spark, path)
 
 

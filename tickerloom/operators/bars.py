@@ -39,13 +39,27 @@ def is_usd() -> Column:
     return F.col("symbol").endswith(USD_SUFFIX)
 
 
+def quote_side() -> Column:
+    """``usd`` or ``other``. A bar table stored under this partition column lets both branches of the conversion
+    read disjoint files, which a suffix test on the symbol cannot."""
+    return F.when(is_usd(), F.lit("usd")).otherwise(F.lit("other"))
+
+
+def usd_side(bars: DataFrame) -> DataFrame:
+    return bars.filter(is_usd() if "side" not in bars.columns else F.col("side") == "usd")
+
+
+def other_side(bars: DataFrame) -> DataFrame:
+    return bars.filter(~is_usd() if "side" not in bars.columns else F.col("side") == "other")
+
+
 def base_asset(suffix: str) -> Column:
     return F.expr(f"left(symbol, length(symbol) - {len(suffix)})")
 
 
 def bridge_prices(bars: DataFrame) -> DataFrame:
     """Price of the bridge asset by date. One row per calendar day, hence safe to broadcast at any scale."""
-    return bars.filter(F.col("symbol") == BRIDGE_SYMBOL).select("date", F.col("close").alias("btc_usd_price"))
+    return usd_side(bars).filter(F.col("symbol") == BRIDGE_SYMBOL).select("date", F.col("close").alias("btc_usd_price"))
 
 
 def without_usd_pair(bars: DataFrame, match: str = "base", convert_all: bool = False) -> DataFrame:
@@ -54,13 +68,13 @@ def without_usd_pair(bars: DataFrame, match: str = "base", convert_all: bool = F
     ``match="symbol"`` compares whole symbols (which can never be equal) and ``convert_all=True`` takes every
     non-USD quote for a bridge quote; both exist only to reproduce the looser historical behaviour.
     """
-    other = bars.filter(~is_usd())
+    other = other_side(bars)
     if not convert_all:
         other = other.filter(F.col("symbol").endswith(BRIDGE_SUFFIX))
     if match == "symbol":
-        usd_symbols = bars.filter(is_usd()).select("symbol").distinct()
+        usd_symbols = usd_side(bars).select("symbol").distinct()
         return other.join(usd_symbols, "symbol", "left_anti").select(*bars.columns)
-    usd_bases = bars.filter(is_usd()).select(base_asset(USD_SUFFIX).alias("_base")).distinct()
+    usd_bases = usd_side(bars).select(base_asset(USD_SUFFIX).alias("_base")).distinct()
     keyed = other.withColumn("_base", base_asset(BRIDGE_SUFFIX))
     return keyed.join(usd_bases, "_base", "left_anti").select(*bars.columns)
 
@@ -81,7 +95,7 @@ def normalize_usd(bars: DataFrame, match: str = "base", convert_all: bool = Fals
     The two branches are told apart by the symbol's suffix, so the union keeps the key unique and needs no further
     duplicate removal.
     """
-    native = bars.filter(is_usd()).withColumns({"close_usd": F.col("close"), "volume_usd": F.col("volume")})
+    native = usd_side(bars).withColumns({"close_usd": F.col("close"), "volume_usd": F.col("volume")})
     converted = bridge_convert(without_usd_pair(bars, match, convert_all), bridge_prices(bars))
     return union_usd(native, converted)
 

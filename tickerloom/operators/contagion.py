@@ -23,28 +23,29 @@ PAIRS = "symbol_a string, symbol_b string, corr double, n_days bigint, n_common
 
 
 def return_vectors(scored: DataFrame, days: int = 30) -> DataFrame:
-    """One row per symbol: its returns on every date of the window (0 where it has no bar) and which were observed.
+    """One row per symbol: its returns on every date of the window, NaN where it has no bar.
 
-    The list of dates is at most ``days + 1`` long and travels as a scalar subquery.
+    The list of dates is at most ``days + 1`` long and travels as a scalar subquery; a symbol has one row per date,
+    so what is gathered per symbol is bounded by the same number.
     """
     recent = trailing_days(scored.select("symbol", "date", "daily_return"), days)
     dates = recent.agg(F.array_sort(F.collect_set("date"))).scalar()
-    by_date = F.map_from_entries(F.collect_list(F.struct("date", "r")))
-    daily = recent.groupBy("symbol", "date").agg(F.avg("daily_return").alias("r"))
+    by_date = F.map_from_entries(F.collect_list(F.struct("date", "daily_return")))
+    absent = F.lit(float("nan"))
     return (
-        daily.groupBy("symbol")
+        recent.groupBy("symbol")
         .agg(by_date.alias("_m"))
         .withColumn("_d", dates)
         .select(
-            "symbol",
-            F.transform("_d", lambda d: F.coalesce(F.try_element_at("_m", d), F.lit(0.0))).alias("vec"),
-            F.transform("_d", lambda d: F.map_contains_key("_m", d).cast("double")).alias("seen"),
+            "symbol", F.transform("_d", lambda d: F.coalesce(F.try_element_at("_m", d), absent)).alias("vec")
         )
     )
 
 
-def _matrix(rows: pd.Series) -> np.ndarray:
-    return np.vstack(rows.to_list()).astype(float)
+def _matrix(rows: pd.Series) -> tuple[np.ndarray, np.ndarray]:
+    """Returns with 0 on days without a bar, and 1/0 for days with and without one."""
+    raw = np.vstack(rows.to_list()).astype(float)
+    return np.nan_to_num(raw), (~np.isnan(raw)).astype(float)
 
 
 def _unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -62,15 +63,15 @@ def _multiply(min_corr: float | None):
         if left.empty or right.empty:
             return pd.DataFrame({"symbol_a": [], "symbol_b": [], "corr": [], "n_days": [], "n_common": []})
         names_a, names_b = left["symbol"].to_numpy(str), right["symbol"].to_numpy(str)
-        unit_a, ok_a = _unit_rows(_matrix(left["vec"]))
-        unit_b, ok_b = _unit_rows(_matrix(right["vec"]))
+        (x_a, seen_a), (x_b, seen_b) = _matrix(left["vec"]), _matrix(right["vec"])
+        (unit_a, ok_a), (unit_b, ok_b) = _unit_rows(x_a), _unit_rows(x_b)
         corr = np.clip(unit_a @ unit_b.T, -1.0, 1.0)
         defined = ok_a[:, None] & ok_b[None, :]
         keep = np.ones_like(defined) if min_corr is None else defined & (corr >= min_corr)
         if key[0] == key[1]:
             keep &= names_a[:, None] <= names_b[None, :]
         i, j = np.nonzero(keep)
-        common = _matrix(left["seen"]) @ _matrix(right["seen"]).T
+        common = seen_a @ seen_b.T
         a, b = names_a[i], names_b[j]
         swap = a > b
         return pd.DataFrame(

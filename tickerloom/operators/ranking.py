@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 
 from tickerloom.operators.selection import at_latest_date, coverage, semi_join_coverage
 
-# Rank error of the quantile sketch is one in this many rows; the sketch itself stays bounded in size.
-QUANTILE_ACCURACY = 1_000_000
+# Rank error of the quantile sketch is one in this many rows. The sketches of all tasks meet in one merge, so this
+# also bounds what that merge receives.
+QUANTILE_ACCURACY = 10_000
 
 
 def top_by(df: DataFrame, column: str, n: int) -> DataFrame:

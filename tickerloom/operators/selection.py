@@ -49,6 +49,12 @@ def variation(price: str = "close_usd", over: WindowSpec | None = None) -> Colum
     return spread / (level + F.lit(1e-9))
 
 
+def distinct_counts(df: DataFrame, approximate: bool = False) -> DataFrame:
+    """Distinct symbols and dates, exact or from sketches."""
+    count = F.approx_count_distinct if approximate else F.count_distinct
+    return df.agg(count("symbol").alias("n_symbols"), count("date").alias("n_dates"))
+
+
 def series_variation(df: DataFrame, price: str = "close_usd") -> DataFrame:
     return df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), variation(price).alias("cv"))
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.workspace import fresh_path
@@ -14,8 +15,13 @@ __all__ = [
 
 
 def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
-    writer = df.write.mode("overwrite")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
+    """Overwrite a table. Partitioned tables are rebalanced first: adaptive execution then splits a partition value
+    that owns much of the data over several writers and merges small ones into one file."""
+    if partition_by:
+        balanced = df.hint("rebalance", *[F.col(c) for c in partition_by])
+        balanced.write.mode("overwrite").partitionBy(*partition_by).parquet(path)
+    else:
+        df.write.mode("overwrite").parquet(path)
 
 
 def read_parquet(spark: SparkSession, path: str, schema: T.StructType | str | None = None) -> DataFrame:
