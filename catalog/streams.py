@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog import frames
-from catalog.registry import query, rounded
-from catalog.sql import using
+from catalog.registry import SQL, query, rounded
+from catalog.storage import candle_tree
 from tickerloom.sources import candles as N
 from tickerloom.sources.star import table
 from tickerloom.streaming import ingest as I
@@ -16,18 +15,17 @@ from tickerloom.workspace import fresh_path
 def price_events(spark, folder):
     schema = table(spark, folder, "events").schema
     stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(folder)
-    return stream.select(F.col("event_type").alias("symbol"), "ts", F.col("value").alias("price"), "event_id")
+    return stream.select(F.col("event_type").alias("symbol"), F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("price"), "event_id")
 
 
-@query("stream_klines", using("bars", body="SELECT symbol, date, round(close, 6) AS close, volume FROM bars"))
+@query("stream_klines", SQL["scan_klines"])
 def stream_klines(spark, folder):
-    root = fresh_path(spark, "incoming")
-    bars = frames.bars(spark, folder).withColumn("open_time", F.unix_millis(F.col("date").cast("timestamp")))
-    stem = F.concat("symbol", F.lit("-1d-"), F.date_format("date", "yyyy"))
-    N.write_klines(bars, f"{root}/klines", stem)
-    N.write_klines(bars, f"{root}/again", stem)
-    I.drain(I.stream_klines(spark, root, "100 years"), f"{root}-out")
-    return rounded(I.batches(spark, f"{root}-out").select("symbol", "date", "close", "volume"))
+    root = candle_tree(spark, folder)
+    out = fresh_path(spark, "incoming")
+    I.drain(I.stream_klines(spark, root), out, fold=N.clean_candles)
+    clean = N.clean_candles(I.batches(spark, out))
+    return rounded(clean.select("symbol", "date", "open", "high", "low", "close", "volume", "quote_asset_volume",
+                                "number_of_trades"))
 
 
 @query("stream_daily_bars", """

@@ -57,7 +57,7 @@ def _unit_rows(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _multiply(min_corr: float | None):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         left = rows[rows["block"] == key[0]]
         right = rows[rows["block"] == key[1]]
         if left.empty or right.empty:

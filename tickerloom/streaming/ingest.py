@@ -1,6 +1,6 @@
 """File streams of candles and price events.
 
-State is keyed by ``(symbol, date)`` or by symbol with fixed-size values and is bounded by the watermark. Sinks write
+State, where there is any, holds fixed-size values per ``(symbol, date)`` and is bounded by the watermark. Sinks write
 one folder per micro-batch under its id, so a batch that is repeated after a failure replaces its own output, and the
 current table is an aggregation over the batches.
 """
@@ -16,16 +16,16 @@ from tickerloom.sources.candles import label_candles
 from tickerloom.workspace import settle
 
 
-def stream_klines(spark: SparkSession, path: str, delay: str = "3 days") -> DataFrame:
-    """Candle files as they arrive, without rows already seen for the same symbol and opening time.
+def stream_klines(spark: SparkSession, path: str) -> DataFrame:
+    """Candle files as they arrive, labelled with symbol and date.
 
-    Files may be read in any order, so the event time is only used to bound how long a key is remembered.
+    Overlaps are not removed here: a stateful duplicate filter would send all copies of a key to one task and could
+    only keep the first, while the daily file should win. Each micro-batch is folded by ``clean_candles`` instead,
+    which combines on the map side, and so is the table of all batches.
     """
     reader = settle(spark).readStream.schema(CANDLE_FILE).option("header", "false")
     raw = reader.option("recursiveFileLookup", "true").csv(path).select("*", F.col("_metadata.file_path").alias("file_path"))
-    labelled = label_candles(raw).withColumn("opened", F.col("date").cast("timestamp"))
-    named = labelled.na.drop(subset=["symbol", "opened"])
-    return named.withWatermark("opened", delay).dropDuplicatesWithinWatermark(["symbol", "open_time", "close"])
+    return label_candles(raw)
 
 
 def stream_daily_bars(events: DataFrame, delay: str = "2 days") -> DataFrame:
