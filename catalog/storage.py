@@ -25,7 +25,18 @@ def epoch():
     return F.when(F.year("date") % 2 == 0, F.unix_millis(moment)).otherwise(F.unix_micros(moment))
 
 
+_TREES = {}
+
+
 def candle_tree(spark, folder):
+    """Candle files of a folder, written once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _TREES:
+        _TREES[key] = write_candle_tree(spark, folder)
+    return _TREES[key]
+
+
+def write_candle_tree(spark, folder):
     """Monthly files for everything, daily files with changed closes for the newest days, one misnamed folder."""
     root = fresh_path(spark, "spot")
     bars = frames.bars(spark, folder).withColumn("open_time", epoch())

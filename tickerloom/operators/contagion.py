@@ -158,6 +158,14 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return others.unionByName(own).filter("u <> v").distinct()
 
 
+def _is_star_forest(edges: DataFrame) -> bool:
+    """Every node points at a root, that is no node that is pointed at points further, and none at two roots."""
+    pointed_at = edges.select(F.col("v").alias("u"))
+    further = edges.join(pointed_at, "u", "left_semi").select("u")
+    split = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
+    return further.unionByName(split).isEmpty()
+
+
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """Component label (smallest member) of every node that has an edge.
 
@@ -166,13 +174,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     each round's edges are written to the shared folder, so neither hubs nor lost executors hurt.
     """
     current = stage(edges.select(F.col("symbol_a").alias("u"), F.col("symbol_b").alias("v")).distinct(), "edges")
-    previous = None
     for _ in range(max_rounds):
         current = stage(_small_star(_large_star(current)), "edges")
-        state = current.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == previous:
+        if _is_star_forest(current):
             break
-        previous = state
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = current.select(F.col("u").alias("symbol"), F.col("v").alias("cluster"))

@@ -15,18 +15,21 @@ from tickerloom.operators.ranking import QUANTILE_ACCURACY
 ACCURACY_WITHOUT_CALLS = 0.5
 
 
-def class_counts(df: DataFrame, keys: list[str]) -> DataFrame:
-    """Support, predictions and hits per class, from the confusion counts."""
-    confusion = df.groupBy(*keys, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
-    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(F.lit(0))
+def confusion(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows per label and prediction; at most nine per key."""
+    return df.groupBy(*keys, "label", "prediction").agg(F.count(F.lit(1)).alias("n"))
+
+
+def class_counts(counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Support, predictions and hits per class, from confusion counts."""
+    none = F.lit(0).cast("bigint")
+    hit = F.when(F.col("label") == F.col("prediction"), F.col("n")).otherwise(none)
     sides = F.array(
-        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), F.lit(0).cast("bigint").alias("called"),
-                 hit.alias("hits")),
-        F.struct(F.col("prediction").alias("class"), F.lit(0).cast("bigint").alias("support"),
-                 F.col("n").alias("called"), F.lit(0).cast("bigint").alias("hits")),
+        F.struct(F.col("label").alias("class"), F.col("n").alias("support"), none.alias("called"), hit.alias("hits")),
+        F.struct(F.col("prediction").alias("class"), none.alias("support"), F.col("n").alias("called"), none.alias("hits")),
     )
     return (
-        confusion.select(*keys, F.inline(sides))
+        counts.select(*keys, F.inline(sides))
         .groupBy(*keys, "class")
         .agg(*[F.sum(c).alias(c) for c in ("support", "called", "hits")])
     )
@@ -35,7 +38,7 @@ def class_counts(df: DataFrame, keys: list[str]) -> DataFrame:
 def f1_scores(df: DataFrame, keys: list[str]) -> DataFrame:
     """Support-weighted and plain mean of the per-class F1, over all classes seen as truth or as prediction."""
     f1 = ratio(2 * F.col("hits"), F.col("support") + F.col("called"))
-    scored = class_counts(df, keys).withColumn("f1", f1)
+    scored = class_counts(confusion(df, keys), keys).withColumn("f1", f1)
     return scored.groupBy(*keys).agg(
         ratio(F.sum(F.col("f1") * F.col("support")), F.sum("support")).alias("f1_weighted"),
         F.avg("f1").alias("f1_macro"),
@@ -44,9 +47,10 @@ def f1_scores(df: DataFrame, keys: list[str]) -> DataFrame:
 
 def directional_accuracy(df: DataFrame, keys: list[str]) -> DataFrame:
     """Share of right calls among rows where truth and prediction both take a side; 0.5 if there are none."""
-    sided = (F.col("label") != NEUTRAL) & (F.col("prediction") != NEUTRAL)
-    right = F.when(sided, (F.col("label") == F.col("prediction")).cast("double"))
-    return df.groupBy(*keys).agg(F.coalesce(F.avg(right), F.lit(ACCURACY_WITHOUT_CALLS)).alias("dir_accuracy"))
+    sided = F.when((F.col("label") != NEUTRAL) & (F.col("prediction") != NEUTRAL), F.col("n"))
+    right = F.when(F.col("label") == F.col("prediction"), sided)
+    share = ratio(F.coalesce(F.sum(right), F.lit(0)), F.sum(sided), ACCURACY_WITHOUT_CALLS)
+    return confusion(df, keys).groupBy(*keys).agg(share.alias("dir_accuracy"))
 
 
 def auc_ovr_weighted(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -82,7 +86,7 @@ def auc_ovr_weighted(df: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fold_metrics(folded: DataFrame) -> DataFrame:
-    """All metrics per symbol and fold, test rows of usable folds only."""
+    """All metrics per symbol and fold, test rows of usable folds only. F1 and accuracy share one set of counts."""
     keys = ["symbol", "fold"]
     test = folded.filter("part = 'test'").join(usable_folds(folded), keys, "left_semi")
     return (
@@ -100,11 +104,10 @@ def symbol_metrics(metrics: DataFrame, labelled: DataFrame) -> DataFrame:
 
     ``rmse`` and ``mae`` are kept in the schema and always 0.
     """
-    lengths = labelled.groupBy("symbol").agg(F.max("n_rows").cast("bigint").alias("n_days"))
+    described = label_distribution(labelled, F.max("n_rows").cast("bigint").alias("n_days"))
     return (
         fold_mean(metrics)
-        .join(label_distribution(labelled), "symbol")
-        .join(lengths, "symbol")
+        .join(described, "symbol")
         .select(
             "symbol", "f1_weighted", "f1_macro", "dir_accuracy", "auc_roc",
             F.lit(0.0).alias("rmse"), F.lit(0.0).alias("mae"),

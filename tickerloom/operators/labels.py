@@ -84,10 +84,10 @@ def labelled_panel(
     )
 
 
-def label_distribution(labelled: DataFrame) -> DataFrame:
-    return labelled.groupBy("symbol").agg(
-        *[F.count_if(F.col("label") == c).alias(f"n_{c.lower()}") for c in CLASSES]
-    )
+def label_distribution(labelled: DataFrame, *more: Column) -> DataFrame:
+    """Rows per class and symbol, with any further aggregates the caller wants from the same pass."""
+    counts = [F.count_if(F.col("label") == c).alias(f"n_{c.lower()}") for c in CLASSES]
+    return labelled.groupBy("symbol").agg(*counts, *more)
 
 
 def chrono_split(labelled: DataFrame) -> DataFrame:
