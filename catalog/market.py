@@ -102,7 +102,7 @@ def analyst_verdict(spark, folder):
 
 
 def position_log(spark, folder):
-    """Adds for every order, updates and deletes for some of them, one clear after a tenth of the keys."""
+    """Adds for every order, updates for filled ones, deletes for those of low priority, one clear after a tenth of the keys."""
     orders = star.table(spark, folder, "orders")
     key = F.col("o_orderkey")
     nothing = {"coin": "string", "qty": "double", "buy_price": "double", "added_at": "timestamp"}
@@ -115,8 +115,8 @@ def position_log(spark, folder):
     price = F.col("o_totalprice") / 100
     coin = F.concat(F.lit("B"), (F.col("o_custkey") % 25).cast("string"), F.lit("USDT"))
     added = event(orders, "add", 0, coin=coin, qty=qty, buy_price=price, added_at=F.col("o_orderdate"))
-    updated = event(orders.filter(key % 5 == 0), "update", 1, qty=qty * 2, buy_price=price)
-    deleted = event(orders.filter(key % 7 == 0), "delete", 2)
+    updated = event(orders.filter(F.col("o_orderstatus") == "F"), "update", 1, qty=qty * 2, buy_price=price)
+    deleted = event(orders.filter(F.col("o_orderpriority") == "5-LOW"), "delete", 2)
     top = orders.agg(F.expr("max(o_orderkey) div 10").alias("o_orderkey"))
     cleared = event(top, "clear", 3).withColumn("id", F.lit(None).cast("bigint"))
     return added.unionByName(updated).unionByName(deleted).unionByName(cleared)

@@ -99,7 +99,7 @@ def signal_counts(spark, folder):
 
 @query("walk_forward_eval")
 def evaluate(spark, folder):
-    return walk_forward_eval(frames.labelled(spark, folder), FEW)
+    return walk_forward_eval(stage(frames.labelled(spark, folder), "panel"), FEW)
 
 
 @query("quantile_boost")

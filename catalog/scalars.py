@@ -18,8 +18,8 @@ CATEGORIES = ["Widget", "Ring", "Bolt", "Small Gear"]
 AMOUNT = "sqrt(o_totalprice) * power(10, o_orderkey % 12 - 3)"
 
 
-def amounts(spark, folder):
-    scale = F.pow(F.lit(10.0), (F.col("o_orderkey") % 12 - 3).cast("double"))
+def amounts(spark, folder, spread=12, down=3):
+    scale = F.pow(F.lit(10.0), (F.col("o_orderkey") % spread - down).cast("double"))
     return star.table(spark, folder, "orders").select("o_orderkey", (F.sqrt("o_totalprice") * scale).alias("amount"))
 
 
@@ -62,13 +62,16 @@ def abbrev_money(spark, folder):
     return amounts(spark, folder).select("o_orderkey", Y.abbrev_money(F.col("amount")).alias("money"))
 
 
+PRICE = AMOUNT.replace("% 12 - 3", "% 7 - 4")
+
+
 @query("tiered_price_text", f"""
 SELECT o_orderkey, CASE WHEN a >= 1000 THEN concat('$', format('{{:,}}', CAST(floor(round(a * 100) / 100) AS BIGINT)),
     '.', lpad(CAST(CAST(round(a * 100) AS BIGINT) % 100 AS VARCHAR), 2, '0'))
   WHEN a >= 1 THEN printf('$%.4f', a) ELSE printf('$%.6f', a) END AS price
-FROM (SELECT o_orderkey, {AMOUNT} AS a FROM orders)""")
+FROM (SELECT o_orderkey, {PRICE} AS a FROM orders)""")
 def tiered_price_text(spark, folder):
-    return amounts(spark, folder).select("o_orderkey", Y.tiered_price_text(F.col("amount")).alias("price"))
+    return amounts(spark, folder, 7, 4).select("o_orderkey", Y.tiered_price_text(F.col("amount")).alias("price"))
 
 
 @query("signed_pct_text", using("analyzed", body="""

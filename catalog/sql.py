@@ -107,9 +107,9 @@ SELECT 4 * o_orderkey AS seq, 'add' AS op, o_orderkey AS id, concat('B', CAST(o_
        CAST(1 + o_orderkey % 10 AS DOUBLE) AS qty, o_totalprice / 100 AS buy_price, o_orderdate AS added_at FROM orders
 UNION ALL
 SELECT 4 * o_orderkey + 1, 'update', o_orderkey, NULL, 2.0 * (1 + o_orderkey % 10), o_totalprice / 100, NULL
-FROM orders WHERE o_orderkey % 5 = 0
+FROM orders WHERE o_orderstatus = 'F'
 UNION ALL
-SELECT 4 * o_orderkey + 2, 'delete', o_orderkey, NULL, NULL, NULL, NULL FROM orders WHERE o_orderkey % 7 = 0
+SELECT 4 * o_orderkey + 2, 'delete', o_orderkey, NULL, NULL, NULL, NULL FROM orders WHERE o_orderpriority = '5-LOW'
 UNION ALL
 SELECT 4 * (max(o_orderkey) // 10) + 3, 'clear', NULL, NULL, NULL, NULL, NULL FROM orders"""
 

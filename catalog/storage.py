@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from catalog import frames
@@ -127,24 +126,21 @@ def source_fallback(spark, folder):
     return rounded(P.source_fallback(primary, bars.withColumn("close", F.col("close") * 1.01), "symbol"))
 
 
-def last_days(spark, folder, days: int = 10):
-    """The newest bars of every symbol; a fixed number of rows per group, as one payload page holds."""
-    newest = F.row_number().over(Window.partitionBy("symbol").orderBy(F.desc("date")))
-    return frames.bars(spark, folder).withColumn("n", newest).filter(F.col("n") <= days)
+def month_of(df):
+    """Payloads hold one symbol and month, at most 31 entries; together they cover all bars."""
+    return df.withColumns({"month": F.trunc("date", "month"), "n": F.day("date").cast("bigint")})
 
 
-LAST10 = "(SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY date DESC) AS n FROM bars QUALIFY n <= 10)"
-
-
-@query("json_records", using("bars", body=f"""
+@query("json_records", using("bars", body="""
 SELECT 'coin-' || symbol AS coin_id, symbol, NULL::VARCHAR AS name, close AS price_usd, volume AS volume_24h,
-       CAST(n AS BIGINT) AS rank FROM {LAST10}"""))
+       day(date) AS rank FROM bars"""))
 def json_records(spark, folder):
     record = F.struct(
         F.concat(F.lit("coin-"), "symbol").alias("id"), F.col("symbol"), F.col("close").alias("current_price"),
         F.col("volume").alias("total_volume"), F.col("n").alias("market_cap_rank"),
     )
-    pages = last_days(spark, folder).groupBy("symbol").agg(F.to_json(F.collect_list(record)).alias("page"))
+    bars = month_of(frames.bars(spark, folder))
+    pages = bars.groupBy("symbol", "month").agg(F.to_json(F.collect_list(record)).alias("page"))
     return P.market_records(pages, "page").select("coin_id", "symbol", "name", "price_usd", "volume_24h", "rank")
 
 
@@ -183,29 +179,34 @@ def sentiment_index(spark, folder):
     return parsed.select("event_id", "value", "label", F.size("history").cast("bigint").alias("n_history"))
 
 
-@query("json_parallel_arrays", using("bars", body=f"""
-SELECT symbol, date, close AS price, CASE WHEN symbol LIKE '%USDT' THEN volume END AS volume FROM {LAST10}"""))
+@query("json_parallel_arrays", using("bars", body="""
+SELECT symbol, date, close AS price, CASE WHEN symbol LIKE '%USDT' THEN volume END AS volume FROM bars"""))
 def json_parallel_arrays(spark, folder):
+    """Bridge-quoted symbols get one volume too many, so their volumes must be ignored."""
     ms = F.unix_millis(F.col("date").cast("timestamp")).cast("double")
+    extra = F.when(F.col("symbol").endswith("USDT"), F.array().cast("array<array<double>>")).otherwise(
+        F.array(F.array(F.lit(0.0), F.lit(0.0)))
+    )
     pages = (
-        last_days(spark, folder)
-        .groupBy("symbol")
-        .agg(
-            F.collect_list(F.array(ms, F.col("close"))).alias("prices"),
-            F.collect_list(F.when(F.col("symbol").endswith("USDT") | (F.col("n") > 1), F.array(ms, F.col("volume")))).alias("total_volumes"),
+        month_of(frames.bars(spark, folder))
+        .groupBy("symbol", "month")
+        .agg(F.collect_list(F.struct(F.array(ms, F.col("close")).alias("p"), F.array(ms, F.col("volume")).alias("v"))).alias("r"))
+        .select(
+            "symbol",
+            F.to_json(F.struct(F.col("r.p").alias("prices"), F.concat(F.col("r.v"), extra).alias("total_volumes"))).alias("page"),
         )
-        .select("symbol", F.to_json(F.struct("prices", "total_volumes")).alias("page"))
     )
     return P.parallel_history(pages, "page").select("symbol", F.col("date").cast("date").alias("date"), "price", "volume")
 
 
-@query("json_positional_rows", using("bars", body=f"""
-SELECT symbol, date, close AS price, volume FROM {LAST10} WHERE n <> 3"""))
+@query("json_positional_rows", using("bars", body="SELECT symbol, date, close AS price, volume FROM bars WHERE day(date) <> 3"))
 def json_positional_rows(spark, folder):
+    """Rows of the third day of a month are cut short and must be left out."""
     ms = F.unix_millis(F.col("date").cast("timestamp"))
     row = F.array(ms.cast("string"), *[F.col(c).cast("string") for c in ("open", "high", "low", "close", "volume")])
     short = F.when(F.col("n") == 3, F.slice(row, 1, 5)).otherwise(row)
-    pages = last_days(spark, folder).groupBy("symbol").agg(F.to_json(F.collect_list(short)).alias("page"))
+    bars = month_of(frames.bars(spark, folder))
+    pages = bars.groupBy("symbol", "month").agg(F.to_json(F.collect_list(short)).alias("page"))
     return P.positional_candles(pages, "page").select("symbol", F.col("date").cast("date").alias("date"), "price", "volume")
 
 

@@ -11,6 +11,7 @@ import catalog
 import check
 from tickerloom.learning.classifier import ClassifierSettings
 from tickerloom.learning.quantile import QuantileSettings
+from tickerloom.operators.labels import labelled_panel
 from tickerloom.plans.daily import DailyRun
 from tickerloom.sources.candles import clean_candles
 from tickerloom.streaming import ingest
@@ -41,12 +42,15 @@ def test_daily_run_from_files_to_stored_tables(spark, tmp_path):
     candles(str(tmp_path))
     run = DailyRun(fresh_path(spark, "run"), ClassifierSettings(rounds=1), QuantileSettings(rounds=1))
     tables = run.run(spark, str(tmp_path))
-    assert tables["scored"].count() == 3 * 230
-    assert tables["scored"].agg({"date": "min"}).first()[0] == START
+    series = tables["series"]
+    assert series.count() == 3 * 230 and series.agg({"date": "min"}).first()[0] == START
+    assert not {"safety_score", "volatility_30d", "macd", "label", "p30"} - set(series.columns)
+    plan = labelled_panel(series)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
     assert tables["contagion"].count() == 6
     assert tables["signals"].count() == 3 * (199 - int(199 * 0.8))
     assert tables["forecast"].count() == 3 * 365
-    assert run.evaluate(tables["features"]).count() == 3
+    assert run.evaluate(series).count() == 3
 
 
 def test_stream_of_files_gives_the_batch_table(spark, tmp_path):

@@ -120,7 +120,8 @@ def predict_signals(test: DataFrame, models: Models) -> DataFrame:
 def generate_signals(
     panel: DataFrame, settings: ClassifierSettings = ClassifierSettings(), models: Models | None = None
 ) -> DataFrame:
-    """Signals for the last 20 % of every usable series of a labelled panel."""
-    split = stage(chrono_split(usable_rows_gate(panel)), "panel")
+    """Signals for the last 20 % of every usable series of a labelled panel. The panel is read several times, so it
+    should be a stored table."""
+    split = chrono_split(usable_rows_gate(panel))
     fitted = models or train_classifier(training_rows(split), settings)
     return predict_signals(split.filter("part = 'test'"), fitted)

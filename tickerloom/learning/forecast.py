@@ -2,23 +2,24 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions.display import exp_decay
 from tickerloom.functions.guards import clip
+from tickerloom.learning.classifier import training_rows
 from tickerloom.learning.quantile import QuantileModel, QuantileSettings, quantile_boost
 from tickerloom.operators.features import EPS, HISTORY, feature_rows
 from tickerloom.operators.labels import chrono_split
 from tickerloom.operators.returns import series
-from tickerloom.operators.selection import MIN_FEATURE_ROWS, MIN_ROWS
+from tickerloom.operators.selection import MIN_FEATURE_ROWS, MIN_ROWS, with_row_count
 from tickerloom.schemas import FORECAST
-from tickerloom.learning.classifier import training_rows
-from tickerloom.workspace import stage
 
 # Horizon, limit of a daily move, decay of the cone, price floor and the three quantiles.
 HORIZON = 365
@@ -29,6 +30,9 @@ QUANTILES = (0.10, 0.50, 0.90)
 
 BATCH_SYMBOLS = 500
 
+# The rollout's functions travel with the task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def cone_returns(raw_low: Column, middle: Column, raw_high: Column, t: Column) -> tuple[Column, Column, Column]:
     """Outer returns pulled towards the median as time goes on, never crossing it."""
@@ -65,8 +69,7 @@ def rollout_state(frame: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 
     The frame is already partitioned by symbol, so neither the window nor the grouping shuffles it again.
     """
-    own = Window.partitionBy("symbol")
-    counted = frame.withColumn("n_rows", F.count(F.lit(1)).over(own))
+    counted = with_row_count(frame)
     long_enough = counted.filter(
         (F.col("n_rows") >= max(min_rows, HISTORY + 1 + MIN_FEATURE_ROWS)) & (F.col("i") >= F.col("n_rows") - HISTORY - 1)
     )
@@ -87,6 +90,7 @@ def rollout_state(frame: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
 def _boosted(models: list[QuantileModel]):
     """Evaluate all trees of all models at once for a matrix of feature rows."""
     parts = [m.arrays() for m in models]
+    bases, steps = [m.base for m in models], [m.step for m in models]
     feature, threshold, value = (np.concatenate([p[k] for p in parts]) for k in range(3))
     owner = np.concatenate([np.full(len(m.trees), k) for k, m in enumerate(models)])
     splits, tree = feature.shape[1], np.arange(len(feature))
@@ -99,7 +103,7 @@ def _boosted(models: list[QuantileModel]):
             node = 2 * node + 1 + above
         out = value[tree, node - splits]
         return np.stack(
-            [m.base + m.step * out[:, owner == k].sum(axis=1) for k, m in enumerate(models)], axis=1
+            [base + step * out[:, owner == k].sum(axis=1) for k, (base, step) in enumerate(zip(bases, steps))], axis=1
         )
 
     return run
@@ -172,12 +176,11 @@ def recursive_rollout(frame: DataFrame, models: list[QuantileModel], horizon: in
 def forecast_trend(
     frame: DataFrame, settings: QuantileSettings = QuantileSettings(), horizon: int = HORIZON
 ) -> DataFrame:
-    """Fit the three quantile models on the older part of the panel and roll every series forward."""
-    stored = stage(frame, "features")
-    n_rows = F.count(F.lit(1)).over(Window.partitionBy("symbol"))
-    rows = feature_rows(stored.withColumn("n_rows", n_rows).filter(F.col("n_rows") >= MIN_ROWS)).withColumns(
+    """Fit the three quantile models on the older part of the panel and roll every series forward. The frame should
+    be a stored table."""
+    rows = feature_rows(with_row_count(frame).filter(F.col("n_rows") >= MIN_ROWS)).withColumns(
         {"k": F.col("i") - HISTORY, "n": F.col("n_rows") - HISTORY - 1}
     )
-    train = stage(training_rows(stage(chrono_split(rows), "split")), "train")
+    train = training_rows(chrono_split(rows))
     models = [quantile_boost(train, alpha, settings=settings) for alpha in QUANTILES]
-    return recursive_rollout(stored, models, horizon)
+    return recursive_rollout(frame, models, horizon)

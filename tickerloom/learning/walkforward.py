@@ -13,9 +13,12 @@ from tickerloom.workspace import stage
 
 
 def walk_forward_eval(panel: DataFrame, settings: ClassifierSettings = ClassifierSettings()) -> DataFrame:
-    """Metrics per symbol, averaged over expanding folds; each fold's model sees only rows older than its tests."""
-    usable = stage(usable_rows_gate(panel), "usable")
-    folded = stage(walk_forward_folds(usable), "folded", ["fold"])
+    """Metrics per symbol, averaged over expanding folds; each fold's model sees only rows older than its tests.
+
+    The panel should be a stored table: every fold reads it again instead of keeping three copies of its rows.
+    """
+    usable = usable_rows_gate(panel)
+    folded = walk_forward_folds(usable)
     judged = None
     for fold in range(N_FOLDS):
         rows = folded.filter(F.col("fold") == fold)

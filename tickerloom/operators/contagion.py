@@ -9,9 +9,11 @@ nothing is gathered on the driver, unlike a correlation routine that returns one
 from __future__ import annotations
 
 import math
+import sys
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,10 @@ from tickerloom.operators.selection import trailing_days
 from tickerloom.workspace import stage
 
 BLOCK_SYMBOLS = 512
+
+# The block product's functions travel with the task, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 PAIRS = "symbol_a string, symbol_b string, corr double, n_days bigint, n_common bigint"
 
 

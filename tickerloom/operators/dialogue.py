@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 RESPONSE = (
     "candidates array<struct<content: struct<parts: array<struct<text: string>>>, finishReason: string>>"
 )
+# Messages shown in place of an answer.
 NO_CANDIDATES = "I couldn't generate a response. The model returned no candidates."
 EMPTY_TEXT = "The model returned an empty response (reason: %s). Please try rephrasing your question."
 

@@ -99,9 +99,10 @@ def with_emas(df: DataFrame, value: str = "r", spans: tuple[int, ...] = (12, 26)
 
 
 def feature_frame(df: DataFrame) -> DataFrame:
-    """All features for every row of ``symbol, date, close_usd, volume_usd, btc_return`` plus the next row's
-    return and date. Every window shares the hash partitioning by symbol, so the frame costs one shuffle."""
-    base = with_model_return(df.select("symbol", "date", "close_usd", "volume_usd", "btc_return"))
+    """Add all features and the next row's return and date to every row of a table with at least the columns
+    ``symbol, date, close_usd, volume_usd, btc_return``. Every window shares the hash partitioning by symbol, so the
+    frame costs one shuffle, and none on top of other windows by symbol."""
+    base = with_model_return(df)
     measured = base.withColumns(
         {
             **lags(),

@@ -54,6 +54,25 @@ def direction(value: Column) -> Column:
     )
 
 
+def with_label_inputs(frame: DataFrame, fit_on: str = "all") -> DataFrame:
+    """Add label, thresholds, series quality, position ``k`` and number ``n`` of feature rows and the number of
+    different labels. All of it reuses the frame's partitioning by symbol, so a stored frame that carries these
+    columns needs no further shuffle to become a training panel."""
+    measured = with_series_quality(with_thresholds(frame, fit_on))
+    label = F.when(F.col("next_return").isNotNull(), direction(F.col("next_return")))
+    own = F.when(F.col("i") >= HISTORY, F.col("label"))
+    return (
+        measured.withColumn("label", label)
+        .withColumn("n_labels", F.size(F.collect_set(own).over(whole_series())))
+        .withColumns(
+            {
+                "k": (F.col("i") - HISTORY).cast("bigint"),
+                "n": (F.col("n_rows") - HISTORY - 1).cast("bigint"),
+            }
+        )
+    )
+
+
 def labelled_panel(
     frame: DataFrame,
     min_rows: int = MIN_ROWS,
@@ -61,27 +80,18 @@ def labelled_panel(
     fit_on: str = "all",
     include_next: bool = False,
 ) -> DataFrame:
-    """Feature rows of good series with their label, position ``k`` and series length ``n``.
+    """Labelled feature rows of the series that are good enough.
 
     ``include_next`` keeps the newest row, whose next day is still unknown: its label is null, it is dated one day
     ahead and it counts as a row to predict.
     """
-    measured = with_series_quality(with_thresholds(frame, fit_on))
+    measured = frame if "n_labels" in frame.columns else with_label_inputs(frame, fit_on)
     good = measured.filter((F.col("n_rows") >= min_rows) & (F.col("cv") >= min_variation))
     if include_next:
-        kept = good.filter(F.col("i") >= HISTORY).withColumn(
+        return good.filter(F.col("i") >= HISTORY).withColumn(
             "next_date", F.coalesce("next_date", F.date_add("date", 1))
         )
-    else:
-        kept = feature_rows(good)
-    label = F.when(F.col("next_return").isNotNull(), direction(F.col("next_return")))
-    return kept.withColumns(
-        {
-            "label": label,
-            "k": (F.col("i") - HISTORY).cast("bigint"),
-            "n": (F.col("n_rows") - HISTORY - 1).cast("bigint"),
-        }
-    )
+    return feature_rows(good)
 
 
 def label_distribution(labelled: DataFrame, *more: Column) -> DataFrame:

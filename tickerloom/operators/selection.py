@@ -59,6 +59,13 @@ def series_variation(df: DataFrame, price: str = "close_usd") -> DataFrame:
     return df.groupBy("symbol").agg(F.count(F.lit(1)).alias("n_rows"), variation(price).alias("cv"))
 
 
+def with_row_count(df: DataFrame) -> DataFrame:
+    """Length of the own series as ``n_rows``, unless the table has it already."""
+    if "n_rows" in df.columns:
+        return df
+    return df.withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy("symbol")))
+
+
 def with_series_quality(df: DataFrame, price: str = "close_usd") -> DataFrame:
     """Row count and variation of the own series on every row.
 
@@ -82,7 +89,9 @@ def series_quality_gate(
 def usable_rows_gate(
     labelled: DataFrame, min_rows: int = MIN_FEATURE_ROWS, min_labels: int = MIN_LABELS
 ) -> DataFrame:
-    """Keep series with enough feature rows and enough different labels."""
+    """Keep series with enough feature rows and enough different labels; a panel usually carries both numbers."""
+    if {"n", "n_labels"} <= set(labelled.columns):
+        return labelled.filter((F.col("n") >= min_rows) & (F.col("n_labels") >= min_labels))
     own = Window.partitionBy("symbol")
     counted = labelled.withColumns(
         {"_n": F.count(F.lit(1)).over(own), "_k": F.size(F.collect_set("label").over(own))}

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.display import abbrev_money, fixed, signed_pct_text, tiered_price_text
 
+# Coins named in the context block, page sizes of a listing and of the block's listing, and the text
+# used when there is no listing.
 CONTEXT_COINS = 25
-LISTING_CAP, CONTEXT_CAP = 250, 50  # fixed values: page sizes of a listing and of the context block's listing
+LISTING_CAP, CONTEXT_CAP = 250, 50
 UNAVAILABLE = (
     "[LIVE MARKET CONTEXT: Unavailable. Do NOT provide specific prices — tell user to check Live Market page.]"
 )

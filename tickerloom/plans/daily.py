@@ -13,11 +13,11 @@ from tickerloom.learning.classifier import ClassifierSettings, generate_signals
 from tickerloom.learning.forecast import forecast_trend
 from tickerloom.learning.quantile import QuantileSettings
 from tickerloom.learning.walkforward import walk_forward_eval
-from tickerloom.operators.bars import normalize_usd, quote_side
+from tickerloom.operators.bars import BRIDGE_SYMBOL, normalize_usd, quote_side
 from tickerloom.operators.contagion import contagion_matrix
 from tickerloom.operators.features import feature_frame
-from tickerloom.operators.labels import labelled_panel
-from tickerloom.operators.returns import join_market_factor, market_factor, scored_series
+from tickerloom.operators.labels import labelled_panel, with_label_inputs
+from tickerloom.operators.returns import join_market_factor, market_factor, scored_series, with_returns
 from tickerloom.sources.candles import clean_candles, scan_klines
 from tickerloom.sources.tables import read_parquet, write_parquet
 from tickerloom.workspace import settle
@@ -43,27 +43,24 @@ class DailyRun:
         clean = clean_candles(scan_klines(settle(spark), candles))
         return self.store(clean.drop("ignore").withColumn("side", quote_side()), "bars", ["side"])
 
-    def scored(self, bars: DataFrame) -> DataFrame:
-        """Scored series, stored by year so that a trailing window reads only recent files."""
-        scored = scored_series(drop_null_keys(normalize_usd(bars), ("close_usd", "date", "symbol")))
-        return self.store(scored.withColumn("year", F.year("date")), "scored", ["year"])
-
-    def features(self, scored: DataFrame) -> DataFrame:
-        joined = join_market_factor(scored, market_factor(scored))
-        return self.store(feature_frame(joined), "features")
+    def series(self, bars: DataFrame) -> DataFrame:
+        """Scores, features, thresholds and labels of every row in one pass: a single shuffle by symbol on the narrow
+        USD bars serves all of them, and later stages only filter and project the stored table. It is stored by year,
+        so that a trailing window reads only recent files."""
+        usd = drop_null_keys(normalize_usd(bars), ("close_usd", "date", "symbol"))
+        factor = market_factor(with_returns(usd.filter(F.col("symbol") == BRIDGE_SYMBOL)))
+        frame = feature_frame(join_market_factor(scored_series(usd), factor))
+        return self.store(with_label_inputs(frame).withColumn("year", F.year("date")), "series", ["year"])
 
     def run(self, spark: SparkSession, candles: str) -> dict[str, DataFrame]:
         """All stages; returns the stored tables by name."""
-        scored = self.scored(self.bars(spark, candles))
-        features = self.features(scored)
-        panel = labelled_panel(features)
+        series = self.series(self.bars(spark, candles))
         return {
-            "scored": scored,
-            "features": features,
-            "contagion": self.store(contagion_matrix(scored), "contagion"),
-            "signals": self.store(generate_signals(panel, self.classifier), "signals"),
-            "forecast": self.store(forecast_trend(features, self.quantiles), "forecast"),
+            "series": series,
+            "contagion": self.store(contagion_matrix(series), "contagion"),
+            "signals": self.store(generate_signals(labelled_panel(series), self.classifier), "signals"),
+            "forecast": self.store(forecast_trend(series, self.quantiles), "forecast"),
         }
 
-    def evaluate(self, features: DataFrame) -> DataFrame:
-        return self.store(walk_forward_eval(labelled_panel(features), self.classifier), "metrics")
+    def evaluate(self, series: DataFrame) -> DataFrame:
+        return self.store(walk_forward_eval(labelled_panel(series), self.classifier), "metrics")

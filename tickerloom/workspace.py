@@ -40,8 +40,10 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the shared folder that no other run uses."""
-    return f"{shared_dir(spark).rstrip('/')}/tickerloom/{uuid.uuid4().hex}/{name}"
+    """A path below the shared folder that no other run uses. An application's intermediate tables lie together
+    under its id, so they can be removed as one folder when it has ended."""
+    application = spark.sparkContext.applicationId
+    return f"{shared_dir(spark).rstrip('/')}/tickerloom/{application}/{uuid.uuid4().hex}/{name}"
 
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
