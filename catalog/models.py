@@ -107,14 +107,13 @@ def boost(spark, folder):
     """Loss of each boosted quantile on its training rows next to the loss of the constant it starts from."""
     rows = stage(frames.labelled(spark, folder), "labelled")
     losses = []
-    for alpha in C.QUANTILES:
-        model = Q.quantile_boost(rows, alpha, settings=FEW_Q)
+    for model in Q.boost_quantiles(rows, C.QUANTILES, settings=FEW_Q):
         y, guess = F.col("next_return"), F.col("guess")
         losses.append(
             Q.predict_quantile(rows, model, "guess").agg(
-                F.lit(alpha).alias("alpha"),
-                Q.pinball(y, guess, alpha).alias("loss"),
-                Q.pinball(y, F.lit(model.base), alpha).alias("loss_constant"),
+                F.lit(model.alpha).alias("alpha"),
+                Q.pinball(y, guess, model.alpha).alias("loss"),
+                Q.pinball(y, F.lit(model.base), model.alpha).alias("loss_constant"),
             )
         )
     return losses[0].unionByName(losses[1]).unionByName(losses[2])

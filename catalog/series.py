@@ -73,14 +73,7 @@ feature_query("feat_rsi14", RSI_SQL)
 feature_query("feat_momentum30", MOM_SQL)
 feature_query("feat_volume_ratio", VOLUME_SQL)
 feature_query("feat_market_lag", MARKET_SQL)
-
-
-# the first row of a series has a zero-width band, where 0/1e-9-sized noise would decide the result
-@query("feat_bollinger_pos", using("returns", body=f"""
-SELECT symbol, date, round({BAND_SQL['bb_pos']}, 6) AS bb_pos FROM returns
-WINDOW w20 AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)"""))
-def feat_bollinger_pos(spark, folder):
-    return rounded(frames.features(spark, folder).select("symbol", "date", "bb_pos"))
+feature_query("feat_bollinger_pos", BAND_SQL)
 
 
 @query("feat_ema_macd", using("ema", body="""

@@ -44,6 +44,8 @@ def test_malformed_line_keeps_the_file_readable(spark, tmp_path):
     write_candles(str(tmp_path), "m/AUSDT-1d-2020-01.csv", [candle_line(1577836800000, 10.0), "x,y\n"])
     clean = N.clean_candles(N.scan_klines(spark, str(tmp_path))).collect()
     assert [r.close for r in clean] == [10.0]
+    kept = N.scan_klines(spark, str(tmp_path), malformed="bad_line")
+    assert [r.bad_line for r in kept.filter("bad_line IS NOT NULL").collect()] == ["x,y"]
     assert N.scan_klines(spark, str(tmp_path), "DROPMALFORMED").select("symbol", "open_time", "close").na.drop().count() == 1
 
 

@@ -31,7 +31,7 @@ def panel(frame):
 
 @pytest.fixture(scope="module")
 def quantile_models(panel):
-    return [Q.quantile_boost(panel, a, settings=FEW_Q) for a in C.QUANTILES]
+    return Q.boost_quantiles(panel, C.QUANTILES, settings=FEW_Q)
 
 
 def test_signals(panel):
@@ -98,6 +98,10 @@ def test_boosting_lowers_the_loss(panel, quantile_models):
         assert row[0] < row[1] and len(model.trees) == 3
 
 
+def test_one_quantile_alone_is_the_same_model(panel, quantile_models):
+    assert Q.quantile_boost(panel, 0.5, settings=FEW_Q) == quantile_models[1]
+
+
 def test_matrix_and_column_forms_of_the_trees_agree(panel, quantile_models):
     wide = panel
     for k, model in enumerate(quantile_models):

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.display import exp_decay
 from tickerloom.functions.guards import clip
 from tickerloom.learning.classifier import training_rows
-from tickerloom.learning.quantile import QuantileModel, QuantileSettings, quantile_boost
+from tickerloom.learning.quantile import QuantileModel, QuantileSettings, boost_quantiles
 from tickerloom.operators.features import EPS, HISTORY, feature_rows
 from tickerloom.operators.labels import chrono_split
 from tickerloom.operators.returns import series
@@ -182,5 +182,5 @@ def forecast_trend(
         {"k": F.col("i") - HISTORY, "n": F.col("n_rows") - HISTORY - 1}
     )
     train = training_rows(chrono_split(rows))
-    models = [quantile_boost(train, alpha, settings=settings) for alpha in QUANTILES]
+    models = boost_quantiles(train, QUANTILES, settings=settings)
     return recursive_rollout(frame, models, horizon)

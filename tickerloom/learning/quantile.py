@@ -87,34 +87,54 @@ def _read_tree(fitted, depth: int) -> Tree:
     return tree
 
 
-def quantile_boost(
-    train: DataFrame, alpha: float, target: str = "next_return", settings: QuantileSettings = QuantileSettings()
-) -> QuantileModel:
-    """Fit one quantile of ``target`` on the sixteen features of ``symbol, date`` rows."""
+def boost_quantiles(
+    train: DataFrame,
+    alphas: tuple[float, ...],
+    target: str = "next_return",
+    settings: QuantileSettings = QuantileSettings(),
+) -> list[QuantileModel]:
+    """Fit several quantiles of ``target`` on the sixteen features of ``symbol, date`` rows.
+
+    The quantiles advance together with one running prediction column each, so a round's table is stored once for
+    all of them.
+    """
     inputs = [F.col(c) for c in FEATURES]
-    y, guess = F.col("y"), F.col("guess")
+    y = F.col("y")
     rows = train.select("symbol", "date", *FEATURES, F.col(target).alias("y"))
-    base = rows.agg(F.percentile_approx("y", alpha, SKETCH)).first()[0]
-    current = stage(rows.withColumn("guess", F.lit(base)), "boosting")
-    model = QuantileModel(alpha, base, settings.step, [])
+    bases = rows.agg(F.percentile_approx("y", list(alphas), SKETCH)).first()[0]  # one number per quantile
+    models = [QuantileModel(alpha, base, settings.step, []) for alpha, base in zip(alphas, bases)]
+    guesses = [f"guess{k}" for k in range(len(models))]
+    current = stage(rows.withColumns({g: F.lit(m.base) for g, m in zip(guesses, models)}), "boosting")
     for n in range(settings.rounds):
         # drawn from the row's key, so a recomputed task draws the same rows
         draw = F.pmod(F.xxhash64("symbol", "date", F.lit(settings.seed + n)), F.lit(1000))
         drawn = current.filter(draw < int(settings.subsample * 1000))
-        gradient = F.lit(alpha) - (y <= guess).cast("double")
-        learner = DecisionTreeRegressor(
-            featuresCol="features", labelCol="g", maxDepth=settings.depth, seed=settings.seed + n
-        )
-        tree = _read_tree(learner.fit(assemble(drawn.withColumn("g", gradient)).select("features", "g")), settings.depth)
-        leaf = tree.leaf(inputs)
-        found = drawn.groupBy(leaf.alias("leaf")).agg(F.percentile_approx(y - guess, alpha, SKETCH).alias("v"))
-        values = {r["leaf"]: r["v"] for r in found.collect()}  # one row per leaf
-        tree.value = [values.get(k, 0.0) for k in range(2**settings.depth)]
-        model.trees.append(tree)
-        current = current.withColumn("guess", guess + settings.step * tree.output(inputs))
+        better = {}
+        for model, name in zip(models, guesses):
+            guess, alpha = F.col(name), model.alpha
+            gradient = F.lit(alpha) - (y <= guess).cast("double")
+            learner = DecisionTreeRegressor(
+                featuresCol="features", labelCol="g", maxDepth=settings.depth, seed=settings.seed + n
+            )
+            fitted = learner.fit(assemble(drawn.withColumn("g", gradient)).select("features", "g"))
+            tree = _read_tree(fitted, settings.depth)
+            residual = F.percentile_approx(y - guess, alpha, SKETCH)
+            found = drawn.groupBy(tree.leaf(inputs).alias("leaf")).agg(residual.alias("v"))
+            values = {r["leaf"]: r["v"] for r in found.collect()}  # one row per leaf
+            tree.value = [values.get(k, 0.0) for k in range(2**settings.depth)]
+            model.trees.append(tree)
+            better[name] = guess + settings.step * tree.output(inputs)
+        current = current.withColumns(better)
         if (n + 1) % settings.store_every == 0 and n + 1 < settings.rounds:
             current = stage(current, "boosting")
-    return model
+    return models
+
+
+def quantile_boost(
+    train: DataFrame, alpha: float, target: str = "next_return", settings: QuantileSettings = QuantileSettings()
+) -> QuantileModel:
+    """Fit a single quantile."""
+    return boost_quantiles(train, (alpha,), target, settings)[0]
 
 
 def predict_quantile(rows: DataFrame, model: QuantileModel, name: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickerloom.functions.calendar import epoch_to_date
 from tickerloom.operators.bars import candle_order, dedup_key
@@ -26,13 +27,19 @@ def label_candles(raw: DataFrame) -> DataFrame:
     )
 
 
-def scan_klines(spark: SparkSession, base_path: str, mode: str = "PERMISSIVE") -> DataFrame:
+def scan_klines(
+    spark: SparkSession, base_path: str, mode: str = "PERMISSIVE", malformed: str | None = None
+) -> DataFrame:
     """All candle rows below ``base_path`` with the file they came from, ticker and date.
 
-    ``mode`` is the reader's treatment of malformed lines. Rows from files without a ticker in their name keep a
+    ``mode`` is the reader's treatment of malformed lines; with ``malformed`` their text is kept in a column of that
+    name. Rows from files without a ticker in their name keep a
     null symbol here; :func:`unnamed_rows` counts them and :func:`clean_candles` drops them.
     """
-    reader = settle(spark).read.schema(CANDLE_FILE).option("header", "false").option("mode", mode)
+    schema = CANDLE_FILE if malformed is None else T.StructType([*CANDLE_FILE, T.StructField(malformed, T.StringType())])
+    reader = settle(spark).read.schema(schema).option("header", "false").option("mode", mode)
+    if malformed is not None:
+        reader = reader.option("columnNameOfCorruptRecord", malformed)
     raw = reader.option("recursiveFileLookup", "true").csv(base_path)
     return label_candles(raw.select("*", F.col("_metadata.file_path").alias("file_path")))
 
