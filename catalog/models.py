@@ -39,13 +39,25 @@ def fit_classifier(spark, folder):
     return fitted.groupBy("label", "signal").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("predict_signals")
+@query("predict_signals", using("labelled", body="""
+SELECT symbol, next_date AS date, 1.0::DOUBLE AS total, true AS largest_is_signal FROM labelled WHERE k >= floor(n * 0.8)"""))
 def predict(spark, folder):
+    """Which days get a signal, what its probabilities add up to and whether the signal is the likeliest class."""
     split = split_panel(spark, folder)
-    return predict_signals(split.filter("part = 'test'"), train_classifier(training_rows(split), FEW))
+    signals = predict_signals(split.filter("part = 'test'"), train_classifier(training_rows(split), FEW))
+    of_signal = F.element_at(
+        F.create_map(F.lit("UP"), "prob_up", F.lit("DOWN"), "prob_down", F.lit("NEUTRAL"), "prob_neutral"), F.col("signal")
+    )
+    return signals.select(
+        "symbol",
+        "date",
+        F.round(F.col("prob_up") + F.col("prob_down") + F.col("prob_neutral"), 6).alias("total"),
+        (of_signal == F.greatest("prob_up", "prob_down", "prob_neutral")).alias("largest_is_signal"),
+    )
 
 
-@query("model_store")
+@query("model_store", using("labelled", body="""
+SELECT count(*) AS n, 0::BIGINT AS n_different, true AS reused FROM labelled WHERE k >= floor(n * 0.8)"""))
 def model_store(spark, folder):
     """The second request must find the first one's models and give the same signals."""
     split = split_panel(spark, folder)
@@ -73,19 +85,34 @@ def signals(spark, folder):
     return frames.signals(spark, folder)
 
 
-@query("latest_signals")
+def simple_signals(spark, folder):
+    """Signals of the deterministic predictor, in the layout of generated ones."""
+    scores = [F.col(f"score_{c}").alias(f"prob_{c}") for c in ("up", "down", "neutral")]
+    rows = frames.predicted(spark, folder)
+    return rows.select("symbol", F.col("next_date").alias("date"), F.col("prediction").alias("signal"), *scores)
+
+
+SIMPLE = """
+SELECT symbol, next_date AS date, prediction AS signal, round(score_up, 6) AS prob_up, round(score_down, 6) AS prob_down,
+       round(score_neutral, 6) AS prob_neutral FROM labelled"""
+
+
+@query("latest_signals", using("labelled", body=f"{SIMPLE} WHERE next_date = (SELECT max(next_date) FROM labelled) ORDER BY score_up DESC, symbol"))
 def latest_signals(spark, folder):
-    return G.latest_signals(frames.signals(spark, folder))
+    return rounded(G.latest_signals(simple_signals(spark, folder)))
 
 
-@query("signal_history")
+@query("signal_history", using("labelled", body=f"{SIMPLE} WHERE symbol = 'BTCUSDT' ORDER BY next_date"))
 def signal_history(spark, folder):
-    return G.signal_history(frames.signals(spark, folder), "BTCUSDT")
+    return rounded(G.signal_history(simple_signals(spark, folder), "BTCUSDT"))
 
 
-@query("signal_roster")
+@query("signal_roster", using("labelled", body="""
+SELECT symbol, next_date AS date, CASE prediction WHEN 'UP' THEN 'BUY' WHEN 'DOWN' THEN 'SELL' ELSE 'HOLD' END AS signal,
+       round(greatest(score_up, score_down, score_neutral), 6) AS confidence
+FROM labelled QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY next_date DESC) = 1"""))
 def signal_roster(spark, folder):
-    return G.signal_roster(frames.signals(spark, folder))
+    return rounded(G.signal_roster(simple_signals(spark, folder)))
 
 
 @query("signal_counts", using("labelled", body="""
@@ -93,8 +120,7 @@ SELECT count(*) FILTER (WHERE prediction = 'UP') AS n_up, count(*) FILTER (WHERE
        count(*) FILTER (WHERE prediction = 'NEUTRAL') AS n_neutral
 FROM labelled WHERE next_date = (SELECT max(next_date) FROM labelled)"""))
 def signal_counts(spark, folder):
-    rows = frames.predicted(spark, folder)
-    return G.signal_counts(rows.select("symbol", F.col("next_date").alias("date"), F.col("prediction").alias("signal")))
+    return G.signal_counts(simple_signals(spark, folder))
 
 
 @query("walk_forward_eval")
@@ -124,9 +150,11 @@ def forecast_trend(spark, folder):
     return frames.forecast(spark, folder)
 
 
-@query("recursive_rollout")
+@query("recursive_rollout", using("usd_bars", body="""
+SELECT symbol, 365::BIGINT AS n_days, CAST(max(date) + 1 AS DATE) AS first_date, CAST(max(date) + 365 AS DATE) AS last_date,
+       365::BIGINT AS n_ordered, true AS all_positive FROM usd_bars GROUP BY symbol HAVING count(*) >= 180"""))
 def recursive_rollout(spark, folder):
-    """Length and shape of every symbol's cone: days, days in order p10 <= p50 <= p90, and the lowest price."""
+    """Length and shape of every symbol's cone: days, days in order p10 <= p50 <= p90, and whether prices stay positive."""
     cone = frames.forecast(spark, folder)
     ordered = (F.col("predicted_p10") <= F.col("predicted_p50")) & (F.col("predicted_p50") <= F.col("predicted_p90"))
     return cone.groupBy("symbol").agg(
@@ -134,7 +162,7 @@ def recursive_rollout(spark, folder):
         F.min("date").alias("first_date"),
         F.max("date").alias("last_date"),
         F.count_if(ordered).alias("n_ordered"),
-        F.min("predicted_p10").alias("lowest"),
+        (F.min("predicted_p10") > 0).alias("all_positive"),
     )
 
 
