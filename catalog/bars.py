@@ -88,7 +88,8 @@ def drop_null_keys(spark, folder):
     return rounded(guards.drop_null_keys(wide, ("close_usd_30d_ago", "date")))
 
 
-@query("ensure_columns", using("usd_bars", body="SELECT symbol, date, round(volume_usd, 6) AS volume_usd, 0.0::DOUBLE AS btc_return FROM usd_bars"))
+@query("ensure_columns", using("usd_bars", body="""
+SELECT symbol, date, round(volume_usd, 6) AS volume_usd, 0.0::DOUBLE AS btc_return FROM usd_bars"""))
 def ensure_columns(spark, folder):
     padded = guards.ensure_columns(frames.usd_bars(spark, folder), {"volume_usd": 1.0, "btc_return": 0.0})
     return rounded(padded.select("symbol", "date", "volume_usd", "btc_return"))

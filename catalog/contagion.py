@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from catalog import frames
 from catalog.registry import query, rounded
 from catalog.sql import using

@@ -10,7 +10,6 @@ from catalog.sql import using
 from tickerloom.operators import features as X
 from tickerloom.operators import labels as L
 from tickerloom.operators import ranking as K
-from tickerloom.operators import returns as R
 from tickerloom.operators.bars import dedup_key
 
 
