@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "chat", "token_counts")
+MODULES = ("mixing", "chat", "token_counts", "hyperminhash")
 
 
 def load():
