@@ -41,7 +41,7 @@ class ToxicitySettings:
     sample: int = 40_000
     terms: int = 5_000
     support: int = 4
-    least: float = 1.5
+    least: float = 3.5
     stems: tuple[int, ...] = (3, 4, 5, 6)
     exceptions: tuple[str, ...] = EXCEPTIONS
 
@@ -98,7 +98,8 @@ class Lexicon:
         return self._machine
 
     def features(self, text: str | None) -> tuple[float, float]:
-        """Weight found, and weight found per square root of 100 words. Of terms that start at one word the heaviest counts."""
+        """Weight found, and weight found per square root of 100 words. Of terms that start at one word the heaviest counts,
+        and each word counts once however often it is repeated."""
         machine = self.machine()
         if not text or not len(machine):
             return 0.0, 0.0
@@ -114,7 +115,8 @@ class Lexicon:
         for a, b in excused:
             for start in [s for s in found if a <= s < b]:
                 del found[start]
-        total = sum(found.values())
+        words = {folded[s + 1 : folded.index(" ", s + 1)]: weight for s, weight in found.items()}
+        total = sum(words.values())
         return math.log1p(total), total / math.sqrt(1 + folded.count(" ") / 100)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
