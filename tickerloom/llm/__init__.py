@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "chat", "token_counts", "hyperminhash", "warc", "toxicity")
+MODULES = ("mixing", "chat", "token_counts", "hyperminhash", "warc", "toxicity", "decontamination")
 
 
 def load():

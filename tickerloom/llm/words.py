@@ -27,6 +27,8 @@ _CODE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 _CODE[65:91] = _CODE[97:123]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+PLAIN = _SPACE.copy()
+PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = True
 _POWERS: dict[str, np.ndarray] = {}
 
 
@@ -68,12 +70,15 @@ def blocks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int =
                 last = end
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of every word of all texts in order, and offsets of the texts into them."""
+def word_hashes(
+    data: np.ndarray, offsets: np.ndarray, between: np.ndarray = _SPACE
+) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of every word of all texts in order, and offsets of the texts into them. ``between`` marks the bytes that
+    separate words; with ``PLAIN`` that is everything in ASCII but letters and digits."""
     n = len(data)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    solid = ~_SPACE[data]
+    solid = ~between[data]
     fresh = np.zeros(n + 1, bool)
     fresh[offsets] = True
     begin = solid.copy()
