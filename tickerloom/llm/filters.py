@@ -32,3 +32,17 @@ def place_of(column: str, bits: int = BITS):
 
 def passes(table: np.ndarray, places: np.ndarray) -> np.ndarray:
     return (table[places >> 6] >> (places & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
+def semi_filter(rows: DataFrame, column: str, keys: DataFrame, key: str, bits: int = BITS) -> DataFrame:
+    """``rows`` without most of those whose ``column`` is no ``key`` of ``keys``, by Spark expressions alone.
+
+    The bitmap is a table of at most ``2**bits / 64`` rows (2 MB by default), which bounds the broadcast.
+    """
+    places = keys.select(place_of(key, bits).alias("p"))
+    words = places.groupBy(F.shiftright("p", 6).alias("__word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("__bits")
+    )
+    placed = rows.withColumn("__place", place_of(column, bits))
+    hit = placed.join(F.broadcast(words), F.shiftright("__place", 6) == F.col("__word"))
+    return hit.filter("(shiftrightunsigned(__bits, cast(__place & 63 as int)) & 1) = 1").drop("__place", "__word", "__bits")
