@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("mixing", "chat", "token_counts", "hyperminhash", "warc", "toxicity", "decontamination", "line_dedup", "neighbours")
+MODULES = ("mixing", "chat", "token_counts", "hyperminhash", "warc", "toxicity", "decontamination", "line_dedup", "neighbours", "repeats")
 
 
 def load():

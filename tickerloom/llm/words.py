@@ -34,7 +34,7 @@ _POWERS: dict[str, np.ndarray] = {}
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, BLOCK_BYTES)
+        size = max(n, BLOCK_BYTES + 1)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
@@ -97,6 +97,19 @@ def word_hashes(
     return mix(upto * down[first]), np.searchsorted(first, offsets).astype(np.int64)
 
 
+_BYTE = mix(np.arange(300, 556, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+def byte_grams(data: np.ndarray, size: int, starts: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
+    """Hash of the ``size`` bytes at every place, or of the ranges given by ``starts`` and ``sizes``."""
+    up, down = _powers(len(data) + 1)
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
+    if starts is not None:
+        return mix((total[starts + sizes] - total[starts]) * down[starts])
+    return mix((total[size:] - total[:-size]) * down[: len(total) - size])
+
+
 def shingles(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words within each text, and offsets of the texts into them. A text with fewer words
     gives its whole sequence as one run, a text without words none."""
