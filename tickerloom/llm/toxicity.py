@@ -99,7 +99,7 @@ class Lexicon:
 
     def features(self, text: str | None) -> tuple[float, float]:
         """Weight found, and weight found per square root of 100 words. Of terms that start at one word the heaviest counts,
-        and each word counts once however often it is repeated."""
+        and a word that occurs n times counts 1 + ln n times."""
         machine = self.machine()
         if not text or not len(machine):
             return 0.0, 0.0
@@ -115,8 +115,9 @@ class Lexicon:
         for a, b in excused:
             for start in [s for s in found if a <= s < b]:
                 del found[start]
-        words = {folded[s + 1 : folded.index(" ", s + 1)]: weight for s, weight in found.items()}
-        total = sum(words.values())
+        words = Counter(folded[s + 1 : folded.index(" ", s + 1)] for s in found)
+        weights = {folded[s + 1 : folded.index(" ", s + 1)]: weight for s, weight in found.items()}
+        total = sum(weights[w] * (1.0 + math.log(n)) for w, n in words.items())
         return math.log1p(total), total / math.sqrt(1 + folded.count(" ") / 100)
 
     def score(self, texts: list[str | None]) -> np.ndarray:
