@@ -35,7 +35,7 @@ EXCEPTIONS = ("trash can", "trash cans", "trash bag", "class clown", "clown fish
 
 @dataclass(frozen=True)
 class ToxicitySettings:
-    """``sample`` bounds the labelled rows a lexicon is learned from, ``terms`` its size. A term is a word or a word's first
+    """``sample`` bounds the labelled rows a lexicon is learned from (about, as they are picked by hash), ``terms`` its size. A term is a word or a word's first
     ``stems`` letters, found in at least ``support`` toxic rows and with log odds of at least ``least``."""
 
     sample: int = 40_000
@@ -159,15 +159,15 @@ def _counted(rows: DataFrame, settings: ToxicitySettings) -> DataFrame:
 
 
 def learn_lexicon(rows: DataFrame, settings: ToxicitySettings | None = None) -> Lexicon:
-    """Lexicon from labelled ``rows`` (``text, toxic`` 0/1; null texts and labels are left out).
+    """Lexicon from labelled ``rows`` (``text, toxic`` 0/1; null texts and labels are left out), which the caller bounds as
+    :func:`training_rows` does.
 
-    At most ``sample`` rows are used, those with the smallest digest of their text; the bound is a setting. Terms are weighted
-    by smoothed log odds; a longer term stays only where it says more than its stem. The logistic coefficients are
-    fitted on the same bounded rows. With one label only, or no rows, the lexicon is empty and every score is low.
+    Terms are weighted by smoothed log odds; a longer term stays only where it says more than its stem. The logistic
+    coefficients are fitted on the same rows. With one label only, or no rows, the lexicon is empty and every score is low.
     """
     settings = settings or ToxicitySettings()
     usable = rows.filter("text is not null and toxic is not null").select("text", F.col("toxic").cast("int").alias("toxic"))
-    picked = stage(usable.orderBy(F.md5("text")).limit(settings.sample), "labelled")
+    picked = stage(usable, "labelled")
     totals = {r["toxic"]: r["n"] for r in picked.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     bad, good = totals.get(1, 0), totals.get(0, 0)
     if not bad or not good:
@@ -189,8 +189,8 @@ def learn_lexicon(rows: DataFrame, settings: ToxicitySettings | None = None) ->
                 [batch.column("toxic"), pa.array(table[:, 0]), pa.array(table[:, 1])], ["toxic", "x0", "x1"]
             )
 
-    found = picked.mapInArrow(run, "toxic int, x0 double, x1 double").orderBy("toxic", "x0", "x1").collect()  # bounded by sample
-    table = np.array([tuple(r) for r in found], float)
+    found = picked.mapInArrow(run, "toxic int, x0 double, x1 double").collect()  # as many as the sample
+    table = np.array(sorted(map(tuple, found)), float)  # in one order, so that reruns agree to the last bit
     lexicon.bias, lexicon.slopes = _logistic(table[:, 1:], table[:, 0])
     return lexicon
 
@@ -228,10 +228,17 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Labelled texts that are not held out; ids with several labels count once per label."""
-    rows = labels.filter(~held_out(F.col("doc_id"))).select("doc_id", "toxic").distinct()
-    return docs.select("doc_id", "text").join(rows, "doc_id").select("text", "toxic")
+def training_rows(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings | None = None) -> DataFrame:
+    """Labelled texts that are not held out, ``text, toxic``; ids with several labels count once per label.
+
+    If there are more than ``settings.sample`` labels, about that many are taken by the hash of their id. The bound makes
+    the labels small enough to broadcast, so that texts are not shuffled.
+    """
+    settings = settings or ToxicitySettings()
+    usable = labels.filter(~held_out(F.col("doc_id"))).filter("toxic is not null").select("doc_id", "toxic").distinct()
+    share = min(1.0, settings.sample / max(usable.count(), 1))
+    rows = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic")
 
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
