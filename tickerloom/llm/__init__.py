@@ -6,6 +6,12 @@ Every module holds one operator with a general interface and, at its end, the qu
 from __future__ import annotations
 
 import importlib
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this subpackage travel with their tasks, so executors need not have it installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 MODULES = ("mixing", "chat", "token_counts", "hyperminhash", "warc", "toxicity", "decontamination", "line_dedup", "neighbours", "repeats")
 

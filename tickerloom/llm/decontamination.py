@@ -69,6 +69,16 @@ class SeedIndex:
             known[hashes >> np.uint64(64 - FILTER_BITS)] = True
             self.seeds.append((mask, hashes[order], item[order], place[order], known))
 
+    def plain(self) -> dict:
+        """The index as numbers and arrays alone, for a broadcast."""
+        return {"ids": self.ids, "words": self.words, "seeds": self.seeds}
+
+    @classmethod
+    def of(cls, plain: dict, settings: OverlapSettings) -> SeedIndex:
+        index = cls.__new__(cls)
+        index.__dict__.update(plain, settings=settings)
+        return index
+
     def overlaps(self, words: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """``(text, item, first word, end word, equal words)`` of every text and item that overlap; the texts' words lie end to
         end, with offsets ``at``. Of several overlaps of a pair the extent covers all."""
@@ -137,15 +147,16 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, settings: OverlapSettin
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, first_word long, end_word long, n_equal long, similarity double"
     found = docs.sparkSession.createDataFrame([], schema)
     for index in seed_indexes(benchmark, settings):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+        held = docs.sparkSession.sparkContext.broadcast(index.plain())
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = SeedIndex.of(held.value, settings)
             for block in blocks(batches):
                 words, at = plain_words(block.column("text"))
-                rows = held.value.overlaps(words, at)
+                rows = index.overlaps(words, at)
                 if rows:
                     text, item, first, end, equal = (np.array(c) for c in zip(*rows))
-                    ids = pa.array([held.value.ids[i] for i in item], _arrow(kinds[1]))
+                    ids = pa.array([index.ids[i] for i in item], _arrow(kinds[1]))
                     yield pa.RecordBatch.from_arrays(
                         [block.column("doc_id").take(pa.array(text)), ids, pa.array(first), pa.array(end), pa.array(equal),
                          pa.array(equal / (end - first))],
@@ -162,14 +173,16 @@ def _arrow(kind: str) -> pa.DataType:
 
 def drop_overlapping(docs: DataFrame, benchmark: DataFrame, settings: OverlapSettings | None = None) -> DataFrame:
     """The rows of ``docs`` that overlap with no benchmark item, all columns unchanged, without a shuffle."""
-    for index in seed_indexes(benchmark, settings or OverlapSettings()):
-        held = docs.sparkSession.sparkContext.broadcast(index)
+    settings = settings or OverlapSettings()
+    for index in seed_indexes(benchmark, settings):
+        held = docs.sparkSession.sparkContext.broadcast(index.plain())
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            index = SeedIndex.of(held.value, settings)
             for block in blocks(batches):
                 words, at = plain_words(block.column("text"))
                 clean = np.ones(block.num_rows, bool)
-                clean[[row[0] for row in held.value.overlaps(words, at)]] = False
+                clean[[row[0] for row in index.overlaps(words, at)]] = False
                 yield block.filter(pa.array(clean))
 
         docs = docs.mapInArrow(run, docs.schema)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.filters import key_filter, passes, place_of
 from tickerloom.llm.warc import filesystem
-from tickerloom.llm.words import blocks, byte_grams, flat_bytes, mix
+from tickerloom.llm.words import Cache, blocks, byte_grams, flat_bytes, mix
 from tickerloom.workspace import fresh_path, stage
 
 NO_ID = np.iinfo(np.int64).max
@@ -222,7 +222,7 @@ def _taken(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
     return (high.astype(np.uint64) << np.uint64(16)) | low, ids[who]
 
 
-_FILTERS: dict[str, np.ndarray] = {}
+_FILTERS = Cache()
 
 
 def _load_filter(path: str, bits: int, filter_bits: int) -> np.ndarray:

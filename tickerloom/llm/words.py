@@ -29,7 +29,16 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 PLAIN = _SPACE.copy()
 PLAIN[[c for c in range(128) if not chr(c).isalnum()]] = True
-_POWERS: dict[str, np.ndarray] = {}
+
+
+class Cache(dict):
+    """What a process has made once; it stays behind when functions travel."""
+
+    def __reduce__(self):
+        return Cache, ()
+
+
+_POWERS = Cache()
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
