@@ -150,7 +150,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, settings: RepeatSettings) ->
         first = np.repeat(first, pieces) + part * reach
         ends = np.minimum(first + reach, stop)
     text = np.searchsorted(offsets, first, side="right") - 1
-    return low[first], text, first, ends + length - 1
+    return mix(low[first]), text, first, ends + length - 1  # smallest hashes are small: mixed again, they spread evenly
 
 
 def _with_keys(docs: DataFrame) -> DataFrame:
