@@ -71,7 +71,8 @@ SELECT symbol, {', '.join(f"max(corr) FILTER (WHERE other = '{s}') AS {s}" for s
   SELECT symbol_a AS symbol, symbol_b AS other, round(corr, 6) AS corr FROM pairs
   UNION ALL SELECT symbol_b, symbol_a, round(corr, 6) FROM pairs WHERE symbol_a <> symbol_b) GROUP BY symbol"""))
 def export_matrix_csv(spark, folder):
-    pairs = rounded(C.contagion_matrix(frames.scored(spark, folder)))
+    chosen = spark.createDataFrame([(s,) for s in SYMBOLS], "symbol string")
+    pairs = rounded(C.submatrix(frames.scored(spark, folder), chosen))
     wide = C.wide_matrix(pairs, SYMBOLS).withColumnRenamed("symbol_a", "symbol")
     path = T.fresh_path(spark, "contagion_matrix_csv")
     T.write_matrix_csv(wide, path)

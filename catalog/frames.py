@@ -83,9 +83,9 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 def signals(spark: SparkSession, folder: str) -> DataFrame:
     settings = ClassifierSettings(rounds=5)
-    return stored(spark, folder, "signals", lambda: generate_signals(stage(labelled(spark, folder), "panel"), settings))
+    return stage(generate_signals(stage(labelled(spark, folder), "panel"), settings), "signals")
 
 
 def forecast(spark: SparkSession, folder: str) -> DataFrame:
     settings = QuantileSettings(rounds=5)
-    return stored(spark, folder, "forecast", lambda: forecast_trend(stage(features(spark, folder), "features"), settings))
+    return stage(forecast_trend(stage(features(spark, folder), "features"), settings), "forecast")

@@ -12,6 +12,7 @@ from tickerloom.learning import forecast as C
 from tickerloom.learning import quantile as Q
 from tickerloom.learning.classifier import (
     ClassifierSettings,
+    block_starts,
     predict_signals,
     train_classifier,
     training_rows,
@@ -32,10 +33,15 @@ def split_panel(spark, folder):
     return stage(L.chrono_split(frames.labelled(spark, folder)), "panel")
 
 
+def first_training(split):
+    """Rows older than the first block of test rows."""
+    return training_rows(split, block_starts(split.filter("part = 'test'"), FEW.block_days)[0])
+
+
 @query("train_classifier")
 def fit_classifier(spark, folder):
     split = split_panel(spark, folder)
-    fitted = with_probabilities(training_rows(split), train_classifier(training_rows(split), FEW))
+    fitted = with_probabilities(first_training(split), train_classifier(first_training(split), FEW))
     return fitted.groupBy("label", "signal").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -44,7 +50,7 @@ SELECT symbol, next_date AS date, 1.0::DOUBLE AS total, true AS largest_is_signa
 def predict(spark, folder):
     """Which days get a signal, what its probabilities add up to and whether the signal is the likeliest class."""
     split = split_panel(spark, folder)
-    signals = predict_signals(split.filter("part = 'test'"), train_classifier(training_rows(split), FEW))
+    signals = predict_signals(split.filter("part = 'test'"), train_classifier(first_training(split), FEW))
     of_signal = F.element_at(
         F.create_map(F.lit("UP"), "prob_up", F.lit("DOWN"), "prob_down", F.lit("NEUTRAL"), "prob_neutral"), F.col("signal")
     )
@@ -65,7 +71,7 @@ def model_store(spark, folder):
     newest = max_date(split).first()[0]
 
     def fit():
-        return train_classifier(training_rows(split), FEW)
+        return train_classifier(first_training(split), FEW)
 
     fresh, _ = reuse_or_train(spark, "panel", newest, FEW, fit, root)
     again, found = reuse_or_train(spark, "panel", newest, FEW, fit, root)

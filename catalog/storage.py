@@ -73,17 +73,23 @@ def source_path(spark, folder):
 
 PATHS = r"""
 SELECT '/spot/monthly/klines/' || symbol || '/1d/' || symbol || '-1d-' || strftime(date, '%Y-%m') || '.csv' AS path
-FROM bars UNION ALL SELECT url FROM pages"""
+FROM bars
+UNION ALL SELECT '/spot/monthly/klines/' || symbol || '-120m-' || strftime(date, '%Y-%m') || '.csv' FROM bars
+UNION ALL SELECT url FROM pages"""
 
 
 @query("symbol_from_path", using("bars", body=rf"""
-SELECT path, nullif(regexp_extract(path, '([^/=]+)-(\d{{1,2}}[a-zA-Z])-', 1), '') AS symbol FROM ({PATHS})"""))
+SELECT path, nullif(regexp_extract(coalesce(nullif(regexp_extract(path, '.*/[^/=]+=([^/]+)/[^/]*$', 1), ''),
+  regexp_extract(path, '([^/]*)$', 1)), '([^/=]+)-(\d+[a-zA-Z])-', 1), '') AS symbol FROM ({PATHS})"""))
 def symbol_from_path(spark, folder):
     month = F.date_format("date", "yyyy-MM")
     named = frames.bars(spark, folder).select(
         F.concat(F.lit("/spot/monthly/klines/"), "symbol", F.lit("/1d/"), "symbol", F.lit("-1d-"), month, F.lit(".csv")).alias("path")
     )
-    both = named.unionByName(star.table(spark, folder, "pages").select(F.col("url").alias("path")))
+    longer = frames.bars(spark, folder).select(
+        F.concat(F.lit("/spot/monthly/klines/"), "symbol", F.lit("-120m-"), month, F.lit(".csv")).alias("path")
+    )
+    both = named.unionByName(longer).unionByName(star.table(spark, folder, "pages").select(F.col("url").alias("path")))
     return both.withColumn("symbol", N.symbol_from_path(F.col("path")))
 
 

@@ -34,8 +34,8 @@ SELECT event_type AS symbol, CAST(ts AS DATE) AS date, min_by(value, struct_pack
 FROM events GROUP BY event_type, CAST(ts AS DATE)""")
 def stream_daily_bars(spark, folder):
     path = fresh_path(spark, "daily_bars")
-    I.drain(I.stream_daily_bars(price_events(spark, folder)), path, "update")
-    return I.newest_per_key(I.batches(spark, path), ["symbol", "date"])
+    I.drain(price_events(spark, folder), path, fold=I.partial_bars)
+    return I.merged_bars(I.batches(spark, path))
 
 
 @query("stream_latest_price", """

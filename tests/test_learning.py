@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_series import prices_of
 
+from tickerloom.learning import classifier as K
 from tickerloom.learning import forecast as C
 from tickerloom.learning import quantile as Q
 from tickerloom.learning.classifier import ClassifierSettings, generate_signals, train_classifier, training_rows
@@ -50,17 +51,37 @@ def test_signals(panel):
     assert history == sorted(history) and len(history) == sum(r.symbol == "A" for r in rows)
 
 
-def test_training_rows_are_older_than_every_test_row(panel):
-    split = L.chrono_split(panel)
-    train = training_rows(split)
-    first_test = split.filter("part = 'test'").agg(F.min("next_date")).first()[0]
-    assert train.count() > 30 and train.agg(F.max("next_date")).first()[0] < first_test
-    early = split.filter("symbol = 'A'").withColumn("next_date", F.date_add("next_date", F.when(F.col("part") == "test", -400).otherwise(0)))
-    assert 30 <= training_rows(early).count() <= early.filter("part = 'train'").count()
+def test_rows_are_scored_by_models_of_older_rows_only(panel, monkeypatch):
+    split = stage(L.chrono_split(panel), "split")
+    fits = []
+
+    def fit(rows, settings):
+        fits.append(rows.agg(F.max("next_date"), F.count(F.lit(1))).first())
+        return {}
+
+    monkeypatch.setattr(K, "train_classifier", fit)
+    settings = ClassifierSettings(block_days=30)
+    K.score_blocks(split, settings)
+    starts = K.block_starts(split.filter("part = 'test'"), 30)
+    assert len(starts) == len(fits) > 1
+    for start, (newest, n) in zip(starts, fits):
+        assert newest < start and n == split.filter(F.col("next_date") < F.lit(start)).count()
+    # a short series that ends early has blocks of its own and takes no training row from the others
+    early = split.filter("symbol = 'B'").limit(40).withColumns(
+        {"symbol": F.lit("EARLY"), "part": F.lit("test"), "next_date": F.date_sub("next_date", 300)}
+    )
+    before, fits[:] = list(fits), []
+    both = stage(split.unionByName(early), "both")
+    scored = K.score_blocks(both, settings)
+    assert [f[0] for f in fits[-len(before):]] == [f[0] for f in before]
+    assert all(new[1] == old[1] + 40 for new, old in zip(fits[-len(before):], before))
+    alone = scored.filter("symbol = 'EARLY'")
+    assert alone.count() == 40 and scored.count() == both.filter("part = 'test'").count()
+    assert alone.filter("signal is null and prob_up is null").count() == 40
 
 
 def test_models_are_reused_until_settings_change(spark, panel):
-    train = training_rows(L.chrono_split(panel))
+    train = training_rows(panel, dt.date(2020, 6, 1))
     root, calls = fresh_path(spark, "models"), []
 
     def fit():
@@ -107,7 +128,7 @@ def test_matrix_and_column_forms_of_the_trees_agree(panel, quantile_models):
     for k, model in enumerate(quantile_models):
         wide = Q.predict_quantile(wide, model, f"q{k}")
     rows = wide.select(*X.FEATURES, "q0", "q1", "q2").toPandas()
-    got = C._boosted(quantile_models)(rows[X.FEATURES].to_numpy())
+    got = Q.boosted(quantile_models)(rows[X.FEATURES].to_numpy())
     np.testing.assert_allclose(got, rows[["q0", "q1", "q2"]].to_numpy(), atol=1e-12)
 
 
@@ -116,7 +137,7 @@ def test_rollout_follows_the_training_definitions(spark, usd_series, frame, quan
     cone = {r.date: r for r in C.recursive_rollout(frame, quantile_models, 5).filter("symbol = 'A'").collect()}
     assert len(cone) == 5
     prices = prices_of(260, 1)
-    predict = C._boosted(quantile_models)
+    predict = Q.boosted(quantile_models)
     frozen = None
     low = mid = high = prices[-1]
     for t in range(5):
@@ -142,6 +163,19 @@ def test_forecast(frame):
     assert days == [dt.date(2020, 1, 1) + dt.timedelta(days=260 + k) for k in range(365)]
 
 
+def test_forecast_of_short_series_is_empty(frame):
+    cones = C.forecast_trend(frame.filter("symbol = 'A' and i < 20"), FEW_Q)
+    assert cones.count() == 0 and "predicted_p50" in cones.columns
+
+
+def test_many_trees_predict_without_code_limits(panel, quantile_models):
+    model = quantile_models[1]
+    big = Q.QuantileModel(model.alpha, model.base, model.step, model.trees * 60)
+    once = Q.predict_quantile(panel, model, "a").agg(F.avg(F.col("a") - model.base)).first()[0]
+    many = Q.predict_quantile(panel, big, "a").agg(F.avg(F.col("a") - model.base)).first()[0]
+    assert many == pytest.approx(60 * once)
+
+
 def test_cone_with_floor_equals_stepping(spark):
     rng = np.random.default_rng(0)
     n = 200

@@ -12,7 +12,7 @@ from tickerloom.operators import portfolio as P
 from tickerloom.operators.features import feature_frame
 from tickerloom.operators.labels import with_label_inputs
 from tickerloom.operators.returns import join_market_factor, market_factor, scored_series, with_returns
-from tickerloom.operators.selection import at_latest_date
+from tickerloom.operators.selection import at_latest_date, trailing_days
 from tickerloom.sources.payloads import source_fallback
 from tickerloom.workspace import stage
 
@@ -69,3 +69,11 @@ def test_fallback_keeps_all_rows_of_a_hot_missing_key(spark):
     primary = spark.createDataFrame([("a", 1)], "symbol string, x long")
     secondary = spark.range(3000).select(F.when(F.col("id") < 1000, "hot").otherwise(F.col("id").cast("string")).alias("symbol"), F.col("id").alias("x"))
     assert source_fallback(primary, secondary, "symbol").count() == 3001
+
+
+def test_trailing_window_prunes_years(spark):
+    rows = [("A", dt.date(2018 + k, 6, 1), 2018 + k) for k in range(6)]
+    stored = stage(spark.createDataFrame(rows, "symbol string, date date, year int"), "years", ["year"])
+    recent = trailing_days(stored, 30)
+    assert [r.date.year for r in recent.collect()] == [2023]
+    assert "PartitionFilters: [isnotnull(year" in recent._jdf.queryExecution().toString()

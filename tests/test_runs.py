@@ -1,9 +1,11 @@
 import os
 import re
+import uuid
 
 import duckdb
 import pytest
 from conftest import START
+from pyspark.sql import functions as F
 from test_bars import candle_line, write_candles
 from test_series import prices_of
 
@@ -64,6 +66,34 @@ def test_stream_of_files_gives_the_batch_table(spark, tmp_path):
     assert clean_candles(ingest.batches(spark, out)).count() == 121
 
 
+def test_streams_of_events_do_not_depend_on_batches(spark, tmp_path):
+    rows = [
+        ("A", "2024-01-01 10:00:00", 1.0, 5), ("A", "2024-01-01 09:00:00", 9.0, 90), ("A", "2024-01-01 10:00:00", 2.0, 7),
+        ("B", "2024-01-05 00:00:00", 3.0, 1), ("A", "2023-11-01 00:00:00", 4.0, 2), ("B", "2024-01-05 00:00:00", 6.0, 3),
+    ]
+    schema = "symbol string, ts timestamp, price double, event_id long"
+    table = spark.createDataFrame(rows, "symbol string, ts string, price double, event_id long").withColumn("ts", F.col("ts").cast("timestamp"))
+    want = sorted(ingest.merged_bars(ingest.partial_bars(table)).collect())
+    newest = sorted(ingest.latest_price(table).collect())
+    assert [(r.symbol, r.price) for r in newest] == [("A", 2.0), ("B", 6.0)]
+    for order in (range(6), reversed(range(6)), (3, 0, 5, 1, 4, 2)):
+        source = str(tmp_path / uuid.uuid4().hex)
+        for k, at in enumerate(order):
+            one = spark.createDataFrame([rows[at]], "symbol string, ts string, price double, event_id long")
+            one.withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(source)
+            for file in os.listdir(source):
+                if file.endswith(".parquet") and not file.startswith("k"):
+                    os.rename(f"{source}/{file}", f"{source}/k{k}.parquet")
+                    os.utime(f"{source}/k{k}.parquet", (1_700_000_000 + k,) * 2)
+        for fold, merge, result in ((ingest.partial_bars, ingest.merged_bars, want), (ingest.latest_price, ingest.latest_price, newest)):
+            out = fresh_path(spark, "events")
+            stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+            ingest.drain(stream, out, fold=fold)
+            written = ingest.batches(spark, out)
+            assert written.select("batch").distinct().count() == 6
+            assert sorted(merge(written).collect()) == result
+
+
 @pytest.mark.skipif(not os.path.isdir(SMALL), reason="needs the given tables")
 @pytest.mark.parametrize(
     "name", ["top10_safest", "feature_matrix", "pearson_matrix", "auc_ovr_weighted", "positions_current", "chunk_text"]

@@ -8,7 +8,7 @@ from conftest import START, by_key
 from tickerloom.operators import features as X
 from tickerloom.operators import labels as L
 from tickerloom.operators import selection as S
-from tickerloom.operators.ranking import describe, leaderboard, top_safest
+from tickerloom.operators.ranking import describe, describe_approx, leaderboard, top_safest
 from tickerloom.operators.returns import scored_series
 
 
@@ -171,10 +171,19 @@ def test_rankings(spark, usd_series):
     top = top_safest(df).collect()
     best = sorted((r for r in df.filter(f"date = '{START.replace(month=2, day=9)}'").collect()), key=lambda r: (-r.safety_score, r.symbol))
     assert [r.symbol for r in top] == [r.symbol for r in best[:10]]
-    assert leaderboard(df, "return_30d", 3).count() == 10 and leaderboard(df, "return_30d", 500).count() == 15
-
-
-def test_describe_is_exact_on_small_tables(spark):
-    values = np.random.default_rng(0).normal(size=1001)
-    got = describe(spark.createDataFrame([(float(v),) for v in values], "x double"), ["x"]).first()
-    assert got.q50 == np.sort(values)[500] and got.n == 1001 and got.mean == pytest.approx(values.mean())
+    assert [leaderboard(df, "return_30d", n).count() for n in (3, 300, 400)] == [3, 15, 15]
+    with pytest.raises(ValueError):
+        leaderboard(df, "return_30d", 0)
+
+
+def test_describe_is_exact(spark):
+    rng = np.random.default_rng(0)
+    values = np.round(rng.normal(size=30_001), 2)
+    table = spark.createDataFrame([(float(v), None, 7.0 if k else None) for k, v in enumerate(values)], "x double, y double, z double")
+    got = {r.measure: r for r in describe(table, ["x", "y", "z"]).collect()}
+    ranked = np.sort(values)
+    assert [got["x"][c] for c in ("q25", "q50", "q75")] == [ranked[math.ceil(30_001 * s) - 1] for s in (0.25, 0.5, 0.75)]
+    assert got["x"].n == 30_001 and got["x"].mean == pytest.approx(values.mean())
+    assert got["y"].n == 0 and got["y"].q50 is None and (got["z"].n, got["z"].q25) == (30_000, 7.0)
+    near = describe_approx(table, ["x"]).first()
+    assert abs(near.q50 - got["x"].q50) < 0.02

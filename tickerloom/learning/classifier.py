@@ -6,7 +6,9 @@ is an ordinary distributed job instead of one local fit per symbol.
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -16,8 +18,8 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.guards import ratio
 from tickerloom.operators.features import FEATURES
-from tickerloom.operators.labels import CLASSES, TRAIN_SHARE, chrono_split, with_balanced_weights
-from tickerloom.operators.selection import MIN_FEATURE_ROWS, usable_rows_gate
+from tickerloom.operators.labels import CLASSES, chrono_split, with_balanced_weights
+from tickerloom.operators.selection import usable_rows_gate
 from tickerloom.workspace import shared_dir, stage
 
 PROBABILITIES = [f"prob_{c.lower()}" for c in CLASSES]
@@ -25,11 +27,14 @@ PROBABILITIES = [f"prob_{c.lower()}" for c in CLASSES]
 
 @dataclass(frozen=True)
 class ClassifierSettings:
+    """``block_days``: test rows are scored in calendar blocks of so many days, each by a model fitted on older rows."""
+
     rounds: int = 200
     step: float = 0.05
     depth: int = 4
     min_leaf: int = 10
     seed: int = 42
+    block_days: int = 180
 
 
 Models = dict[str, GBTClassificationModel]
@@ -39,21 +44,22 @@ def assemble(df: DataFrame) -> DataFrame:
     return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
 
 
-def training_rows(split: DataFrame) -> DataFrame:
-    """Rows a panel model may learn from: in their own series' training part and older than every test row.
+def with_block(rows: DataFrame, block_days: int) -> DataFrame:
+    """Add ``block``, the first day of the calendar block ``next_date`` lies in. Blocks are counted from 1970, so they do
+    not depend on which series a panel holds."""
+    start = F.floor(F.unix_date("next_date") / block_days) * block_days
+    return rows.withColumn("block", F.date_from_unix_date(start.cast("int")))
 
-    Cutting each series at its own 80 % alone would let the late rows of one symbol teach a model that is tested on
-    earlier days of another. Where the strict date leaves too little, the date by which 80 % of all rows lie is
-    taken instead.
-    """
-    own = split.filter("part = 'train'")
-    first_test = split.filter("part = 'test'").agg(F.min("next_date")).first()[0]
-    strict = own.filter(F.col("next_date") < F.lit(first_test))
-    if strict.limit(MIN_FEATURE_ROWS).count() >= MIN_FEATURE_ROWS:
-        return strict
-    days = F.unix_date("next_date")
-    late = split.agg(F.date_from_unix_date(F.percentile_approx(days, TRAIN_SHARE, 10_000).cast("int"))).first()[0]
-    return own.filter(F.col("next_date") < F.lit(late))
+
+def block_starts(rows: DataFrame, block_days: int) -> list[date]:
+    """First days of the blocks with rows, in order; as many as the calendar span has blocks."""
+    found = with_block(rows, block_days).select("block").distinct().collect()
+    return sorted(r["block"] for r in found if r["block"] is not None)
+
+
+def training_rows(rows: DataFrame, before: date) -> DataFrame:
+    """All labelled rows of the panel that are known before a day: the one rule by which every fit picks its rows."""
+    return rows.filter(F.col("next_date") < F.lit(before))
 
 
 def train_classifier(train: DataFrame, settings: ClassifierSettings = ClassifierSettings()) -> Models:
@@ -66,18 +72,19 @@ def train_classifier(train: DataFrame, settings: ClassifierSettings = Classifier
         "training",
     )
     present = {r["label"] for r in rows.select("label").distinct().collect()}  # at most three values
-    models = {}
-    for name in CLASSES:
-        if name not in present:
-            continue
+
+    def fit(name: str) -> GBTClassificationModel:
         target = f"is_{name.lower()}"
         learner = GBTClassifier(
             featuresCol="features", labelCol=target, weightCol="weight", maxIter=settings.rounds,
             stepSize=settings.step, maxDepth=settings.depth, minInstancesPerNode=settings.min_leaf,
             seed=settings.seed, checkpointInterval=10,
         )
-        models[name] = learner.fit(rows.withColumn(target, (F.col("label") == name).cast("double")))
-    return models
+        return learner.fit(rows.withColumn(target, (F.col("label") == name).cast("double")))
+
+    names = [name for name in CLASSES if name in present]
+    with ThreadPoolExecutor(len(CLASSES)) as pool:  # the fits are independent jobs over one stored table
+        return dict(zip(names, pool.map(fit, names)))
 
 
 def decide(up: Column, down: Column, neutral: Column) -> Column:
@@ -90,7 +97,10 @@ def decide(up: Column, down: Column, neutral: Column) -> Column:
 
 
 def with_probabilities(rows: DataFrame, models: Models) -> DataFrame:
-    """Add ``prob_up, prob_down, prob_neutral`` (summing to one, 0 for a class never seen) and ``signal``."""
+    """Add ``prob_up, prob_down, prob_neutral`` (summing to one, 0 for a class never seen) and ``signal``; all null without
+    any model."""
+    if not models:
+        return rows.withColumns({p: F.lit(None).cast("double") for p in PROBABILITIES} | {"signal": F.lit(None).cast("string")})
     scored = assemble(rows)
     for name in CLASSES:
         raw = f"_{name.lower()}"
@@ -117,11 +127,29 @@ def predict_signals(test: DataFrame, models: Models) -> DataFrame:
     )
 
 
+def score_blocks(rows: DataFrame, settings: ClassifierSettings) -> DataFrame:
+    """Probabilities and signals of the test rows of a split panel, a stored table.
+
+    Test rows are cut into calendar blocks; each is scored by a model fitted on all rows of the panel older than the
+    block's first day. No series decides what the others are trained on, and nothing newer than a scored row is
+    learned from. Rows of a block without older rows get null probabilities and signals.
+    """
+    test = with_block(rows.filter("part = 'test'"), settings.block_days)
+    scored = None
+    for start in block_starts(rows.filter("part = 'test'"), settings.block_days):
+        older = training_rows(rows, start)
+        models = {} if older.isEmpty() else train_classifier(older, settings)
+        part = with_probabilities(test.filter(F.col("block") == F.lit(start)), models).drop("block")
+        scored = part if scored is None else scored.unionByName(part)
+    return scored if scored is not None else with_probabilities(test.drop("block"), {})
+
+
 def generate_signals(
     panel: DataFrame, settings: ClassifierSettings = ClassifierSettings(), models: Models | None = None
 ) -> DataFrame:
-    """Signals for the last 20 % of every usable series of a labelled panel. The panel is read several times, so it
-    should be a stored table."""
+    """Signals for the last 20 % of every usable series of a labelled panel, from the given models or from one per
+    calendar block. The panel is read several times, so it should be a stored table."""
     split = chrono_split(usable_rows_gate(panel))
-    fitted = models or train_classifier(training_rows(split), settings)
-    return predict_signals(split.filter("part = 'test'"), fitted)
+    if models:
+        return predict_signals(split.filter("part = 'test'"), models)
+    return score_blocks(split, settings).select("symbol", F.col("next_date").alias("date"), "signal", *PROBABILITIES)

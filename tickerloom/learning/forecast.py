@@ -13,10 +13,9 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.display import exp_decay
 from tickerloom.functions.guards import clip
-from tickerloom.learning.classifier import training_rows
-from tickerloom.learning.quantile import QuantileModel, QuantileSettings, boost_quantiles
+from tickerloom.learning.classifier import block_starts, training_rows, with_block
+from tickerloom.learning.quantile import QuantileModel, QuantileSettings, boost_quantiles, boosted
 from tickerloom.operators.features import EPS, HISTORY, feature_rows
-from tickerloom.operators.labels import chrono_split
 from tickerloom.operators.returns import series
 from tickerloom.operators.selection import MIN_FEATURE_ROWS, MIN_ROWS, with_row_count
 from tickerloom.schemas import FORECAST
@@ -28,7 +27,7 @@ DECAY_DAYS = 180.0
 PRICE_FLOOR = 1e-9
 QUANTILES = (0.10, 0.50, 0.90)
 
-BATCH_SYMBOLS = 500
+BATCH_SYMBOLS, TASK_SYMBOLS = 500, 50
 
 # The rollout's functions travel with the task, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -87,28 +86,6 @@ def rollout_state(frame: DataFrame, min_rows: int = MIN_ROWS) -> DataFrame:
     )
 
 
-def _boosted(models: list[QuantileModel]):
-    """Evaluate all trees of all models at once for a matrix of feature rows."""
-    parts = [m.arrays() for m in models]
-    bases, steps = [m.base for m in models], [m.step for m in models]
-    feature, threshold, value = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    owner = np.concatenate([np.full(len(m.trees), k) for k, m in enumerate(models)])
-    splits, tree = feature.shape[1], np.arange(len(feature))
-
-    def run(x: np.ndarray) -> np.ndarray:
-        node = np.zeros((len(x), len(tree)), dtype=int)
-        row = np.arange(len(x))[:, None]
-        while node[0, 0] < splits:
-            above = x[row, feature[tree, node]] > threshold[tree, node]
-            node = 2 * node + 1 + above
-        out = value[tree, node - splits]
-        return np.stack(
-            [base + step * out[:, owner == k].sum(axis=1) for k, (base, step) in enumerate(zip(bases, steps))], axis=1
-        )
-
-    return run
-
-
 def _current_features(r: np.ndarray, p: np.ndarray, macd: np.ndarray, frozen: np.ndarray) -> np.ndarray:
     """The sixteen inputs after the newest return, by the same definitions the training frame uses."""
     w7, w14 = r[:, -7:], r[:, -14:]
@@ -122,7 +99,7 @@ def _current_features(r: np.ndarray, p: np.ndarray, macd: np.ndarray, frozen: np
 
 
 def _roll(models: list[QuantileModel], horizon: int):
-    predict = _boosted(models)
+    predict = boosted(models)
     a12, a26 = 2.0 / 13, 2.0 / 27
 
     def paths(state: pd.DataFrame) -> np.ndarray:
@@ -168,19 +145,31 @@ def recursive_rollout(frame: DataFrame, models: list[QuantileModel], horizon: in
     """Daily cones after the last row of every series.
 
     Steps follow each other in time, so this part runs in Python; a batch of series advances together as matrices
-    and only the 31-row state is shipped.
+    and only the 31-row state is shipped. The state is dealt by work, ``TASK_SYMBOLS`` series a task, since its bytes
+    are few and adaptive execution would merge them into one.
     """
-    return rollout_state(frame).mapInPandas(_roll(models, horizon), FORECAST)
+    state = rollout_state(frame)
+    tasks = max(1, -(-frame.select("symbol").distinct().count() // TASK_SYMBOLS))
+    return state.repartition(tasks, "symbol").mapInPandas(_roll(models, horizon), FORECAST)
 
 
 def forecast_trend(
     frame: DataFrame, settings: QuantileSettings = QuantileSettings(), horizon: int = HORIZON
 ) -> DataFrame:
-    """Fit the three quantile models on the older part of the panel and roll every series forward. The frame should
-    be a stored table."""
-    rows = feature_rows(with_row_count(frame).filter(F.col("n_rows") >= MIN_ROWS)).withColumns(
-        {"k": F.col("i") - HISTORY, "n": F.col("n_rows") - HISTORY - 1}
-    )
-    train = training_rows(chrono_split(rows))
-    models = boost_quantiles(train, QUANTILES, settings=settings)
-    return recursive_rollout(frame, models, horizon)
+    """Fit the three quantile models and roll every series forward. The frame should be a stored table.
+
+    Series are taken by the calendar block their last day lies in, and each block's models are fitted on all rows of the
+    panel older than it. A panel without a long enough series, or a block without older rows, gives no cones.
+    """
+    rows = feature_rows(with_row_count(frame).filter(F.col("n_rows") >= MIN_ROWS))
+    spark = frame.sparkSession
+    cones = spark.createDataFrame([], FORECAST)
+    last = rows.groupBy("symbol").agg(F.max("date").alias("next_date"))
+    blocks = with_block(last, settings.block_days)
+    for start in block_starts(last, settings.block_days):
+        train = training_rows(rows, start)
+        if not train.isEmpty():
+            models = boost_quantiles(train, QUANTILES, settings=settings)
+            own = blocks.filter(F.col("block") == F.lit(start)).select("symbol")
+            cones = cones.unionByName(recursive_rollout(frame.join(own, "symbol", "left_semi"), models, horizon))
+    return cones

@@ -7,9 +7,12 @@ the running prediction stays inside generated code.
 
 from __future__ import annotations
 
+import sys
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+from pyspark import cloudpickle
 from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,6 +21,9 @@ from tickerloom.learning.classifier import assemble
 from tickerloom.operators.features import FEATURES
 from tickerloom.workspace import stage
 
+# Functions that run in tasks travel with them, so executors need not have this package installed.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 SKETCH = 10_000  # accuracy of the residual quantiles; bounds the memory of each leaf's sketch
 
 
@@ -29,6 +35,7 @@ class QuantileSettings:
     subsample: float = 0.8
     seed: int = 42
     store_every: int = 10
+    block_days: int = 180
 
 
 @dataclass
@@ -137,10 +144,37 @@ def quantile_boost(
     return boost_quantiles(train, (alpha,), target, settings)[0]
 
 
+def boosted(models: list[QuantileModel]):
+    """Evaluate all trees of all models at once for a matrix of feature rows."""
+    parts = [m.arrays() for m in models]
+    bases, steps = [m.base for m in models], [m.step for m in models]
+    feature, threshold, value = (np.concatenate([p[k] for p in parts]) for k in range(3))
+    owner = np.concatenate([np.full(len(m.trees), k) for k, m in enumerate(models)])
+    splits, tree = feature.shape[1], np.arange(len(feature))
+
+    def run(x: np.ndarray) -> np.ndarray:
+        node = np.zeros((len(x), len(tree)), dtype=int)
+        row = np.arange(len(x))[:, None]
+        while node[0, 0] < splits:
+            above = x[row, feature[tree, node]] > threshold[tree, node]
+            node = 2 * node + 1 + above
+        out = value[tree, node - splits]
+        return np.stack(
+            [base + step * out[:, owner == k].sum(axis=1) for k, (base, step) in enumerate(zip(bases, steps))], axis=1
+        )
+
+    return run
+
+
 def predict_quantile(rows: DataFrame, model: QuantileModel, name: str) -> DataFrame:
-    """Add the prediction as a column."""
-    inputs = [F.col(c) for c in FEATURES]
-    total = F.lit(float(model.base))
-    for tree in model.trees:
-        total = total + model.step * tree.output(inputs)
-    return rows.withColumn(name, total)
+    """Add the prediction as a column. All trees are walked at once over batches of rows: one CASE per tree would outgrow
+    what generated code can hold."""
+    if not model.trees:
+        return rows.withColumn(name, F.lit(float(model.base)))
+    run = boosted([model])
+
+    @F.pandas_udf("double")
+    def predict(*inputs: pd.Series) -> pd.Series:
+        return pd.Series(run(np.column_stack(inputs))[:, 0])
+
+    return rows.withColumn(name, predict(*FEATURES))

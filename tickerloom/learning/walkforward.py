@@ -5,15 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.learning.classifier import ClassifierSettings, train_classifier, training_rows, with_probabilities
+from tickerloom.learning.classifier import ClassifierSettings, score_blocks
 from tickerloom.operators.evaluation import fold_metrics, symbol_metrics
-from tickerloom.operators.labels import N_FOLDS, walk_forward_folds
+from tickerloom.operators.labels import N_FOLDS, usable_folds, walk_forward_folds
 from tickerloom.operators.selection import usable_rows_gate
-from tickerloom.workspace import stage
 
 
 def walk_forward_eval(panel: DataFrame, settings: ClassifierSettings = ClassifierSettings()) -> DataFrame:
-    """Metrics per symbol, averaged over expanding folds; each fold's model sees only rows older than its tests.
+    """Metrics per symbol, averaged over expanding folds; each fold's test rows are scored by models of older rows only.
 
     The panel should be a stored table: every fold reads it again instead of keeping three copies of its rows.
     """
@@ -22,11 +21,11 @@ def walk_forward_eval(panel: DataFrame, settings: ClassifierSettings = Classifie
     judged = None
     for fold in range(N_FOLDS):
         rows = folded.filter(F.col("fold") == fold)
-        models = train_classifier(training_rows(rows), settings)
-        part = with_probabilities(rows, models)
+        part = score_blocks(rows, settings)
         judged = part if judged is None else judged.unionByName(part)
     renamed = judged.withColumnsRenamed(
         {"signal": "prediction", "prob_up": "score_up", "prob_down": "score_down", "prob_neutral": "score_neutral"}
     )
     kept = ["symbol", "fold", "part", "label", "prediction", "score_up", "score_down", "score_neutral"]
-    return symbol_metrics(fold_metrics(stage(renamed.select(*kept), "judged")), usable)
+    judged = renamed.select(*kept).filter("prediction is not null")  # null where no older row could be learned from
+    return symbol_metrics(fold_metrics(judged, usable_folds(folded)), usable)

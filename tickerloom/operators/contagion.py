@@ -98,12 +98,11 @@ def pair_correlations(
 ) -> DataFrame:
     """Pearson correlation of every unordered pair ``symbol_a <= symbol_b``; null where a series never varies.
 
-    With ``min_corr`` the comparison happens inside the block product, so weaker pairs are never materialised.
+    ``vectors`` should be a stored table. With ``min_corr`` the comparison happens inside the block product, so weaker pairs are never materialised.
     A task holds two blocks, about ``2 * block_symbols`` short vectors, whatever the number of symbols is.
     """
-    stored = stage(vectors, "return_vectors")
-    blocks = max(1, math.ceil(stored.count() / block_symbols))
-    tagged = stored.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int"))
+    blocks = max(1, math.ceil(vectors.count() / block_symbols))
+    tagged = vectors.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     met = tagged.withColumn("_other", partner).withColumns(
         {"bi": F.least("block", "_other"), "bj": F.greatest("block", "_other")}
@@ -112,12 +111,13 @@ def pair_correlations(
 
 
 def contagion_matrix(scored: DataFrame, days: int = 30) -> DataFrame:
-    return pair_correlations(return_vectors(scored, days))
+    return pair_correlations(stage(return_vectors(scored, days), "return_vectors"))
 
 
 def submatrix(scored: DataFrame, symbols: DataFrame, days: int = 30) -> DataFrame:
     """The matrix restricted to a set of symbols on both axes; the restriction precedes the product."""
-    return pair_correlations(return_vectors(scored, days).join(symbols, "symbol", "left_semi"))
+    chosen = return_vectors(scored, days).join(symbols, "symbol", "left_semi")
+    return pair_correlations(stage(chosen, "return_vectors"))
 
 
 def both_orders(pairs: DataFrame) -> DataFrame:
@@ -172,7 +172,7 @@ def _is_star_forest(edges: DataFrame) -> bool:
     return further.unionByName(split).isEmpty()
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """Component label (smallest member) of every node that has an edge.
 
     Alternates the large-star and small-star steps of Kiveris et al., "Connected Components in MapReduce and
@@ -180,12 +180,10 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     each round's edges are written to the shared folder, so neither hubs nor lost executors hurt.
     """
     current = stage(edges.select(F.col("symbol_a").alias("u"), F.col("symbol_b").alias("v")).distinct(), "edges")
-    for _ in range(max_rounds):
+    while True:  # each round links nodes to smaller ones, so this ends
         current = stage(_small_star(_large_star(current)), "edges")
         if _is_star_forest(current):
             break
-    else:
-        raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = current.select(F.col("u").alias("symbol"), F.col("v").alias("cluster"))
     roots = current.select(F.col("v").alias("symbol"), F.col("v").alias("cluster")).distinct()
     return members.unionByName(roots)
@@ -193,7 +191,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
 
 def contagion_clusters(scored: DataFrame, threshold: float = 0.7, days: int = 30) -> DataFrame:
     """Every symbol of the window with its cluster; symbols without a strong partner form their own."""
-    vectors = return_vectors(scored, days)
+    vectors = stage(return_vectors(scored, days), "return_vectors")
     strong = pair_correlations(vectors, threshold).filter("symbol_a <> symbol_b")
     grouped = connected_components(strong)
     return vectors.select("symbol").join(grouped, "symbol", "left").select(

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.guards import ratio
 from tickerloom.operators.labels import CLASSES, NEUTRAL, label_distribution, usable_folds
 from tickerloom.operators.ranking import QUANTILE_ACCURACY
+from tickerloom.workspace import stage
 
 ACCURACY_WITHOUT_CALLS = 0.5
 
@@ -85,10 +86,16 @@ def auc_ovr_weighted(df: DataFrame, keys: list[str]) -> DataFrame:
     return areas.groupBy(*keys).agg(F.when(whole, weighted).otherwise(F.lit(0.0)).alias("auc_roc"))
 
 
-def fold_metrics(folded: DataFrame) -> DataFrame:
-    """All metrics per symbol and fold, test rows of usable folds only. F1 and accuracy share one set of counts."""
+def fold_metrics(folded: DataFrame, usable: DataFrame | None = None) -> DataFrame:
+    """All metrics per symbol and fold, test rows of usable folds only.
+
+    The rows are stored once and read by each metric. ``usable`` names the usable folds where ``folded`` has no training
+    rows to tell them by.
+    """
     keys = ["symbol", "fold"]
-    test = folded.filter("part = 'test'").join(usable_folds(folded), keys, "left_semi")
+    shown = ["label", "prediction", "score_up", "score_down", "score_neutral"]
+    rows = stage(folded.select(*keys, "part", *shown), "folded")
+    test = rows.filter("part = 'test'").join(usable_folds(rows) if usable is None else usable, keys, "left_semi")
     return (
         f1_scores(test, keys).join(directional_accuracy(test, keys), keys).join(auc_ovr_weighted(test, keys), keys)
     )

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.operators.selection import at_latest_date, coverage, semi_join_coverage
+from tickerloom.ordering import running_total
 
 # Rank error of the quantile sketch is one in this many rows. The sketches of all tasks meet in one merge, so this
 # also bounds what that merge receives.
@@ -29,8 +30,10 @@ def top_by_volume(scored: DataFrame, n: int = 30, min_coverage: float = 0.9) ->
 
 
 def leaderboard(scored: DataFrame, sort_by: str, n: int = 10) -> DataFrame:
-    """Latest day sorted by a column of the user's choice; 10 to 100 rows."""
-    return top_by(at_latest_date(scored), sort_by, max(10, min(n, 100)))
+    """The first ``n`` rows of the latest day, sorted by a column of the user's choice."""
+    if n < 1:
+        raise ValueError(f"n must be positive, not {n}")
+    return top_by(at_latest_date(scored), sort_by, n)
 
 
 def risk_scatter(scored: DataFrame) -> DataFrame:
@@ -42,26 +45,48 @@ def compare_series(scored: DataFrame, first: str, second: str) -> DataFrame:
     return chosen.select("symbol", "date", "close_usd", "volatility_30d").orderBy("symbol", "date")
 
 
-def describe(df: DataFrame, columns: list[str], accuracy: int = QUANTILE_ACCURACY) -> DataFrame:
-    """Count, mean, deviation, extremes and quartiles, one row per column, in a single pass over the table.
+def _long(df: DataFrame, columns: list[str]) -> DataFrame:
+    pairs = [F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns]
+    return df.select(F.inline(F.array(*pairs)))
 
-    Quartiles come from mergeable sketches, so no task ever holds a whole column. They are exact as long as the
-    table has fewer rows than ``accuracy``.
+
+def _summary(values: DataFrame) -> DataFrame:
+    return values.groupBy("measure").agg(
+        F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("stddev"),
+        F.min("value").alias("min"), F.max("value").alias("max"),
+    )
+
+
+DESCRIBED = ["measure", "n", "mean", "stddev", "min", "q25", "q50", "q75", "max"]
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Count, mean, deviation, extremes and exact quartiles, one row per column.
+
+    A quartile is the smallest value that at least that share of the known values do not exceed. Values are counted,
+    and the counts summed over ranges of the sorted values, so no task holds a whole column. Columns without values have
+    null statistics. The table is read twice.
     """
-    stats = []
-    for c in columns:
-        q = F.percentile_approx(c, [0.25, 0.5, 0.75], accuracy)
-        stats.append(
-            F.struct(
-                F.lit(c).alias("measure"),
-                F.count(c).alias("n"),
-                F.avg(c).alias("mean"),
-                F.stddev_samp(c).alias("stddev"),
-                F.min(c).alias("min"),
-                q[0].alias("q25"),
-                q[1].alias("q50"),
-                q[2].alias("q75"),
-                F.max(c).alias("max"),
-            )
-        )
-    return df.agg(F.array(*stats).alias("_s")).select(F.inline("_s"))
+    values = _long(df, columns)
+    summary = _summary(values)
+    counts = values.filter("value is not null").groupBy("measure", "value").agg(F.count(F.lit(1)).alias("times"))
+    reached = running_total(counts, ["measure", "value"], "times", "reached")
+    before = Window.orderBy("measure").rowsBetween(Window.unboundedPreceding, -1)  # one row per column
+    sizes = summary.select("measure", "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("earlier"))
+    placed = reached.join(F.broadcast(sizes), "measure").withColumn("reached", F.col("reached") - F.col("earlier"))
+    quartiles = placed.groupBy("measure").agg(
+        *[
+            F.min(F.when(F.col("reached") >= F.ceil(F.col("n") * share), F.col("value"))).alias(name)
+            for share, name in ((0.25, "q25"), (0.5, "q50"), (0.75, "q75"))
+        ]
+    )
+    return summary.join(quartiles, "measure", "left").select(*DESCRIBED)
+
+
+def describe_approx(df: DataFrame, columns: list[str]) -> DataFrame:
+    """As :func:`describe` with quartiles from mergeable sketches, each off by at most one in ``QUANTILE_ACCURACY`` ranks; a
+    single pass over the table."""
+    values = _long(df, columns)
+    sketches = values.groupBy("measure").agg(F.percentile_approx("value", [0.25, 0.5, 0.75], QUANTILE_ACCURACY).alias("q"))
+    named = sketches.select("measure", *[F.get("q", F.lit(k)).alias(f"q{p}") for k, p in enumerate((25, 50, 75))])
+    return _summary(values).join(named, "measure").select(*DESCRIBED)

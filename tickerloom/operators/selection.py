@@ -18,9 +18,12 @@ def max_date(df: DataFrame) -> DataFrame:
 def trailing_days(df: DataFrame, days: int = 30) -> DataFrame:
     """Rows dated at most ``days`` before the latest date, so ``days + 1`` calendar dates in all.
 
-    The latest date is a scalar subquery: nothing is collected and the comparison reaches a date-partitioned scan.
+    The latest date is a scalar subquery: nothing is collected and the comparison reaches a date-partitioned scan. A
+    table with a column ``year`` is also filtered by it, so that one partitioned by year opens only recent files.
     """
-    return df.filter(F.col("date") >= F.date_sub(max_date(df).scalar(), days))
+    first = F.date_sub(max_date(df).scalar(), days)
+    recent = df.filter(F.col("date") >= first)
+    return recent.filter(F.col("year") >= F.year(first)) if "year" in df.columns else recent
 
 
 def at_latest_date(df: DataFrame) -> DataFrame:

@@ -7,13 +7,8 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.display import abbrev_money, fixed, signed_pct_text, tiered_price_text
 
-# Coins named in the context block, page sizes of a listing and of the block's listing, and the text
-# used when there is no listing.
+# Fixed value: coins named in the context block.
 CONTEXT_COINS = 25
-LISTING_CAP, CONTEXT_CAP = 250, 50
-UNAVAILABLE = (
-    "[LIVE MARKET CONTEXT: Unavailable. Do NOT provide specific prices — tell user to check Live Market page.]"
-)
 
 
 def market_snapshot(scored: DataFrame) -> DataFrame:
@@ -37,9 +32,11 @@ def by_size() -> list[Column]:
     return [F.desc_nulls_last("market_cap"), F.asc("symbol")]
 
 
-def market_topn(listing: DataFrame, n: int, cap: int = LISTING_CAP) -> DataFrame:
-    """The ``n`` largest by market cap with their rank. The rank window sees the at most ``cap`` rows kept."""
-    kept = listing.orderBy(*by_size()).limit(min(n, cap))
+def market_topn(listing: DataFrame, n: int) -> DataFrame:
+    """The ``n`` largest by market cap with their rank. The rank window sees the ``n`` rows kept."""
+    if n < 1:
+        raise ValueError(f"n must be positive, not {n}")
+    kept = listing.orderBy(*by_size()).limit(n)
     return kept.withColumn("rank", F.row_number().over(Window.orderBy(*by_size())))
 
 
@@ -91,16 +88,18 @@ def market_totals(listing: DataFrame) -> DataFrame:
     )
 
 
-def context_block(listing: DataFrame, index: DataFrame, now: str, coins: int = CONTEXT_COINS) -> DataFrame:
+def context_block(
+    listing: DataFrame, index: DataFrame, now: str, coins: int = CONTEXT_COINS, unavailable: str = "No market data."
+) -> DataFrame:
     """The listing as one text: heading, index, market totals and a line per leading coin.
 
-    ``index`` has one row ``value, label``. Only the leading rows are gathered, never the listing itself.
+    ``index`` has one row ``value, label``; an empty listing gives the text ``unavailable``. Only the leading rows are gathered, never the listing itself.
     """
     line = F.concat(
         F.lit("  "), F.upper("symbol"), F.lit(" ("), F.col("symbol"), F.lit(") = "),
         tiered_price_text(F.col("price_usd")), F.lit(" ("), signed_pct_text(F.col("change_24h")), F.lit(" 24h)"),
     )
-    leading = market_topn(listing, coins, CONTEXT_CAP).select("rank", line.alias("line"))
+    leading = market_topn(listing, coins).select("rank", line.alias("line"))
     lines = leading.agg(F.array_sort(F.collect_list(F.struct("rank", "line"))).alias("_l"))
 
     def money(c: str) -> Column:
@@ -120,7 +119,7 @@ def context_block(listing: DataFrame, index: DataFrame, now: str, coins: int = C
         "\n", F.lit(f"[LIVE MARKET CONTEXT — {now}]"), mood, head, F.lit("Live Coin Prices:"),
         F.array_join(F.transform("_l", lambda r: r["line"]), "\n"),
     )
-    return lines.select(F.when(F.size("_l") > 0, text).otherwise(F.lit(UNAVAILABLE)).alias("context"))
+    return lines.select(F.when(F.size("_l") > 0, text).otherwise(F.lit(unavailable)).alias("context"))
 
 
 # Rule limits of the verdict; only the four labels are given by the reports this follows, the limits are our own.

@@ -11,14 +11,17 @@ from tickerloom.operators.bars import candle_order, dedup_key
 from tickerloom.schemas import CANDLE_FILE
 from tickerloom.workspace import settle
 
-# Fixed value: ``{SYMBOL}-{interval}-{period}`` in the file name, or in a ``key=value`` folder a Spark writer made.
-# Intervals have one or two digits; a longer run would also match the random part of a writer's file names.
-SYMBOL_PATTERN = r"([^/=]+)-(\d{1,2}[a-zA-Z])-"
+# Fixed value: ``{SYMBOL}-{interval}-{period}``, looked for in the value of the last ``key=value`` folder (a Spark writer
+# names its files at random) or else in the file name.
+SYMBOL_PATTERN = r"([^/=]+)-(\d+[a-zA-Z])-"
+LAST_FOLDER, FILE_NAME = r".*/[^/=]+=([^/]+)/[^/]*$", r"([^/]*)$"
 
 
 def symbol_from_path(path: Column) -> Column:
     """Ticker in a candle path, null when the name does not follow the pattern."""
-    return F.nullif(F.regexp_extract(path, SYMBOL_PATTERN, 1), F.lit(""))
+    folder = F.nullif(F.regexp_extract(path, LAST_FOLDER, 1), F.lit(""))
+    named = F.coalesce(folder, F.regexp_extract(path, FILE_NAME, 1))
+    return F.nullif(F.regexp_extract(named, SYMBOL_PATTERN, 1), F.lit(""))
 
 
 def label_candles(raw: DataFrame) -> DataFrame:

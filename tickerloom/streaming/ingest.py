@@ -1,8 +1,8 @@
 """File streams of candles and price events.
 
-State, where there is any, holds fixed-size values per ``(symbol, date)`` and is bounded by the watermark. Sinks write
-one folder per micro-batch under its id, so a batch that is repeated after a failure replaces its own output, and the
-current table is an aggregation over the batches.
+No stream keeps state. Each micro-batch is folded to one row per key and written to a folder under its id, so a batch that
+is repeated after a failure replaces its own output. The current table is an aggregation over the batches that gives the same
+rows for any cut of the events into batches, in any order.
 """
 
 from __future__ import annotations
@@ -28,31 +28,34 @@ def stream_klines(spark: SparkSession, path: str) -> DataFrame:
     return label_candles(raw)
 
 
-def stream_daily_bars(events: DataFrame, delay: str = "2 days") -> DataFrame:
-    """Price events ``symbol, ts, price, event_id`` to daily open, high, low, close and count."""
-    order = F.struct("ts", "event_id")
-    return (
-        events.withWatermark("ts", delay)
-        .groupBy("symbol", F.window("ts", "1 day").alias("day"))
-        .agg(
-            F.min_by("price", order).alias("open"),
-            F.max("price").alias("high"),
-            F.min("price").alias("low"),
-            F.max_by("price", order).alias("close"),
-            F.count(F.lit(1)).alias("n_events"),
-        )
-        .select("symbol", F.col("day.start").cast("date").alias("date"), "open", "high", "low", "close", "n_events")
+FIRST, LAST = "first_event", "last_event"
+
+
+def partial_bars(events: DataFrame) -> DataFrame:
+    """Price events ``symbol, ts, price, event_id`` of one batch as daily bars that can still be merged: open and close keep
+    the time and id of their event."""
+    event = F.struct("ts", "event_id", "price")
+    return events.groupBy("symbol", F.to_date("ts").alias("date")).agg(
+        F.min(event).alias(FIRST), F.max("price").alias("high"), F.min("price").alias("low"), F.max(event).alias(LAST),
+        F.count(F.lit(1)).alias("n_events"),
     )
 
 
-def latest_price(events: DataFrame) -> DataFrame:
-    """Newest price per symbol of one batch of events."""
-    newest = F.max_by(F.struct("price", "ts"), F.struct("ts", "event_id"))
-    return events.groupBy("symbol").agg(newest.alias("_n"), F.max("event_id").alias("event_id")).select(
-        "symbol", "_n.price", "_n.ts", "event_id"
+def merged_bars(parts: DataFrame) -> DataFrame:
+    """Daily open, high, low, close and count from the partial bars of all batches. Late events correct their bar whenever
+    they come; nothing is dropped and no state is kept."""
+    return parts.groupBy("symbol", "date").agg(
+        F.min(FIRST)["price"].alias("open"), F.max("high").alias("high"), F.min("low").alias("low"),
+        F.max(LAST)["price"].alias("close"), F.sum("n_events").alias("n_events"),
     )
 
 
+def latest_price(events: DataFrame) -> DataFrame:
+    """Newest price per symbol of one batch of events, or of the results of several batches."""
+    newest = F.max(F.struct("ts", "event_id", "price")).alias("_n")
+    return events.groupBy("symbol").agg(newest).select("symbol", "_n.price", "_n.ts", "_n.event_id")
+
+
 def drain(stream: DataFrame, path: str, mode: str = "append", fold=None) -> StreamingQuery:
     """Run a stream over everything available now, writing each micro-batch to ``path/batches/batch=<id>``."""
 
@@ -73,11 +76,3 @@ def drain(stream: DataFrame, path: str, mode: str = "append", fold=None) -> Stre
 
 def batches(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/batches")
-
-
-def newest_per_key(written: DataFrame, keys: list[str]) -> DataFrame:
-    """The row each key had in the last micro-batch that touched it."""
-    payload = [c for c in written.columns if c not in (*keys, "batch")]
-    return (
-        written.groupBy(*keys).agg(F.max_by(F.struct(*payload), "batch").alias("_r")).select(*keys, "_r.*")
-    )

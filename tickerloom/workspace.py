@@ -17,7 +17,8 @@ def settle(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
+    """Folder all executors can reach, as named by ``spark.checkpoint.dir``; the setting is trusted, since a ``file:`` path
+    may be a mount that all machines share.
 
     Only a single-machine (``local[..]``) session may go without the setting; it then gets one folder per
     application. On a cluster a missing setting is an error, since a machine-local folder would be lost with its
