@@ -32,6 +32,16 @@ def shingle_set(text, size):
     return {tuple(w[i : i + size]) for i in range(max(len(w) - size + 1, 1))} if w else set()
 
 
+def overlap_words(text, item):
+    """Whether a text holds 13 words in a row (or the whole of a shorter item) with few enough substitutions."""
+    t = re.findall(r"[a-z0-9é]+", (text or "").lower())
+    width, allowed = min(13, len(item)), 2 if len(item) >= 13 else 1
+    return len(item) >= 8 and any(
+        sum(x == y for x, y in zip(t[i : i + width], item[j : j + width])) >= width - allowed
+        for i in range(len(t) - width + 1) for j in range(len(item) - width + 1)
+    )
+
+
 def classes(ids, linked):
     parent = {i: i for i in ids}
 
@@ -132,15 +142,7 @@ def test_overlaps_equal_brute_force(spark):
     )
     item_words = {i: w for i, w in enumerate(items)} | {92: ["é"] * 20}
 
-    def overlap(text, w):
-        t = re.findall(r"[a-z0-9é]+", (text or "").lower())
-        width, allowed = min(13, len(w)), 2 if len(w) >= 13 else 1
-        return len(w) >= 8 and any(
-            sum(x == y for x, y in zip(t[i : i + width], w[j : j + width])) >= width - allowed
-            for i in range(len(t) - width + 1) for j in range(len(w) - width + 1)
-        )
-
-    want = sorted(((d, i) for d, t in rows for i, w in item_words.items() if overlap(t, w)), key=str)
+    want = sorted(((d, i) for d, t in rows for i, w in item_words.items() if overlap_words(t, w)), key=str)
     docs = docs_of(spark, rows)
     for size in (10**6, 40):  # one part and several
         settings = decontamination.OverlapSettings(part_words=size)
