@@ -17,6 +17,10 @@ from tickerloom.llm.linkage import link_buckets
 from tickerloom.workspace import stage
 
 
+#: Letters whose counts rule out most pairs before they are compared; any choice gives the same result.
+LETTERS = "etanoirshdlucmfg"
+
+
 @dataclass(frozen=True)
 class LineSettings:
     """Lines of at least ``least`` characters take part; shorter ones stay. ``edits`` is the largest edit distance of a link."""
@@ -127,22 +131,44 @@ def line_classes(docs: DataFrame, settings: LineSettings | None = None) -> DataF
     settings = settings or LineSettings()
     lines = _lines(docs, settings)
     keyed = lines.select("node", F.inline(segment_keys(F.col("line"), F.col("length"), settings.edits)))
-    keyed = keyed.filter("bucket is not null")
+    keyed = stage(keyed.filter("bucket is not null"), "keyed")
     met = keyed.groupBy("bucket").agg(
         F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("is_index").alias("indexed")
     )
     met = stage(met.filter("lo <> hi and indexed = 1").select("bucket"), "met")
     buckets = semi_filter(keyed.select("bucket", "node"), "bucket", met, "bucket").join(met, "bucket").distinct()
+    buckets = stage(buckets, "buckets")
+    nodes = buckets.select("node").distinct()
+    texts = semi_filter(lines.select("node", "line"), "node", nodes, "node").join(nodes, "node")
+    texts = stage(texts.dropDuplicates(["node"]).withColumn("facts", _letters(F.col("line"))), "texts")
+    possible = _may_be_near(settings.edits)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        pairs = stage(pairs, "pairs")
-        wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-        texts = semi_filter(lines.select("node", "line"), "node", wanted, "node").join(wanted, "node", "left_semi")
-        texts = stage(texts.dropDuplicates(["node"]), "texts")
-        named = pairs.join(texts.toDF("a", "la"), "a").join(texts.toDF("b", "lb"), "b")
-        return named.filter(within_edits(F.col("la"), F.col("lb"), settings.edits)).select("a", "b")
-
-    return link_buckets(stage(buckets, "buckets"), verify)
+        named = pairs.join(texts.toDF("a", "la", "fa"), "a").join(texts.toDF("b", "lb", "fb"), "b")
+        near = named.filter(possible(F.col("fa"), F.col("fb"), F.col("fb")))
+        return near.filter(within_edits(F.col("la"), F.col("lb"), settings.edits)).select("a", "b")
+
+    return link_buckets(
+        buckets, verify, lambda nodes: texts.join(nodes, "node", "left_semi").select("node", "facts"), possible
+    )
+
+
+def _letters(line: Column) -> Column:
+    """How often each of ``LETTERS`` occurs, and the length."""
+    size = F.length(line)
+    counts = [(size - F.length(F.translate(line, c, ""))).alias(c) for c in LETTERS]
+    return F.struct(size.alias("size"), *counts)
+
+
+def _may_be_near(edits: int):
+    """An edit changes the length by one at most, and at most two letter counts by one each. ``low`` and ``high`` bound the
+    counts of one or several lines."""
+
+    def possible(x: Column, low: Column, high: Column) -> Column:
+        gaps = [F.greatest(low[c] - x[c], x[c] - high[c], F.lit(0)) for c in ("size", *LETTERS)]
+        return (gaps[0] <= edits) & (sum(gaps[2:], gaps[1]) <= 2 * edits)
+
+    return possible
 
 
 def dedup_lines(docs: DataFrame, settings: LineSettings | None = None) -> DataFrame:
