@@ -23,6 +23,9 @@ from tickerloom.llm.words import blocks, mix, shingle_sets
 from tickerloom.workspace import stage
 
 
+PARTS = 16
+
+
 @dataclass(frozen=True)
 class NearSettings:
     """Similarity is at least ``percent`` of 100 over shingles of ``words`` words. ``bands`` of ``rows`` registers: a pair at
@@ -160,19 +163,62 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, settings: NearSettings) -> Da
     return named.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold. Sets are made only for texts of the given pairs."""
-    pairs = stage(pairs, "estimated")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+def _sets(docs: DataFrame, wanted: DataFrame, settings: NearSettings, exploded: bool = False) -> DataFrame:
+    """``node, members`` (sorted hashes, packed) of the wanted nodes, or one row per ``node, shingle``. Sets are made only for
+    texts that pass a fixed-size filter of the wanted ids."""
     table = key_filter(wanted, "node")
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             batch = batch.filter(pa.array(passes(table, batch.column("place").to_numpy())))
             for block in blocks(iter([batch])):
                 values, offsets = shingle_sets(block.column("text"), settings.words)
-                packed = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(packed, pa.binary())], ["node", "members"])
+                if exploded:
+                    owner = np.repeat(np.arange(block.num_rows), np.diff(offsets))
+                    yield pa.RecordBatch.from_arrays(
+                        [block.column("doc_id").take(pa.array(owner)), pa.array(values.view(np.int64))], ["node", "shingle"]
+                    )
+                else:
+                    packed = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                    yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(packed, pa.binary())], ["node", "members"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    texts = docs.filter("doc_id is not null").select("doc_id", "text", place_of("doc_id").alias("place"))
+    sets = texts.mapInArrow(run, f"node {kind}, " + ("shingle long" if exploded else "members binary"))
+    return sets.join(wanted, "node", "left_semi")
+
+
+def _common(nodes: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
+    """``node, facts``: the size of each node's set and, by ``PARTS`` parts of the hash space, how many of its members some
+    other of the nodes has, too."""
+    part = F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")
+    held = stage(_sets(docs, nodes, settings, exploded=True), "held")
+    single = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
+    counted = held.select("node", part, F.lit(1).alias("n")).unionByName(single.select("node", part, F.lit(-1).alias("n")))
+    common = counted.groupBy("node").agg(
+        *[F.sum(F.when(F.col("part") == k, F.col("n")).otherwise(0)).cast("int").alias(f"p{k}") for k in range(PARTS)],
+        F.sum(F.when(F.col("n") > 0, 1).otherwise(0)).alias("size"),
+    )
+    return common.select("node", F.struct("size", *[f"p{k}" for k in range(PARTS)]).alias("facts"))
+
+
+def _can_reach(settings: NearSettings):
+    """Two sets cannot reach the threshold if even all members they may share, part by part, are too few. ``low`` and
+    ``high`` bound the counts of one or several sets."""
+
+    def possible(x, low, high):
+        shared = F.least(x["p0"], high["p0"])
+        for k in range(1, PARTS):
+            shared = shared + F.least(x[f"p{k}"], high[f"p{k}"])
+        return 100 * shared >= settings.percent * (x["size"] + low["size"] - shared)
+
+    return possible
+
+
+def _verified(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
+    """Pairs whose full shingle sets reach the threshold."""
+    pairs = stage(pairs, "estimated")
+    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -186,9 +232,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> Data
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.filter("doc_id is not null").select("doc_id", "text", place_of("doc_id").alias("place"))
-    members = texts.mapInArrow(sets, f"node {kind}, members binary").join(wanted, "node", "left_semi")
-    members = stage(members.dropDuplicates(["node"]), "members")
+    members = stage(_sets(docs, wanted, settings).dropDuplicates(["node"]), "members")
     named = pairs.join(members.toDF("a", "ma"), "a").join(members.toDF("b", "mb"), "b")
     return named.select("a", "b", "ma", "mb").mapInArrow(compare, f"a {kind}, b {kind}")
 
@@ -210,7 +254,12 @@ def near_duplicates(docs: DataFrame, settings: NearSettings | None = None) -> Da
     )
     nodes = stage(nodes.dropDuplicates(["node"]), "nodes")
     buckets = stage(_banded(nodes, settings), "bands")
-    found = link_buckets(buckets, lambda pairs: _verified(_estimated(pairs, nodes, settings), docs, settings))
+    found = link_buckets(
+        buckets,
+        lambda pairs: _verified(_estimated(pairs, nodes, settings), docs, settings),
+        lambda open_nodes: _common(open_nodes, docs, settings),
+        _can_reach(settings),
+    )
     named = live.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
     classes = named.join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("linked"))
     joined = sketches.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")

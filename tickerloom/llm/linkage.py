@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.operators.contagion import connected_components
 from tickerloom.workspace import stage
 
 Verify = Callable[[DataFrame], DataFrame]
+Possible = Callable[[Column, Column, Column], Column]
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -26,33 +27,59 @@ def _with_component(buckets: DataFrame, links: DataFrame) -> DataFrame:
     return stage(named.join(mixed.select("bucket"), "bucket"), "open")
 
 
+def _anything(x: Column, low: Column, high: Column) -> Column:
+    return F.lit(True)
+
+
 def _pairs(rows: DataFrame, leader: str) -> DataFrame:
     pairs = rows.filter(F.col(leader) != F.col("node"))
     return pairs.select(F.least(leader, "node").alias("a"), F.greatest(leader, "node").alias("b")).distinct()
 
 
-def link_buckets(buckets: DataFrame, verify: Verify) -> DataFrame:
+def _leader_pairs(rows: DataFrame, possible: Possible) -> DataFrame:
+    """Members of each open bucket paired with six members of other classes, picked by hash."""
+    member = F.struct("node", "component", "facts")
+    picks = []
+    for salt in range(3):
+        order = F.struct(F.xxhash64("node", "bucket", F.lit(salt)), F.col("node"))
+        picks += [F.min_by(member, order), F.max_by(member, order)]
+    leaders = rows.groupBy("bucket").agg(F.array(*picks).alias("leaders"))
+    near = rows.join(leaders, "bucket").select("node", "component", "facts", F.explode("leaders").alias("leader"))
+    near = near.filter("leader.component <> component").filter(possible(F.col("facts"), F.col("leader.facts"), F.col("leader.facts")))
+    return _pairs(near.select("node", F.col("leader.node").alias("leader")), "leader")
+
+
+def link_buckets(
+    buckets: DataFrame, verify: Verify, facts: Callable[[DataFrame], DataFrame] | None = None, possible: Possible | None = None
+) -> DataFrame:
     """``node, component`` of every node that has a link, exact with respect to the buckets: two nodes that share a bucket
     and pass ``verify`` end in one class.
 
     ``buckets`` (``bucket, node``, stored) names candidates; ``verify`` keeps those rows of a table of pairs ``a < b`` that
-    are links. First every member is compared with its bucket's smallest node, then with two members picked by hash, and
-    buckets whose members by then form one class are done. Only pairs of different classes in one bucket are left, and
-    those are compared one by one. A group of n copies therefore costs a few n comparisons rather than n * n.
+    are links. First every member is compared with its bucket's smallest node, then with a few members of other classes; a
+    bucket whose members form one class is done. What is left are pairs of different classes in one bucket. They are
+    compared one by one, except those that ``possible`` rules out while they are joined: first a node against a class,
+    then the two nodes. It sees the node's ``facts`` (``node, facts`` for a table of open nodes, a struct of numbers)
+    and the least and greatest of the other side's. A group of n copies costs a few n comparisons and those of its
+    outliers rather than n * n.
     """
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
     shared = stage(buckets.join(shared.filter("leader <> last").select("bucket", "leader"), "bucket"), "shared")
     links = stage(verify(_pairs(shared, "leader")), "links")
-    rows = _with_component(shared, links)
-    order = F.struct(F.xxhash64("node", "bucket"), F.col("node"))
-    picked = rows.groupBy("bucket").agg(F.min_by("node", order).alias("first"), F.max_by("node", order).alias("second"))
-    near = rows.select("bucket", "node").join(picked, "bucket")
-    tried = _pairs(near, "first").unionByName(_pairs(near, "second")).distinct()
-    links = stage(links.unionByName(verify(tried)).distinct(), "links")
-    rows = _with_component(rows.select("bucket", "node", "leader"), links)
-    classes = rows.select("bucket", F.col("component").alias("other")).distinct()
-    crossed = rows.join(classes, "bucket").filter("other > component").select("bucket", "other", F.col("node").alias("x"))
-    facing = rows.select("bucket", F.col("component").alias("other"), F.col("node").alias("y"))
-    pairs = crossed.join(facing, ["bucket", "other"])
-    pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = _with_component(shared.select("bucket", "node"), links)
+    known = facts(rows.select("node").distinct()) if facts else rows.select("node", F.struct(F.lit(0).alias("none")).alias("facts"))
+    known, possible = stage(known.distinct(), "facts"), possible or _anything
+    links = stage(links.unionByName(verify(_leader_pairs(rows.join(known, "node"), possible))).distinct(), "links")
+    rows = stage(_with_component(rows.select("bucket", "node"), links).join(known, "node"), "open")
+    names = rows.schema["facts"].dataType.names
+    bounds = [F.struct(*[f(F.col(f"facts.{c}")).alias(c) for c in names]).alias(k) for f, k in ((F.min, "low"), (F.max, "high"))]
+    classes = rows.groupBy("bucket", F.col("component").alias("other")).agg(*bounds).withColumnRenamed("bucket", "in")
+    reach = (F.col("bucket") == F.col("in")) & (F.col("other") > F.col("component"))
+    crossed = rows.join(classes, reach & possible(F.col("facts"), F.col("low"), F.col("high")))
+    crossed = crossed.select("bucket", "other", F.col("node").alias("x"), F.col("facts").alias("fx"))
+    facing = rows.select(
+        F.col("bucket").alias("met"), F.col("component").alias("class"), F.col("node").alias("y"), F.col("facts").alias("fy")
+    )
+    meet = (F.col("bucket") == F.col("met")) & (F.col("other") == F.col("class")) & possible(F.col("fx"), F.col("fy"), F.col("fy"))
+    pairs = crossed.join(facing, meet).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     return components(stage(links.unionByName(verify(pairs)).distinct(), "links"))
