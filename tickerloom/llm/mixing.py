@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickerloom.llm.ordering import cut_at, running_total
+from tickerloom.ordering import cut_at, running_total
 from tickerloom.workspace import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
