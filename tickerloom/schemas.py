@@ -24,20 +24,12 @@ CANDLE_FILE = T.StructType(
 
 USD_BAR_COLUMNS = ["date", "symbol", "close", "volume", "close_usd", "volume_usd"]
 
-SIGNALS = "symbol string, date date, signal string, prob_up double, prob_down double, prob_neutral double"
-
+# The columns of a forecast.
 FORECAST = (
     "symbol string, date date, predicted_p10 double, predicted_p50 double, "
     "predicted_p90 double, predicted_close double"
 )
 
-METRICS = (
-    "symbol string, f1_weighted double, f1_macro double, dir_accuracy double, auc_roc double, rmse double, "
-    "mae double, n_up bigint, n_down bigint, n_neutral bigint, n_days bigint, status string"
-)
-
-PRICE_HISTORY = "date timestamp, price double, volume double"
-
 # The record layout of a market listing and the names the engine gives its fields.
 MARKET_RECORD = T.ArrayType(
     T.StructType(
