@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.filters import key_filter, passes, place_of
 from tickerloom.llm.warc import filesystem
-from tickerloom.llm.words import Cache, blocks, byte_grams, flat_bytes, mix
+from tickerloom.llm.words import Cache, blocks, byte_grams, flat_bytes, mix, range_hashes
 from tickerloom.workspace import fresh_path, stage
 
 NO_ID = np.iinfo(np.int64).max
@@ -34,7 +34,7 @@ class RepeatSettings:
     length: int = 50
     gram: int = 20
     filter_bits: int = 27
-    bucket_bytes: int = 24 << 20
+    bucket_bytes: int = 8 << 20
     collection: int = 16384
 
     @property
@@ -322,7 +322,7 @@ def _removed(candidates: DataFrame, settings: RepeatSettings) -> DataFrame:
         sizes = sizes.astype(np.int64)
         starts = np.cumsum(sizes) - sizes
         # equal segments are sorted once, for their smallest document
-        named = byte_grams(data, 0, starts, sizes) + mix(sizes.astype(np.uint64) + piece)
+        named = range_hashes(data, starts, sizes) + mix(sizes.astype(np.uint64) + piece)
         by = np.lexsort((named, piece))
         new = np.concatenate(([True], (named[by][1:] != named[by][:-1]) | (piece[by][1:] != piece[by][:-1])))
         kind = np.empty(len(by), np.int64)

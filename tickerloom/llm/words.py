@@ -109,16 +109,31 @@ def word_hashes(
 _BYTE = mix(np.arange(300, 556, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def byte_grams(data: np.ndarray, size: int, starts: np.ndarray | None = None, sizes: np.ndarray | None = None) -> np.ndarray:
-    """Hash of the ``size`` bytes at every place, or of the ranges given by ``starts`` and ``sizes``."""
+def _byte_totals(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     up, down = _powers(len(data) + 1)
     total = np.zeros(len(data) + 1, np.uint64)
     np.cumsum(_BYTE[data] * up[:-1], out=total[1:])
-    if starts is not None:
-        return mix((total[starts + sizes] - total[starts]) * down[starts])
+    return total, down
+
+
+def byte_grams(data: np.ndarray, size: int) -> np.ndarray:
+    """Hash of the ``size`` bytes at every place."""
+    total, down = _byte_totals(data)
     return mix((total[size:] - total[:-size]) * down[: len(total) - size])
 
 
+def range_hashes(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, limit: int = BLOCK_BYTES // 2) -> np.ndarray:
+    """Hashes of ranges that lie one after the other, made from about ``limit`` bytes at a time."""
+    out = np.empty(len(starts), np.uint64)
+    cuts = np.unique(np.searchsorted(starts, np.arange(0, len(data) + limit, limit)))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        low = starts[x]
+        total, down = _byte_totals(data[low : starts[y - 1] + sizes[y - 1]])
+        at = starts[x:y] - low
+        out[x:y] = mix((total[at + sizes[x:y]] - total[at]) * down[at])
+    return out
+
+
 def shingles(words: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all runs of ``size`` words within each text, and offsets of the texts into them. A text with fewer words
     gives its whole sequence as one run, a text without words none."""
