@@ -23,7 +23,7 @@ from tickerloom.llm.words import blocks, mix, shingle_sets
 from tickerloom.workspace import stage
 
 
-PARTS = 16
+PARTS = 32
 
 
 @dataclass(frozen=True)
