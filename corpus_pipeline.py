@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.decontamination import drop_overlapping
 from tickerloom.llm.hyperminhash import NearSettings, near_duplicates
-from tickerloom.llm.line_dedup import dedup_lines
+from tickerloom.llm.line_dedup import WHOLE, dedup_lines
 from tickerloom.llm.mixing import mix_sources
 from tickerloom.llm.toxicity import learn_lexicon, score_toxicity, training_rows
 from tickerloom.workspace import stage
@@ -31,7 +31,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without lines that an earlier place has, too; every document stays, ``n_chars`` follows the text."""
-    done = dedup_lines(docs)
+    done = dedup_lines(docs, WHOLE)
     chars = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")).alias("n_chars")
     return done.select(*[chars if c == "n_chars" else F.col(c) for c in docs.columns])
 

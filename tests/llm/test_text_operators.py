@@ -10,6 +10,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from tickerloom.llm import chat, decontamination, hyperminhash, line_dedup, mixing, repeats, token_counts, toxicity, words
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -218,6 +219,17 @@ def test_line_dedup_equals_brute_force(spark, edits):
     assert line_dedup.dedup_lines(docs.limit(0), settings).count() == 0
 
 
+def test_query_drops_lines_two_edits_away_and_equal_short_ones(spark, tmp_path):
+    near = ("the quick brown fox jumps over it", "the quick brawn fox jumps over is", "the quiet brawn fox jumps over is")
+    rows = [(1, near[0] + "\n\nshort é\nshort e"), (2, near[1] + "\n\nshort é\n \nother"), (3, near[2] + "\nshort é\nother\n\n ")]
+    docs_of(spark, rows + [(4, "q" * 40 + "\nshort")]).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_removed) for r in line_dedup.op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (4, 0), 2: (5, 2), 3: (5, 3), 4: (2, 0)}
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    piped = {r.doc_id: r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, "").collect()}
+    assert (piped[2], piped[3]) == ("\n \nother", "\n ")
+
+
 def test_line_dedup_runs_no_python(spark):
     docs = docs_of(spark, [(1, "a" * 30), (2, "a" * 30)])
     plan = line_dedup.dedup_lines(docs)._jdf.queryExecution().executedPlan().toString()

@@ -23,10 +23,16 @@ LETTERS = "etanoirshdlucmfg"
 
 @dataclass(frozen=True)
 class LineSettings:
-    """Lines of at least ``least`` characters take part; shorter ones stay. ``edits`` is the largest edit distance of a link."""
+    """Lines of at least ``least`` characters take part; ``edits`` is the largest edit distance of a link. With ``short``, equal
+    shorter lines are repeats, too, without edits; blank ones always stay, as they part paragraphs."""
 
-    edits: int = 1
+    edits: int = 2
     least: int = 20
+    short: bool = False
+
+
+#: Settings of the query and of the pipeline.
+WHOLE = LineSettings(short=True)
 
 
 def probes(edits: int) -> list[tuple[int, int, int]]:
@@ -118,10 +124,15 @@ def within_edits(a: Column, b: Column, edits: int) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= edits) & (distance <= edits)
 
 
+def _takes_part(line: Column, settings: LineSettings) -> Column:
+    long = F.length(line) >= settings.least
+    return long | line.rlike(r"\S") if settings.short else long
+
+
 def _lines(docs: DataFrame, settings: LineSettings) -> DataFrame:
     """``doc_id, at, line, node, length`` of the lines that take part; a node is a line's 64-bit hash."""
     lines = docs.filter("doc_id is not null").select("doc_id", F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return lines.withColumn("length", F.length("line")).filter(F.col("length") >= settings.least).withColumn(
+    return lines.withColumn("length", F.length("line")).filter(_takes_part(F.col("line"), settings)).withColumn(
         "node", F.xxhash64("line")
     )
 
@@ -129,7 +140,7 @@ def _lines(docs: DataFrame, settings: LineSettings) -> DataFrame:
 def line_classes(docs: DataFrame, settings: LineSettings | None = None) -> DataFrame:
     """``node, component`` of every different line that lies within ``edits`` edits of another, over chains of such lines."""
     settings = settings or LineSettings()
-    lines = _lines(docs, settings)
+    lines = _lines(docs, settings).filter(F.col("length") >= settings.least)
     keyed = lines.select("node", F.inline(segment_keys(F.col("line"), F.col("length"), settings.edits)))
     keyed = stage(keyed.filter("bucket is not null"), "keyed")
     met = keyed.groupBy("bucket").agg(
@@ -177,7 +188,8 @@ def dedup_lines(docs: DataFrame, settings: LineSettings | None = None) -> DataFr
 
     Lines are what line feeds separate. Those of at least ``least`` characters form classes: equal lines, and lines linked by
     at most ``edits`` edits, over chains. Of a class the occurrence with the smallest ``doc_id``, then the smallest place,
-    stays and all others go. Shorter lines always stay, and so does every document, if need be with an empty text. Null text stays null
+    stays and all others go. Shorter lines form classes of equal lines with ``short``, unless they are blank, and stay without it.
+    Every document stays, if need be with an empty text. Null text stays null
     with 0 lines, an empty text has one line, documents with a null id are passed through and take no part; rows that
     share an id count as one document, so repeated rows lose the same lines. An empty table gives an empty table.
     Lines are told apart by 64-bit hashes.
@@ -196,10 +208,10 @@ def dedup_lines(docs: DataFrame, settings: LineSettings | None = None) -> DataFr
     kept = kept.withColumnRenamed("doc_id", "__doc")
     every = F.split("text", "\n")
     joined = docs.join(kept, F.col("doc_id") == F.col("__doc"), "left").withColumn("__lines", every)
-    short = F.filter(
-        F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: F.length(F.get("__lines", i)) < settings.least
+    outside = F.filter(
+        F.sequence(F.lit(0), F.size("__lines") - 1), lambda i: ~_takes_part(F.get("__lines", i), settings)
     )
-    stays = F.array_sort(F.array_union(short, F.coalesce("__kept", F.array().cast("array<int>"))))
+    stays = F.array_sort(F.array_union(outside, F.coalesce("__kept", F.array().cast("array<int>"))))
     stays = F.when(F.col("doc_id").isNull(), F.sequence(F.lit(0), F.size("__lines") - 1)).otherwise(stays)
     stays = F.filter(stays, lambda i: i < F.size("__lines"))
     rebuilt = joined.withColumn("__stays", F.when(F.col("text").isNotNull(), stays))
@@ -216,7 +228,7 @@ def dedup_lines(docs: DataFrame, settings: LineSettings | None = None) -> DataFr
 def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     """Every document with its number of lines, of removed lines, and a digest of the text that is left."""
     docs = spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text")
-    return dedup_lines(docs).select(
+    return dedup_lines(docs, WHOLE).select(
         "doc_id", "n_lines", "n_removed", F.length("text").cast("long").alias("n_chars_left"),
         F.sha2("text", 256).alias("kept_sha256"),
     )
