@@ -101,6 +101,16 @@ def test_near_duplicates_equal_all_pairs(spark, settings):
             assert (r.n_shingles, r.component_id, r.kept) == (len(sets[r.doc_id]), want[r.doc_id], want[r.doc_id] == r.doc_id)
 
 
+def test_repeated_rows_inside_a_chain_are_linked(spark):
+    """Neighbours in a chain share 93 of 107 words, others too few; the smallest member is a partner of the second alone."""
+    settings = hyperminhash.NearSettings(words=1, percent=85, bands=4, rows=1)
+    chain = {c: [[f"c{c}w{i}" for i in range(7 * k, 7 * k + 100)] for k in range(4)] for c in range(12)}
+    rows = [(10 * c + k, " ".join(w)) for c, parts in chain.items() for k, w in enumerate(parts)]
+    rows += [(10 * c + 2, " ".join(parts[2])) for c, parts in chain.items()]
+    got = hyperminhash.near_duplicates(docs_of(spark, rows), settings).collect()
+    assert len(got) == 60 and [r for r in got if r.component_id != r.doc_id // 10 * 10] == []
+
+
 def test_registers_estimate_similarity_and_borrow():
     settings = hyperminhash.NearSettings(bands=200, rows=5)
     rng = np.random.default_rng(1)

@@ -99,23 +99,26 @@ def estimated_similarity(same: np.ndarray, n: np.ndarray, m: np.ndarray, setting
     return (same - chance) / (settings.registers - chance)
 
 
+def _names(values: np.ndarray, offsets: np.ndarray) -> list[pa.Array]:
+    """The two halves of every set's 128-bit name, 0 for sets without members."""
+    live, names = np.diff(offsets) > 0, []
+    for salt in (0x1234_5678_9ABC_DEF1, 0x0FED_CBA9_8765_4321):
+        total = np.zeros(len(values) + 1, np.uint64)
+        np.cumsum(mix(values ^ np.uint64(salt)), out=total[1:])
+        names.append(pa.array(np.where(live, mix(total[offsets[1:]] - total[offsets[:-1]]), np.uint64(0)).view(np.int64)))
+    return names
+
+
 def _sketches(docs: DataFrame, settings: NearSettings) -> DataFrame:
     """Per row: ``doc_id, n_shingles``, the 128-bit name of its set (``s1, s2``) and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches):
             values, offsets = shingle_sets(block.column("text"), settings.words)
-            live = np.diff(offsets) > 0
-            names = []
-            for salt in (0x1234_5678_9ABC_DEF1, 0x0FED_CBA9_8765_4321):
-                total = np.zeros(len(values) + 1, np.uint64)
-                np.cumsum(mix(values ^ np.uint64(salt)), out=total[1:])
-                names.append(np.where(live, mix(total[offsets[1:]] - total[offsets[:-1]]), np.uint64(0)).view(np.int64))
             kept = registers_of(values, offsets, settings)
             packed = [kept[i].tobytes() for i in range(len(kept))]
             yield pa.RecordBatch.from_arrays(
-                [block.column("doc_id"), pa.array(np.diff(offsets)), pa.array(names[0]), pa.array(names[1]),
-                 pa.array(packed, pa.binary())],
+                [block.column("doc_id"), pa.array(np.diff(offsets)), *_names(values, offsets), pa.array(packed, pa.binary())],
                 ["doc_id", "n_shingles", "s1", "s2", "registers"],
             )
 
@@ -163,9 +166,9 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, settings: NearSettings) -> Da
     return named.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, f"a {kind}, b {kind}")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, settings: NearSettings, exploded: bool = False) -> DataFrame:
-    """``node, members`` (sorted hashes, packed) of the wanted nodes, or one row per ``node, shingle``. Sets are made only for
-    texts that pass a fixed-size filter of the wanted ids."""
+def _sets(docs: DataFrame, wanted: DataFrame, settings: NearSettings) -> DataFrame:
+    """``node, members`` (sorted hashes, packed): one row per wanted node (``node, s1, s2``), with the set of that name, however
+    many rows share the node's id. Sets are made only for texts that pass a fixed-size filter of the wanted ids."""
     table = key_filter(wanted, "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,26 +176,42 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: NearSettings, exploded:
             batch = batch.filter(pa.array(passes(table, batch.column("place").to_numpy())))
             for block in blocks(iter([batch])):
                 values, offsets = shingle_sets(block.column("text"), settings.words)
-                if exploded:
-                    owner = np.repeat(np.arange(block.num_rows), np.diff(offsets))
-                    yield pa.RecordBatch.from_arrays(
-                        [block.column("doc_id").take(pa.array(owner)), pa.array(values.view(np.int64))], ["node", "shingle"]
-                    )
-                else:
-                    packed = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                    yield pa.RecordBatch.from_arrays([block.column("doc_id"), pa.array(packed, pa.binary())], ["node", "members"])
+                packed = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+                yield pa.RecordBatch.from_arrays(
+                    [block.column("doc_id"), *_names(values, offsets), pa.array(packed, pa.binary())],
+                    ["node", "s1", "s2", "members"],
+                )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.filter("doc_id is not null").select("doc_id", "text", place_of("doc_id").alias("place"))
-    sets = texts.mapInArrow(run, f"node {kind}, " + ("shingle long" if exploded else "members binary"))
-    return sets.join(wanted, "node", "left_semi")
+    sets = texts.mapInArrow(run, f"node {kind}, s1 long, s2 long, members binary")
+    found = sets.dropDuplicates(["node", "s1", "s2"]).join(wanted, ["node", "s1", "s2"], "left_semi")
+    return found.select("node", "members")
+
+
+def _shingles(sets: DataFrame) -> DataFrame:
+    """``node, shingle``: one row per member of the sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                members = [np.frombuffer(v.as_buffer(), np.int64) for v in batch.column("members")]
+                for x in range(0, len(members), 64):
+                    some = members[x : x + 64]
+                    owner = np.repeat(np.arange(x, x + len(some)), [len(m) for m in some])
+                    yield pa.RecordBatch.from_arrays(
+                        [batch.column("node").take(pa.array(owner)), pa.array(np.concatenate(some))], ["node", "shingle"]
+                    )
+
+    kind = sets.schema["node"].dataType.simpleString()
+    return sets.mapInArrow(run, f"node {kind}, shingle long")
 
 
 def _common(nodes: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """``node, facts``: the size of each node's set and, by ``PARTS`` parts of the hash space, how many of its members some
+    """``node, facts`` of nodes (``node, s1, s2``): the size of each node's set and, by ``PARTS`` parts of the hash space, how many of its members some
     other of the nodes has, too."""
     part = F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")
-    held = stage(_sets(docs, nodes, settings, exploded=True), "held")
+    held = stage(_shingles(_sets(docs, nodes, settings)), "held")
     single = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
     counted = held.select("node", part, F.lit(1).alias("n")).unionByName(single.select("node", part, F.lit(-1).alias("n")))
     common = counted.groupBy("node").agg(
@@ -215,10 +234,11 @@ def _can_reach(settings: NearSettings):
     return possible
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
+def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
     """Pairs whose full shingle sets reach the threshold."""
     pairs = stage(pairs, "estimated")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
+    wanted = nodes.select("node", "s1", "s2").join(wanted, "node", "left_semi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -232,7 +252,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> Data
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    members = stage(_sets(docs, wanted, settings).dropDuplicates(["node"]), "members")
+    members = stage(_sets(docs, wanted, settings), "members")
     named = pairs.join(members.toDF("a", "ma"), "a").join(members.toDF("b", "mb"), "b")
     return named.select("a", "b", "ma", "mb").mapInArrow(compare, f"a {kind}, b {kind}")
 
@@ -256,8 +276,8 @@ def near_duplicates(docs: DataFrame, settings: NearSettings | None = None) -> Da
     buckets = stage(_banded(nodes, settings), "bands")
     found = link_buckets(
         buckets,
-        lambda pairs: _verified(_estimated(pairs, nodes, settings), docs, settings),
-        lambda open_nodes: _common(open_nodes, docs, settings),
+        lambda pairs: _verified(_estimated(pairs, nodes, settings), nodes, docs, settings),
+        lambda open_nodes: _common(nodes.select("node", "s1", "s2").join(open_nodes, "node", "left_semi"), docs, settings),
         _can_reach(settings),
     )
     named = live.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
