@@ -12,10 +12,10 @@ from tickerloom.learning import forecast as C
 from tickerloom.learning import quantile as Q
 from tickerloom.learning.classifier import (
     ClassifierSettings,
-    block_starts,
-    predict_signals,
+    block_models,
     train_classifier,
     training_rows,
+    with_block_probabilities,
     with_probabilities,
 )
 from tickerloom.learning.store import reuse_or_train
@@ -33,16 +33,20 @@ def split_panel(spark, folder):
     return stage(L.chrono_split(frames.labelled(spark, folder)), "panel")
 
 
-def first_training(split):
-    """Rows older than the first block of test rows."""
-    return training_rows(split, block_starts(split.filter("part = 'test'"), FEW.block_days)[0])
+def block_signals(test, models):
+    """Signals dated on the day they are about, each by its block's models."""
+    return with_block_probabilities(test, models, FEW).withColumn("date", F.col("next_date"))
 
 
 @query("train_classifier")
 def fit_classifier(spark, folder):
+    """Labels and signals of each block's training rows."""
     split = split_panel(spark, folder)
-    fitted = with_probabilities(first_training(split), train_classifier(first_training(split), FEW))
-    return fitted.groupBy("label", "signal").agg(F.count(F.lit(1)).alias("n"))
+    fitted = with_probabilities(split, {}).filter("false").withColumn("block", F.lit(None).cast("date"))
+    for start, models in block_models(split, FEW).items():
+        rows = with_probabilities(training_rows(split, start), models).withColumn("block", F.lit(start))
+        fitted = fitted.unionByName(rows.filter("signal is not null"))
+    return fitted.groupBy("block", "label", "signal").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("predict_signals", using("labelled", body="""
@@ -50,7 +54,7 @@ SELECT symbol, next_date AS date, 1.0::DOUBLE AS total, true AS largest_is_signa
 def predict(spark, folder):
     """Which days get a signal, what its probabilities add up to and whether the signal is the likeliest class."""
     split = split_panel(spark, folder)
-    signals = predict_signals(split.filter("part = 'test'"), train_classifier(first_training(split), FEW))
+    signals = block_signals(split.filter("part = 'test'"), block_models(split, FEW))
     of_signal = F.element_at(
         F.create_map(F.lit("UP"), "prob_up", F.lit("DOWN"), "prob_down", F.lit("NEUTRAL"), "prob_neutral"), F.col("signal")
     )
@@ -70,19 +74,24 @@ def model_store(spark, folder):
     root = fresh_path(spark, "store")
     newest = max_date(split).first()[0]
 
-    def fit():
-        return train_classifier(first_training(split), FEW)
+    found = []
 
-    fresh, _ = reuse_or_train(spark, "panel", newest, FEW, fit, root)
-    again, found = reuse_or_train(spark, "panel", newest, FEW, fit, root)
+    def fit(start, older):
+        models, known = reuse_or_train(spark, f"panel-{start}", newest, FEW, lambda: train_classifier(older, FEW), root)
+        found.append(known)
+        return models
+
+    fresh = block_models(split, FEW, fit)
+    found.clear()
+    again = block_models(split, FEW, fit)
     test = split.filter("part = 'test'")
-    first = predict_signals(test, fresh)
-    second = predict_signals(test, again).select("symbol", "date", F.col("prob_up").alias("prob_up_again"))
-    both = first.join(second, ["symbol", "date"])
+    first = block_signals(test, fresh)
+    second = block_signals(test, again).select("symbol", "date", F.col("prob_up").alias("prob_up_again"))
+    both = first.select("symbol", "date", "prob_up").join(second, ["symbol", "date"])
     return both.agg(
         F.count(F.lit(1)).alias("n"),
-        F.count_if(F.col("prob_up") != F.col("prob_up_again")).alias("n_different"),
-        F.lit(found).alias("reused"),
+        F.count_if(~F.col("prob_up").eqNullSafe(F.col("prob_up_again"))).alias("n_different"),
+        F.lit(all(found)).alias("reused"),
     )
 
 

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_series import prices_of
 
+from catalog import models as M
 from tickerloom.learning import classifier as K
 from tickerloom.learning import forecast as C
 from tickerloom.learning import quantile as Q
@@ -80,6 +81,34 @@ def test_rows_are_scored_by_models_of_older_rows_only(panel, monkeypatch):
     assert alone.filter("signal is null and prob_up is null").count() == 40
 
 
+def test_queries_fit_every_block_on_its_own_older_rows(spark, panel, monkeypatch):
+    """A series that ends early, and a panel without test rows, take nothing from the others' training rows."""
+    split = L.chrono_split(panel)
+    early = split.filter("symbol = 'B'").limit(40).withColumns(
+        {"symbol": F.lit("EARLY"), "part": F.lit("test"), "next_date": F.date_sub("next_date", 100)}
+    )
+    both = stage(split.unionByName(early), "both")
+    fits = []
+
+    def fit(rows, settings):
+        fits.append(rows.count())
+        return {}
+
+    monkeypatch.setattr(K, "train_classifier", fit)
+    monkeypatch.setattr(M, "train_classifier", fit)
+    monkeypatch.setattr(M, "FEW", ClassifierSettings(rounds=2, block_days=30))
+    monkeypatch.setattr(M, "split_panel", lambda spark, folder: both)
+    last = K.block_starts(both.filter("part = 'test'"), 30)[-1]
+    for run in (M.fit_classifier, M.predict):
+        fits.clear()
+        run(spark, "").collect()
+        assert len(fits) > 1 and max(fits) == both.filter(F.col("next_date") < F.lit(last)).count()
+    bare = stage(split.filter("part = 'train'"), "bare")
+    monkeypatch.setattr(M, "split_panel", lambda spark, folder: bare)
+    assert M.fit_classifier(spark, "").count() == 0 and M.predict(spark, "").count() == 0
+    assert M.model_store(spark, "").first().n == 0
+
+
 def test_models_are_reused_until_settings_change(spark, panel):
     train = training_rows(panel, dt.date(2020, 6, 1))
     root, calls = fresh_path(spark, "models"), []

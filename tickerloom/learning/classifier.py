@@ -6,6 +6,7 @@ is an ordinary distributed job instead of one local fit per symbol.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import date
@@ -127,6 +128,32 @@ def predict_signals(test: DataFrame, models: Models) -> DataFrame:
     )
 
 
+def block_models(
+    rows: DataFrame, settings: ClassifierSettings, fit: Callable[[date, DataFrame], Models] | None = None
+) -> dict[date, Models]:
+    """Models of every calendar block of test rows of a split panel, fitted on all rows of the panel older than the block's
+    first day; none for a block without older rows. ``fit`` gets the block's first day and its training rows, and may
+    return stored models."""
+    found: dict[date, Models] = {}
+    for start in block_starts(rows.filter("part = 'test'"), settings.block_days):
+        older = training_rows(rows, start)
+        if older.isEmpty():
+            found[start] = {}
+        else:
+            found[start] = fit(start, older) if fit else train_classifier(older, settings)
+    return found
+
+
+def with_block_probabilities(test: DataFrame, models: dict[date, Models], settings: ClassifierSettings) -> DataFrame:
+    """Probabilities and signals of test rows, each by its own block's models."""
+    blocked = with_block(test, settings.block_days)
+    scored = None
+    for start, fitted in models.items():
+        part = with_probabilities(blocked.filter(F.col("block") == F.lit(start)), fitted).drop("block")
+        scored = part if scored is None else scored.unionByName(part)
+    return scored if scored is not None else with_probabilities(test, {})
+
+
 def score_blocks(rows: DataFrame, settings: ClassifierSettings) -> DataFrame:
     """Probabilities and signals of the test rows of a split panel, a stored table.
 
@@ -134,14 +161,7 @@ def score_blocks(rows: DataFrame, settings: ClassifierSettings) -> DataFrame:
     block's first day. No series decides what the others are trained on, and nothing newer than a scored row is
     learned from. Rows of a block without older rows get null probabilities and signals.
     """
-    test = with_block(rows.filter("part = 'test'"), settings.block_days)
-    scored = None
-    for start in block_starts(rows.filter("part = 'test'"), settings.block_days):
-        older = training_rows(rows, start)
-        models = {} if older.isEmpty() else train_classifier(older, settings)
-        part = with_probabilities(test.filter(F.col("block") == F.lit(start)), models).drop("block")
-        scored = part if scored is None else scored.unionByName(part)
-    return scored if scored is not None else with_probabilities(test.drop("block"), {})
+    return with_block_probabilities(rows.filter("part = 'test'"), block_models(rows, settings), settings)
 
 
 def generate_signals(
