@@ -82,10 +82,8 @@ def metrics(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def signals(spark: SparkSession, folder: str) -> DataFrame:
-    settings = ClassifierSettings(rounds=5)
-    return stage(generate_signals(stage(labelled(spark, folder), "panel"), settings), "signals")
+    return stage(generate_signals(stage(labelled(spark, folder), "panel"), ClassifierSettings()), "signals")
 
 
 def forecast(spark: SparkSession, folder: str) -> DataFrame:
-    settings = QuantileSettings(rounds=5)
-    return stage(forecast_trend(stage(features(spark, folder), "features"), settings), "forecast")
+    return stage(forecast_trend(stage(features(spark, folder), "features"), QuantileSettings()), "forecast")

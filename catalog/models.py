@@ -1,5 +1,4 @@
-"""Signals and forecasts. Boosting rounds are fewer than the library's defaults to keep a run short; every row of the
-panel is used. These results have no SQL counterpart except where a statement is given."""
+"""Signals and forecasts at the library's default settings, over every row of the panel. These results have no SQL counterpart except where a statement is given."""
 
 from __future__ import annotations
 
@@ -25,8 +24,8 @@ from tickerloom.operators import signals as G
 from tickerloom.operators.selection import max_date
 from tickerloom.workspace import fresh_path, stage
 
-FEW = ClassifierSettings(rounds=5)
-FEW_Q = Q.QuantileSettings(rounds=5)
+SETTINGS = ClassifierSettings()
+SETTINGS_Q = Q.QuantileSettings()
 
 
 def split_panel(spark, folder):
@@ -35,7 +34,7 @@ def split_panel(spark, folder):
 
 def block_signals(test, models):
     """Signals dated on the day they are about, each by its block's models."""
-    return with_block_probabilities(test, models, FEW).withColumn("date", F.col("next_date"))
+    return with_block_probabilities(test, models, SETTINGS).withColumn("date", F.col("next_date"))
 
 
 @query("train_classifier")
@@ -43,7 +42,7 @@ def fit_classifier(spark, folder):
     """Labels and signals of each block's training rows."""
     split = split_panel(spark, folder)
     fitted = with_probabilities(split, {}).filter("false").withColumn("block", F.lit(None).cast("date"))
-    for start, models in block_models(split, FEW).items():
+    for start, models in block_models(split, SETTINGS).items():
         rows = with_probabilities(training_rows(split, start), models).withColumn("block", F.lit(start))
         fitted = fitted.unionByName(rows.filter("signal is not null"))
     return fitted.groupBy("block", "label", "signal").agg(F.count(F.lit(1)).alias("n"))
@@ -54,7 +53,7 @@ SELECT symbol, next_date AS date, 1.0::DOUBLE AS total, true AS largest_is_signa
 def predict(spark, folder):
     """Which days get a signal, what its probabilities add up to and whether the signal is the likeliest class."""
     split = split_panel(spark, folder)
-    signals = block_signals(split.filter("part = 'test'"), block_models(split, FEW))
+    signals = block_signals(split.filter("part = 'test'"), block_models(split, SETTINGS))
     of_signal = F.element_at(
         F.create_map(F.lit("UP"), "prob_up", F.lit("DOWN"), "prob_down", F.lit("NEUTRAL"), "prob_neutral"), F.col("signal")
     )
@@ -77,13 +76,13 @@ def model_store(spark, folder):
     found = []
 
     def fit(start, older):
-        models, known = reuse_or_train(spark, f"panel-{start}", newest, FEW, lambda: train_classifier(older, FEW), root)
+        models, known = reuse_or_train(spark, f"panel-{start}", newest, SETTINGS, lambda: train_classifier(older, SETTINGS), root)
         found.append(known)
         return models
 
-    fresh = block_models(split, FEW, fit)
+    fresh = block_models(split, SETTINGS, fit)
     found.clear()
-    again = block_models(split, FEW, fit)
+    again = block_models(split, SETTINGS, fit)
     test = split.filter("part = 'test'")
     first = block_signals(test, fresh)
     second = block_signals(test, again).select("symbol", "date", F.col("prob_up").alias("prob_up_again"))
@@ -140,7 +139,7 @@ def signal_counts(spark, folder):
 
 @query("walk_forward_eval")
 def evaluate(spark, folder):
-    return walk_forward_eval(stage(frames.labelled(spark, folder), "panel"), FEW)
+    return walk_forward_eval(stage(frames.labelled(spark, folder), "panel"), SETTINGS)
 
 
 @query("quantile_boost")
@@ -148,7 +147,7 @@ def boost(spark, folder):
     """Loss of each boosted quantile on its training rows next to the loss of the constant it starts from."""
     rows = stage(frames.labelled(spark, folder), "labelled")
     losses = []
-    for model in Q.boost_quantiles(rows, C.QUANTILES, settings=FEW_Q):
+    for model in Q.boost_quantiles(rows, C.QUANTILES, settings=SETTINGS_Q):
         y, guess = F.col("next_return"), F.col("guess")
         losses.append(
             Q.predict_quantile(rows, model, "guess").agg(

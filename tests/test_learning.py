@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_series import prices_of
 
+from catalog import frames as N
 from catalog import models as M
 from tickerloom.learning import classifier as K
 from tickerloom.learning import forecast as C
@@ -96,7 +97,7 @@ def test_queries_fit_every_block_on_its_own_older_rows(spark, panel, monkeypatch
 
     monkeypatch.setattr(K, "train_classifier", fit)
     monkeypatch.setattr(M, "train_classifier", fit)
-    monkeypatch.setattr(M, "FEW", ClassifierSettings(rounds=2, block_days=30))
+    monkeypatch.setattr(M, "SETTINGS", ClassifierSettings(rounds=2, block_days=30))
     monkeypatch.setattr(M, "split_panel", lambda spark, folder: both)
     last = K.block_starts(both.filter("part = 'test'"), 30)[-1]
     for run in (M.fit_classifier, M.predict):
@@ -109,6 +110,22 @@ def test_queries_fit_every_block_on_its_own_older_rows(spark, panel, monkeypatch
     assert M.model_store(spark, "").first().n == 0
 
 
+def test_queries_run_at_the_default_size(spark, panel, monkeypatch):
+    used = []
+
+    def keep(table, settings):
+        used.append(settings)
+        return table.limit(0)
+
+    for name in ("labelled", "features"):
+        monkeypatch.setattr(N, name, lambda spark, folder: panel.limit(1))
+    for name in ("generate_signals", "forecast_trend"):
+        monkeypatch.setattr(N, name, keep)
+    N.signals(spark, ""), N.forecast(spark, "")
+    assert used == [ClassifierSettings(), Q.QuantileSettings()] == [M.SETTINGS, M.SETTINGS_Q]
+    assert [u.rounds for u in used] == [200, 150]
+
+
 def test_models_are_reused_until_settings_change(spark, panel):
     train = training_rows(panel, dt.date(2020, 6, 1))
     root, calls = fresh_path(spark, "models"), []
