@@ -166,6 +166,20 @@ def test_overlaps_equal_brute_force(spark):
     assert decontamination.drop_overlapping(docs, bench.limit(0)).count() == len(rows)
 
 
+def test_repeated_keys_do_not_grow_what_the_driver_holds(spark):
+    item = " ".join(f"w{i}" for i in range(15))
+    bench = spark.createDataFrame([(1, item)] * 50 + [(None, item)] * 3 + [(2, item + " x")], "item_id long, text string")
+    parts = list(decontamination.seed_indexes(bench, decontamination.OverlapSettings()))
+    assert sum(len(p.ids) for p in parts) == 3
+    docs = docs_of(spark, [(7, item), (8, "other")])
+    found = decontamination.find_overlaps(docs, bench).groupBy("doc_id", "item_id").count().collect()
+    assert {tuple(r) for r in found} == {(7, 1, 50), (7, None, 3), (7, 2, 1)}
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)], "doc_id long, toxic int")
+    repeated = docs_of(spark, [(k, f"text {k}") for k in range(40)] * 5)
+    rows = toxicity.training_rows(repeated, labels)
+    assert rows.count() == labels.filter(~toxicity.held_out(F.col("doc_id"))).count()
+
+
 def test_banded_distance_equals_levenshtein(spark):
     rng = random.Random(3)
     pairs = []

@@ -53,9 +53,10 @@ def plain_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 class SeedIndex:
     """Sorted seed hashes of some benchmark items with their places, the items' words, and a bitmap to skip most lookups."""
 
-    def __init__(self, items: list[tuple[int | None, str | None]], settings: OverlapSettings):
+    def __init__(self, items: list[tuple[int | None, str | None]], settings: OverlapSettings, times: list[int] | None = None):
         self.settings = settings
         self.ids = [i for i, _ in items]
+        self.times = times or [1] * len(items)  # benchmark rows each item stands for
         words, at = plain_words(pa.array([t for _, t in items], pa.string()))
         self.words = [words[a:b] for a, b in zip(at[:-1], at[1:])]
         self.seeds = []
@@ -71,7 +72,7 @@ class SeedIndex:
 
     def plain(self) -> dict:
         """The index as numbers and arrays alone, for a broadcast."""
-        return {"ids": self.ids, "words": self.words, "seeds": self.seeds}
+        return {"ids": self.ids, "times": self.times, "words": self.words, "seeds": self.seeds}
 
     @classmethod
     def of(cls, plain: dict, settings: OverlapSettings) -> SeedIndex:
@@ -123,14 +124,15 @@ class SeedIndex:
 
 def seed_indexes(benchmark: DataFrame, settings: OverlapSettings) -> Iterator[SeedIndex]:
     """Indexes over disjoint parts of ``benchmark`` (``item_id, text``), each of about ``part_words`` words: a stated query set
-    that is compared with all documents in blocks. What a task holds is bounded however large the benchmark is."""
-    items = benchmark.select("item_id", "text").filter("text is not null")
+    that is compared with all documents in blocks. What a task holds is bounded however large the benchmark is; equal rows are
+    one item with a count."""
+    items = benchmark.filter("text is not null").groupBy("item_id", "text").agg(F.count(F.lit(1)).alias("times"))
     words = items.agg(F.sum(F.size(F.split("text", r"\s+")))).first()[0] or 0
     parts = -(-words // settings.part_words)
     for part in range(parts):
         chosen = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == part)
-        rows = sorted(((r["item_id"], r["text"]) for r in chosen.collect()), key=str)  # about part_words words
-        yield SeedIndex(rows, settings)
+        rows = sorted(((r["item_id"], r["text"], r["times"]) for r in chosen.collect()), key=str)  # about part_words words
+        yield SeedIndex([row[:2] for row in rows], settings, [row[2] for row in rows])
 
 
 def find_overlaps(docs: DataFrame, benchmark: DataFrame, settings: OverlapSettings | None = None) -> DataFrame:
@@ -159,11 +161,12 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, settings: OverlapSettin
                     ids = pa.array([index.ids[i] for i in item], _arrow(kinds[1]))
                     yield pa.RecordBatch.from_arrays(
                         [block.column("doc_id").take(pa.array(text)), ids, pa.array(first), pa.array(end), pa.array(equal),
-                         pa.array(equal / (end - first))],
-                        ["doc_id", "item_id", "first_word", "end_word", "n_equal", "similarity"],
+                         pa.array(equal / (end - first)), pa.array([index.times[i] for i in item], pa.int64())],
+                        ["doc_id", "item_id", "first_word", "end_word", "n_equal", "similarity", "times"],
                     )
 
-        found = found.unionByName(docs.select("doc_id", "text").mapInArrow(run, schema))
+        hits = docs.select("doc_id", "text").mapInArrow(run, schema + ", times long")
+        found = found.unionByName(hits.withColumn("times", F.explode(F.sequence(F.lit(1), F.col("times")))).drop("times"))
     return found
 
 

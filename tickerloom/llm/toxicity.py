@@ -229,7 +229,8 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings | None = None) -> DataFrame:
-    """Labelled texts that are not held out, ``text, toxic``; ids with several labels count once per label.
+    """Labelled texts that are not held out, ``text, toxic``; ids with several labels count once per label, and of rows that
+    share an id the least text is taken.
 
     If there are more than ``settings.sample`` labels, about that many are taken by the hash of their id. The bound makes
     the labels small enough to broadcast, so that texts are not shuffled.
@@ -238,7 +239,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, settings: ToxicitySettings
     usable = labels.filter(~held_out(F.col("doc_id"))).filter("toxic is not null").select("doc_id", "toxic").distinct()
     share = min(1.0, settings.sample / max(usable.count(), 1))
     rows = usable.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(share * (1 << 30)))
-    return docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id").select("text", "toxic")
+    labelled = docs.select("doc_id", "text").join(F.broadcast(rows), "doc_id")
+    return labelled.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def op8_toxicity(spark: SparkSession, folder: str) -> DataFrame:
