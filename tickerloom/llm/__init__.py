@@ -13,7 +13,10 @@ from pyspark import cloudpickle
 # Functions of this subpackage travel with their tasks, so executors need not have it installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-MODULES = ("mixing", "chat", "token_counts", "hyperminhash", "warc", "toxicity", "decontamination", "line_dedup", "neighbours", "repeats")
+MODULES = (
+    "mixing", "chat", "token_counts", "hyperminhash", "warc", "toxicity", "decontamination", "line_dedup", "neighbours", "repeats",
+    "alignment", "periods", "sharding",
+)
 
 
 def load():
