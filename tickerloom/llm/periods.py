@@ -26,87 +26,86 @@ BLOCK_BYTES = 2 << 20
 
 
 class SuffixTree:
-    """Suffix tree of a sequence of non-negative numbers, closed by a sign of its own that is smaller than all of them."""
+    """Suffix tree of a sequence of non-negative numbers, closed by a sign of its own that is smaller than all of them.
+
+    Inner nodes are numbered from 0, the leaf of suffix ``k`` is ``~k``; ``kids`` are the children of inner nodes by sign and
+    ``depth`` their string depths.
+    """
 
     def __init__(self, symbols: list[int]):
         text = [*symbols, -1]
-        n = len(text)
-        start, end, link, kids, suffix = [0], [0], [0], [{}], [-1]
-        node = edge = length = pending = leaves = 0
+        start, end, link, depth, kids = [0], [0], [0], [0], [{}]
+        leaves: list[int] = []  # where the edge to each leaf begins; it goes on to the end
+        node = edge = length = pending = 0
         for at, sign in enumerate(text):
             pending += 1
             unlinked = 0
             while pending:
                 if not length:
                     edge = at
-                child = kids[node].get(text[edge])
+                below = kids[node]
+                child = below.get(text[edge])
                 if child is None:
-                    kids[node][text[edge]] = len(start)
-                    grown = node
+                    below[text[edge]] = ~len(leaves)
+                    grown = 0
+                    if unlinked:
+                        link[unlinked] = node
                 else:
-                    width = end[child] - start[child]
-                    if length >= width:  # walk down
-                        edge += width
-                        length -= width
-                        node = child
-                        continue
-                    if text[start[child] + length] == sign:
+                    if child < 0:
+                        begin = leaves[~child]
+                    else:
+                        begin = start[child]
+                        width = end[child] - begin
+                        if length >= width:  # walk down
+                            edge += width
+                            length -= width
+                            node = child
+                            continue
+                    if text[begin + length] == sign:
                         length += 1
                         if unlinked:
                             link[unlinked] = node
                         break
                     grown = len(start)
-                    kids[node][text[edge]] = grown
-                    start.append(start[child])
-                    end.append(start[child] + length)
+                    below[text[edge]] = grown
+                    start.append(begin)
+                    end.append(begin + length)
                     link.append(0)
-                    suffix.append(-1)
-                    start[child] += length
-                    kids.append({text[start[child]]: child, sign: grown + 1})
-                # a leaf below the grown node; leaves come in the order of their suffixes
-                start.append(at)
-                end.append(n)
-                link.append(0)
-                kids.append(None)
-                suffix.append(leaves)
-                leaves += 1
-                if unlinked:
-                    link[unlinked] = grown
-                unlinked = grown if child is not None else 0
+                    depth.append(depth[node] + length)
+                    begin += length
+                    kids.append({text[begin]: child, sign: ~len(leaves)})
+                    if child < 0:
+                        leaves[~child] = begin
+                    else:
+                        start[child] = begin
+                    if unlinked:
+                        link[unlinked] = grown
+                leaves.append(at)
+                unlinked = grown
                 pending -= 1
                 if node:
                     node = link[node]
                 elif length:
                     length -= 1
                     edge = at - pending + 1
-        self.n, self.start, self.end, self.kids, self.suffix = n - 1, start, end, kids, suffix
-
-    def tour(self, ascending: bool = True) -> tuple[list[int], list[int]]:
-        """Suffixes in the order of an Euler tour, and between each two of them the string depth of the node the tour passes
-        there. Children go by their first sign, up or down; the closing sign is smallest in both."""
-        start, end, kids, suffix = self.start, self.end, self.kids, self.suffix
-        depth, order, between, stack = {0: 0}, [], [], [0]
-        while stack:
-            node = stack.pop()
+        self.kids, self.depth = kids, depth
+
+    def tour(self, sort: bool = True) -> tuple[list[int], list[int]]:
+        """Suffixes in the order of an Euler tour, and between each two of them the string depth of the topmost node the tour
+        passes there, which is their lowest common ancestor. Sorted, children go by their first sign, so suffixes do, too."""
+        kids, depth = self.kids, self.depth
+        order, between, nodes, above = [], [], [0], [0]
+        while nodes:
+            node, common = nodes.pop(), above.pop()
             if node < 0:
-                between.append(~node)
+                order.append(~node)
+                between.append(common)
                 continue
             below = kids[node]
-            if below is None:
-                order.append(suffix[node])
-                continue
-            here = depth.pop(node)
-            signs = sorted(below, reverse=ascending)  # the last pushed is visited first
-            if not ascending and signs[0] < 0:
-                signs.append(signs.pop(0))
-            for k, sign in enumerate(signs):
-                if k:
-                    stack.append(~here)
-                child = below[sign]
-                if kids[child] is not None:
-                    depth[child] = here + end[child] - start[child]
-                stack.append(child)
-        return order, between
+            nodes += [below[sign] for sign in sorted(below, reverse=True)] if sort else below.values()
+            above += [depth[node]] * (len(below) - 1)
+            above.append(common)
+        return order, between[1:]
 
 
 class Extensions:
@@ -137,7 +136,7 @@ class Extensions:
 
 
 def next_smaller(rank: list[int]) -> list[int]:
-    """Per place the next one whose suffix is smaller, or the end. Up to there reaches the place's longest Lyndon word."""
+    """Per place the next one with a smaller rank, or the end."""
     n = len(rank)
     found, stack = [n] * n, []
     for at in range(n - 1, -1, -1):
@@ -152,23 +151,20 @@ def next_smaller(rank: list[int]) -> list[int]:
 
 def runs_of(symbols: list[int], min_length: int = MIN_LENGTH, min_periods: int = MIN_PERIODS) -> list[tuple[int, int, int]]:
     """``(start, length, period)`` of all runs with ``length >= max(min_length, min_periods * period)``, sorted by start and
-    period; ``min_periods`` is at least 2."""
+    period; ``min_periods`` is at least 2.
+
+    A place's longest Lyndon word ends where the next smaller suffix starts, under the reversed order where the next larger
+    one does. A run that a smaller word ends, or the end of the text, shows under the order, one that a larger word ends
+    under the reversed order.
+    """
     n = len(symbols)
     if n < min_length:
         return []
-    tree = SuffixTree(symbols)
-    order, between = tree.tour()
-    reverse_order, _ = tree.tour(ascending=False)
-    del tree
-    ahead = Extensions(order, between)
-    del between
-    behind = Extensions(*SuffixTree(symbols[::-1]).tour())
+    ahead = Extensions(*SuffixTree(symbols).tour())
+    behind = Extensions(*SuffixTree(symbols[::-1]).tour(sort=False))
     found = []
-    for suffixes in (order, reverse_order):
-        rank = [0] * (n + 1)
-        for k, at in enumerate(suffixes):
-            rank[at] = k
-        ends = np.array(next_smaller(rank[:n]))
+    for rank in (ahead.rank[:n], -ahead.rank[:n]):
+        ends = np.array(next_smaller(rank.tolist()))
         first = np.flatnonzero(ends < n)
         then = ends[first]
         right = ahead.common(first, then)
@@ -278,11 +274,18 @@ def planted(text: Column, doc_id: Column) -> Column:
     h = F.crc32(doc_id.cast("string").cast("binary"))
     g = F.floor(h / 10)
     words = F.regexp_extract_all(text, F.lit(f"({WORD})"), F.lit(1))
-    n = F.size(words).cast("long")
-    a = g % n
-    p = F.floor((n - a) / (F.lit(3) + g % 8)) + 1
-    tail = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.get(words, F.when(i < a, i).otherwise(a + (i - a) % p).cast("int")))
-    return F.when((h % 10 == 0) & (n > 0), F.array_join(tail, " ")).otherwise(text)
+
+    def repeated(one: Column) -> Column:
+        w, n = one["w"], F.size(one["w"]).cast("long")
+        a = one["g"] % n
+        p = F.floor((n - a) / (F.lit(3) + one["g"] % 8)) + 1
+        # whole copies of the period, the last one cut; no expression over the words stands inside a loop over them
+        copies = F.flatten(F.array_repeat(F.slice(w, (a + 1).cast("int"), p.cast("int")), F.ceil((n - a) / p).cast("int")))
+        return F.array_join(F.concat(F.slice(w, F.lit(1), a.cast("int")), F.slice(copies, F.lit(1), (n - a).cast("int"))), " ")
+
+    # a one-element array binds the words, so that they are taken from the text once
+    tail = F.transform(F.array(F.struct(words.alias("w"), g.alias("g"))), lambda one: F.when(F.size(one["w"]) > 0, repeated(one)))
+    return F.when(h % 10 == 0, F.coalesce(F.get(tail, F.lit(0)), text)).otherwise(text)
 
 
 def op12_periodic_runs(spark: SparkSession, folder: str) -> DataFrame:
