@@ -12,16 +12,15 @@ from tickerloom.learning import quantile as Q
 from tickerloom.learning.classifier import (
     ClassifierSettings,
     block_models,
-    train_classifier,
-    training_rows,
+    fit_sets,
+    older_than,
     with_block_probabilities,
     with_probabilities,
 )
-from tickerloom.learning.store import reuse_or_train
+from tickerloom.learning.store import reusing
 from tickerloom.learning.walkforward import walk_forward_eval
 from tickerloom.operators import labels as L
 from tickerloom.operators import signals as G
-from tickerloom.operators.selection import max_date
 from tickerloom.workspace import fresh_path, stage
 
 SETTINGS = ClassifierSettings()
@@ -41,10 +40,11 @@ def block_signals(test, models):
 def fit_classifier(spark, folder):
     """Labels and signals of each block's training rows."""
     split = split_panel(spark, folder)
-    fitted = with_probabilities(split, {}).filter("false").withColumn("block", F.lit(None).cast("date"))
-    for start, models in block_models(split, SETTINGS).items():
-        rows = with_probabilities(training_rows(split, start), models).withColumn("block", F.lit(start))
-        fitted = fitted.unionByName(rows.filter("signal is not null"))
+    models = block_models(split, SETTINGS)
+    known = [F.when(older_than(start), F.struct(F.lit(k).alias("set"), F.lit(start).alias("block"))) for k, start in enumerate(models.starts)]
+    own = F.explode(F.filter(F.array(*known), lambda b: b.isNotNull())) if known else F.lit(None).cast("struct<set:int,block:date>")
+    rows = split.withColumn("_own", own).filter("_own is not null")
+    fitted = with_probabilities(rows, models.forest, F.col("_own.set")).withColumn("block", F.col("_own.block"))
     return fitted.groupBy("block", "label", "signal").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -70,19 +70,9 @@ SELECT count(*) AS n, 0::BIGINT AS n_different, true AS reused FROM labelled WHE
 def model_store(spark, folder):
     """The second request must find the first one's models and give the same signals."""
     split = split_panel(spark, folder)
-    root = fresh_path(spark, "store")
-    newest = max_date(split).first()[0]
-
     found = []
-
-    def fit(start, older):
-        models, known = reuse_or_train(spark, f"panel-{start}", newest, SETTINGS, lambda: train_classifier(older, SETTINGS), root)
-        found.append(known)
-        return models
-
-    fresh = block_models(split, SETTINGS, fit)
-    found.clear()
-    again = block_models(split, SETTINGS, fit)
+    fit = reusing(fit_sets, fresh_path(spark, "store"), "panel", found)
+    fresh, again = block_models(split, SETTINGS, fit), block_models(split, SETTINGS, fit)
     test = split.filter("part = 'test'")
     first = block_signals(test, fresh)
     second = block_signals(test, again).select("symbol", "date", F.col("prob_up").alias("prob_up_again"))
@@ -90,7 +80,7 @@ def model_store(spark, folder):
     return both.agg(
         F.count(F.lit(1)).alias("n"),
         F.count_if(~F.col("prob_up").eqNullSafe(F.col("prob_up_again"))).alias("n_different"),
-        F.lit(all(found)).alias("reused"),
+        F.lit(found == [False, True]).alias("reused"),
     )
 
 

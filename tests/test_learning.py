@@ -7,11 +7,12 @@ from test_series import prices_of
 
 from catalog import frames as N
 from catalog import models as M
+from tickerloom.learning import boosting as B
 from tickerloom.learning import classifier as K
 from tickerloom.learning import forecast as C
 from tickerloom.learning import quantile as Q
 from tickerloom.learning.classifier import ClassifierSettings, generate_signals, train_classifier, training_rows
-from tickerloom.learning.store import feature_version, load_models, model_path, reuse_or_train
+from tickerloom.learning.store import fingerprint, load_forest, reusing, save_forest
 from tickerloom.learning.walkforward import walk_forward_eval
 from tickerloom.operators import features as X
 from tickerloom.operators import labels as L
@@ -19,7 +20,7 @@ from tickerloom.operators import signals as G
 from tickerloom.workspace import fresh_path, stage
 
 FEW = ClassifierSettings(rounds=2)
-FEW_Q = Q.QuantileSettings(rounds=3, store_every=2)
+FEW_Q = Q.QuantileSettings(rounds=3)
 
 
 @pytest.fixture(scope="module")
@@ -53,20 +54,24 @@ def test_signals(panel):
     assert history == sorted(history) and len(history) == sum(r.symbol == "A" for r in rows)
 
 
-def test_rows_are_scored_by_models_of_older_rows_only(panel, monkeypatch):
-    split = stage(L.chrono_split(panel), "split")
-    fits = []
+def keeping(fits):
+    """A fit that notes newest day and number of the training rows of each set, and leaves all sets unfitted."""
+
+    def fit(rows, masks, settings):
+        known = rows.filter("label is not null")
+        fits.extend(known.filter(m).agg(F.max("next_date"), F.count(F.lit(1))).first() for m in masks)
+        return K.fit_sets(rows, [F.lit(False)] * len(masks), settings)
 
-    def fit(rows, settings):
-        fits.append(rows.agg(F.max("next_date"), F.count(F.lit(1))).first())
-        return {}
+    return fit
 
-    monkeypatch.setattr(K, "train_classifier", fit)
-    settings = ClassifierSettings(block_days=30)
-    K.score_blocks(split, settings)
-    starts = K.block_starts(split.filter("part = 'test'"), 30)
-    assert len(starts) == len(fits) > 1
-    for start, (newest, n) in zip(starts, fits):
+
+def test_rows_are_scored_by_models_of_older_rows_only(panel):
+    split = stage(L.chrono_split(panel), "split")
+    settings = ClassifierSettings(rounds=1, block_days=30)
+    fits = []
+    models = K.block_models(split, settings, keeping(fits))
+    assert models.starts == K.block_starts(split.filter("part = 'test'"), 30) and len(models.starts) == len(fits) > 1
+    for start, (newest, n) in zip(models.starts, fits):
         assert newest < start and n == split.filter(F.col("next_date") < F.lit(start)).count()
     # a short series that ends early has blocks of its own and takes no training row from the others
     early = split.filter("symbol = 'B'").limit(40).withColumns(
@@ -74,12 +79,26 @@ def test_rows_are_scored_by_models_of_older_rows_only(panel, monkeypatch):
     )
     before, fits[:] = list(fits), []
     both = stage(split.unionByName(early), "both")
-    scored = K.score_blocks(both, settings)
+    K.block_models(both, settings, keeping(fits))
     assert [f[0] for f in fits[-len(before):]] == [f[0] for f in before]
     assert all(new[1] == old[1] + 40 for new, old in zip(fits[-len(before):], before))
+    scored = K.score_blocks(both, settings)
     alone = scored.filter("symbol = 'EARLY'")
     assert alone.count() == 40 and scored.count() == both.filter("part = 'test'").count()
-    assert alone.filter("signal is null and prob_up is null").count() == 40
+    first = K.with_block(early, 30).groupBy("block").count().orderBy("block").first()["count"]
+    assert 0 < first < 40 and alone.filter("signal is null and prob_up is null").count() == first
+    assert scored.filter("symbol <> 'EARLY' and signal is null").count() == 0
+
+
+def test_newer_rows_do_not_change_a_block(panel):
+    """Blocks fitted together equal a block fitted alone on its older rows."""
+    split = stage(L.chrono_split(panel), "split")
+    settings = ClassifierSettings(rounds=3, block_days=30)
+    models = K.block_models(split, settings)
+    for k in (0, len(models.starts) - 1):
+        alone = train_classifier(stage(training_rows(split, models.starts[k]), "older"), settings)
+        for name in ("base", "feature", "threshold", "value"):
+            np.testing.assert_allclose(getattr(models.forest, name)[k], getattr(alone, name)[0], rtol=1e-9)
 
 
 def test_queries_fit_every_block_on_its_own_older_rows(spark, panel, monkeypatch):
@@ -89,21 +108,13 @@ def test_queries_fit_every_block_on_its_own_older_rows(spark, panel, monkeypatch
         {"symbol": F.lit("EARLY"), "part": F.lit("test"), "next_date": F.date_sub("next_date", 100)}
     )
     both = stage(split.unionByName(early), "both")
-    fits = []
-
-    def fit(rows, settings):
-        fits.append(rows.count())
-        return {}
-
-    monkeypatch.setattr(K, "train_classifier", fit)
-    monkeypatch.setattr(M, "train_classifier", fit)
-    monkeypatch.setattr(M, "SETTINGS", ClassifierSettings(rounds=2, block_days=30))
+    monkeypatch.setattr(M, "SETTINGS", ClassifierSettings(rounds=1, block_days=60))
     monkeypatch.setattr(M, "split_panel", lambda spark, folder: both)
-    last = K.block_starts(both.filter("part = 'test'"), 30)[-1]
-    for run in (M.fit_classifier, M.predict):
-        fits.clear()
-        run(spark, "").collect()
-        assert len(fits) > 1 and max(fits) == both.filter(F.col("next_date") < F.lit(last)).count()
+    starts = K.block_starts(both.filter("part = 'test'"), 60)
+    older = {s: both.filter(F.col("next_date") < F.lit(s)).count() for s in starts}
+    rows = M.fit_classifier(spark, "").groupBy("block").agg(F.sum("n").alias("n")).collect()
+    assert {r.block: r.n for r in rows} == {s: n for s, n in older.items() if n} and len(rows) > 1
+    assert M.predict(spark, "").count() == both.filter("part = 'test'").count()
     bare = stage(split.filter("part = 'train'"), "bare")
     monkeypatch.setattr(M, "split_panel", lambda spark, folder: bare)
     assert M.fit_classifier(spark, "").count() == 0 and M.predict(spark, "").count() == 0
@@ -126,26 +137,129 @@ def test_queries_run_at_the_default_size(spark, panel, monkeypatch):
     assert [u.rounds for u in used] == [200, 150]
 
 
-def test_models_are_reused_until_settings_change(spark, panel):
-    train = training_rows(panel, dt.date(2020, 6, 1))
-    root, calls = fresh_path(spark, "models"), []
-
-    def fit():
-        calls.append(1)
-        return train_classifier(train, FEW)
-
-    assert reuse_or_train(spark, "all", "2020-09-01", FEW, fit, root)[1] is False
-    models, found = reuse_or_train(spark, "all", "2020-09-01", FEW, fit, root)
-    assert found and len(calls) == 1 and set(models) == set(L.CLASSES)
-    assert load_models(spark, model_path(root, "all", "2020-09-02", FEW)) is None
-    assert feature_version(FEW) != feature_version(ClassifierSettings(rounds=3))
+def test_models_are_reused_until_rows_or_settings_change(spark, panel):
+    train, root, log = stage(training_rows(panel, dt.date(2020, 6, 1)), "train"), fresh_path(spark, "models"), []
+    masks = [F.col("date") < F.lit(dt.date(2020, 4, 1)), F.lit(True)]
+    fit = reusing(K.fit_sets, root, "all", log)
+    first = fit(train, masks, FEW)
+    again = fit(train.repartition(3, "close_usd"), masks, FEW)
+    assert log == [False, True]
+    for name in ("base", "feature", "threshold", "value", "fitted"):
+        np.testing.assert_array_equal(getattr(first, name), getattr(again, name))
+    assert again.step == first.step and again.fitted.tolist() == [True, True]
+    fit(train, masks, ClassifierSettings(rounds=1))
+    one = F.when(F.col("k") == 7, F.col("rsi") + 1e-9).otherwise(F.col("rsi"))
+    fit(train.withColumn("rsi", one), masks, FEW)  # a corrected old row, the newest date is as before
+    fit(train, [F.lit(True), F.lit(True)], FEW)
+    fit(train.filter("k <> 3"), masks, FEW)
+    fit(train.withColumn("label", F.when(F.col("k") != 2, F.col("label")).when(F.col("label") == "UP", "DOWN").otherwise("UP")), masks, FEW)
+    assert log == [False, True] + [False] * 5
+    assert fingerprint(train, masks) != fingerprint(train.unionByName(train.filter("k = 5")), masks)
+    quantiles = reusing(Q.fit_quantile_sets, root, "all", log)
+    quantiles(train, masks, (0.5,), settings=FEW_Q)
+    quantiles(train, masks, (0.5,), settings=FEW_Q)
+    quantiles(train, masks, (0.4,), settings=FEW_Q)
+    assert log[-3:] == [False, True, False]
+
+
+def test_half_written_models_are_not_seen(spark, panel, monkeypatch):
+    path = fresh_path(spark, "half")
+    assert load_forest(spark, path) is None
+    forest = train_classifier(panel, ClassifierSettings(rounds=1))
+    broken = B.Forest(forest.base, "no number", forest.feature, forest.threshold, forest.value, forest.fitted)
+    with pytest.raises(Exception, match="no number|DoubleType|double"):
+        save_forest(spark, broken, path)  # trees are written, the manifest is not
+    assert load_forest(spark, path) is None
+    save_forest(spark, forest, path)
+    save_forest(spark, forest, path)  # a second writer
+    np.testing.assert_array_equal(load_forest(spark, path).value, forest.value)
 
 
 def test_one_missing_class_gets_probability_zero(panel):
     two = panel.filter("label <> 'NEUTRAL'")
-    models = train_classifier(two, FEW)
-    assert set(models) == {"UP", "DOWN"}
-    assert generate_signals(panel, FEW, models).filter("prob_neutral <> 0").count() == 0
+    forest = train_classifier(two, FEW)
+    assert generate_signals(panel, FEW, forest).filter("prob_neutral <> 0").count() == 0
+    alone = train_classifier(panel.filter("label = 'UP'"), FEW)
+    assert generate_signals(panel, FEW, alone).filter("prob_up <> 1 or signal <> 'UP'").count() == 0
+
+
+def test_missing_features_are_lowest(panel):
+    holed = panel.withColumn("rsi", F.when(F.col("k") % 3 > 0, F.col("rsi")))
+    low = panel.withColumn("rsi", F.when(F.col("k") % 3 > 0, F.col("rsi")).otherwise(-1e9))
+    forest = train_classifier(holed, FEW)
+    one, two = (K.with_probabilities(p, forest).select("symbol", "k", "prob_up") for p in (holed, low))
+    assert one.join(two.withColumnRenamed("prob_up", "other"), ["symbol", "k"]).filter("prob_up <> other or prob_up is null").count() == 0
+
+
+def numpy_rows(panel):
+    rows = K.weighted_sets(panel, [F.lit(True), F.col("date") < F.lit(dt.date(2020, 7, 1))])
+    return rows.select("y", "draw", "w", *X.FEATURES).toPandas(), rows
+
+
+def test_histograms_equal_a_numpy_walk(panel):
+    """Splits, leaves and scores of whole rounds against a plain walk over the rows."""
+    table, rows = numpy_rows(panel)
+    growth, loss = B.Growth(rounds=3, step=0.1, depth=2, min_leaf=10, bins=16, store_every=2), B.Softmax(3)
+    forest = B.fit_forest(stage(rows, "rows"), 2, loss, growth)
+    cuts = B.feature_cuts(rows, 2, 16)
+    for s in (0, 1):
+        w = np.array(table["w"].to_list())[:, s]
+        own = w > 0
+        x, y, w = table[X.FEATURES].to_numpy()[own], table["y"].to_numpy()[own], w[own]
+        sums = np.array([w[y == c].sum() for c in range(3)])
+        np.testing.assert_allclose(forest.base[s], np.log(sums / sums.sum()))
+        score = np.repeat(forest.base[s][:, None], len(y), axis=1)
+        for number in range(3):
+            p = np.exp(score) / np.exp(score).sum(axis=0)
+            for c in range(3):
+                g, h = (np.round(v * 2**20) / 2**20 for v in (w * (p[c] - (y == c)), w * p[c] * (1 - p[c])))
+                feature, threshold = forest.feature[s, c, number], forest.threshold[s, c, number]
+                members = {0: np.arange(len(y))}
+                for node in range(3):
+                    at = members[node]
+                    best, gained = (0, np.inf), 0.0
+                    for f in range(16):
+                        for cut in cuts[s, f][np.isfinite(cuts[s, f])]:
+                            left = at[x[at, f] <= cut]
+                            right = at[x[at, f] > cut]
+                            if min(len(left), len(right)) < 10:
+                                continue
+                            gain = sum(g[k].sum() ** 2 / h[k].sum() for k in (left, right)) - g[at].sum() ** 2 / h[at].sum()
+                            if gain > gained + 1e-9:
+                                best, gained = (f, cut), gain
+                    assert (feature[node], threshold[node]) == best
+                    goes = x[at, best[0]] <= best[1]
+                    members[2 * node + 1], members[2 * node + 2] = at[goes], at[~goes]
+                for leaf in range(4):
+                    at = members[leaf + 3]
+                    value = -g[at].sum() / h[at].sum() if len(at) else 0.0
+                    assert forest.value[s, c, number, leaf] == pytest.approx(value, abs=1e-9)
+                    score[c, at] += 0.1 * value
+        np.testing.assert_allclose(forest.scores(x, s).T, score, atol=1e-9)
+
+
+def test_fits_do_not_depend_on_partitions(panel):
+    _, rows = numpy_rows(panel)
+    growth = B.Growth(rounds=2, step=0.1, depth=3, min_leaf=5)
+    one, two = (B.fit_forest(stage(rows.repartition(n, "lag1"), "rows"), 2, B.Softmax(3), growth) for n in (1, 5))
+    np.testing.assert_array_equal(one.feature, two.feature)
+    np.testing.assert_array_equal(one.value, two.value)
+
+
+def test_leaves_hold_quantiles_of_residuals():
+    loss = B.Quantiles((0.1, 0.5, 0.9))
+    rng = np.random.default_rng(1)
+    residual = np.concatenate([rng.normal(0, 0.03, 5000), [0.0] * 50, [1e-12, -1e-12]])
+    counts = np.bincount(loss.place(residual), minlength=loss.places)[None, None, None].repeat(3, axis=1)
+    got = loss.leaf_values(counts)[0, :, 0]
+    want = np.quantile(residual, [0.1, 0.5, 0.9], method="inverted_cdf")
+    np.testing.assert_allclose(got, want, rtol=0.011, atol=1e-9)
+    assert loss.leaf_values(np.zeros((1, 3, 2, loss.places), int)).tolist() == [[[0, 0]] * 3]
+
+
+def test_many_tasks_add_up_in_a_tree(spark):
+    numbers = spark.sparkContext.parallelize(range(200), 100)
+    assert B._added(numbers, lambda part: np.array([sum(part), 1])).tolist() == [19900, 100]
 
 
 def test_walk_forward(panel):
@@ -156,17 +270,26 @@ def test_walk_forward(panel):
         assert all(0 <= v <= 1 for v in (r.f1_weighted, r.f1_macro, r.dir_accuracy, r.auc_roc))
 
 
+def test_walk_forward_counts_rows_it_cannot_score(panel):
+    late = panel.withColumn("next_date", F.col("next_date") + F.when(F.col("symbol") == "B", 0).otherwise(0))
+    rows = {r.symbol: r for r in walk_forward_eval(late, ClassifierSettings(rounds=1, block_days=100_000)).collect()}
+    for symbol, n in (("A", 260 - 31), ("B", 220 - 31)):
+        assert rows[symbol].n_unscored == 3 * (n // 4) and rows[symbol].f1_macro is None
+
+
 def test_boosting_lowers_the_loss(panel, quantile_models):
     for model in quantile_models:
         y = F.col("next_return")
         row = Q.predict_quantile(panel, model, "guess").agg(
             Q.pinball(y, F.col("guess"), model.alpha), Q.pinball(y, F.lit(model.base), model.alpha)
         ).first()
-        assert row[0] < row[1] and len(model.trees) == 3
+        assert row[0] < row[1] and model.rounds == 3
 
 
 def test_one_quantile_alone_is_the_same_model(panel, quantile_models):
-    assert Q.quantile_boost(panel, 0.5, settings=FEW_Q) == quantile_models[1]
+    alone = Q.quantile_boost(panel, 0.5, settings=FEW_Q)
+    np.testing.assert_array_equal(alone.forest.value[0, 0], quantile_models[1].forest.value[0, 1])
+    np.testing.assert_array_equal(alone.forest.threshold[0, 0], quantile_models[1].forest.threshold[0, 1])
 
 
 def test_matrix_and_column_forms_of_the_trees_agree(panel, quantile_models):
@@ -174,8 +297,16 @@ def test_matrix_and_column_forms_of_the_trees_agree(panel, quantile_models):
     for k, model in enumerate(quantile_models):
         wide = Q.predict_quantile(wide, model, f"q{k}")
     rows = wide.select(*X.FEATURES, "q0", "q1", "q2").toPandas()
-    got = Q.boosted(quantile_models)(rows[X.FEATURES].to_numpy())
-    np.testing.assert_allclose(got, rows[["q0", "q1", "q2"]].to_numpy(), atol=1e-12)
+    forest = quantile_models[0].forest
+    for row in rows.to_numpy()[:50]:
+        for j in range(3):
+            out = forest.base[0, j]
+            for feature, threshold, value in zip(forest.feature[0, j], forest.threshold[0, j], forest.value[0, j]):
+                node = 0
+                while node < len(feature):
+                    node = 2 * node + 1 + (row[feature[node]] > threshold[node])
+                out += forest.step * value[node - len(feature)]
+            assert row[16 + j] == pytest.approx(out, abs=1e-12)
 
 
 def test_rollout_follows_the_training_definitions(spark, usd_series, frame, quantile_models):
@@ -183,7 +314,7 @@ def test_rollout_follows_the_training_definitions(spark, usd_series, frame, quan
     cone = {r.date: r for r in C.recursive_rollout(frame, quantile_models, 5).filter("symbol = 'A'").collect()}
     assert len(cone) == 5
     prices = prices_of(260, 1)
-    predict = Q.boosted(quantile_models)
+    predict = lambda x: quantile_models[0].forest.scores(x, 0)
     frozen = None
     low = mid = high = prices[-1]
     for t in range(5):
@@ -214,9 +345,18 @@ def test_forecast_of_short_series_is_empty(frame):
     assert cones.count() == 0 and "predicted_p50" in cones.columns
 
 
+def test_series_without_older_rows_are_named(frame):
+    settings = Q.QuantileSettings(rounds=1, block_days=100_000)
+    models = C.forecast_models(frame, settings)
+    assert {tuple(r) for r in C.series_sets(frame, models, settings).collect()} == {("A", None), ("B", None)}
+    assert C.forecast_trend(frame, settings, models=models).count() == 0
+
+
 def test_many_trees_predict_without_code_limits(panel, quantile_models):
     model = quantile_models[1]
-    big = Q.QuantileModel(model.alpha, model.base, model.step, model.trees * 60)
+    f = model.forest
+    feature, threshold, value = (np.concatenate([a] * 60, axis=2) for a in (f.feature, f.threshold, f.value))
+    big = Q.QuantileModel(model.alpha, B.Forest(f.base, f.step, feature, threshold, value, f.fitted), 0, model.output)
     once = Q.predict_quantile(panel, model, "a").agg(F.avg(F.col("a") - model.base)).first()[0]
     many = Q.predict_quantile(panel, big, "a").agg(F.avg(F.col("a") - model.base)).first()[0]
     assert many == pytest.approx(60 * once)

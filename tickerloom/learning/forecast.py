@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from datetime import date
 
 import numpy as np
 import pandas as pd
@@ -13,8 +15,9 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.display import exp_decay
 from tickerloom.functions.guards import clip
-from tickerloom.learning.classifier import block_starts, training_rows, with_block
-from tickerloom.learning.quantile import QuantileModel, QuantileSettings, boost_quantiles, boosted
+from tickerloom.learning.boosting import Forest
+from tickerloom.learning.classifier import block_starts, older_than, set_of_block, with_block
+from tickerloom.learning.quantile import QuantileModel, QuantileSettings, fit_quantile_sets
 from tickerloom.operators.features import EPS, HISTORY, feature_rows
 from tickerloom.operators.returns import series
 from tickerloom.operators.selection import MIN_FEATURE_ROWS, MIN_ROWS, with_row_count
@@ -98,18 +101,17 @@ def _current_features(r: np.ndarray, p: np.ndarray, macd: np.ndarray, frozen: np
     return np.column_stack([*columns, frozen])
 
 
-def _roll(models: list[QuantileModel], horizon: int):
-    predict = boosted(models)
+def _roll(forest: Forest, horizon: int):
     a12, a26 = 2.0 / 13, 2.0 / 27
 
-    def paths(state: pd.DataFrame) -> np.ndarray:
+    def paths(state: pd.DataFrame, number: int) -> np.ndarray:
         r, p = np.vstack(state["returns"].to_list()), np.vstack(state["prices"].to_list())
         e12, e26 = state["ema12"].to_numpy(float), state["ema26"].to_numpy(float)
         frozen = state[["vol_ratio", "bb_pos", "btc_lag1"]].to_numpy(float)
         chain = np.repeat(p[:, -1:], 3, axis=1)
         out = np.empty((len(state), horizon, 3))
         for t in range(horizon):
-            raw = np.clip(predict(_current_features(r, p, e12 - e26, frozen)), -MAX_STEP, MAX_STEP)
+            raw = np.clip(forest.scores(_current_features(r, p, e12 - e26, frozen), number), -MAX_STEP, MAX_STEP)
             mid, fade = raw[:, 1], np.exp(-t / DECAY_DAYS)
             low = np.minimum(mid, mid + (raw[:, 0] - mid) * fade)
             high = np.maximum(mid, mid + (raw[:, 2] - mid) * fade)
@@ -122,9 +124,13 @@ def _roll(models: list[QuantileModel], horizon: int):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for start in range(0, len(batch), BATCH_SYMBOLS):
-                state = batch.iloc[start : start + BATCH_SYMBOLS]
-                chains = paths(state).reshape(-1, 3)
+            parts = [
+                (number, rows.iloc[start : start + BATCH_SYMBOLS])
+                for number, rows in batch.groupby("set")
+                for start in range(0, len(rows), BATCH_SYMBOLS)
+            ]
+            for number, state in parts:
+                chains = paths(state, int(number)).reshape(-1, 3)
                 days = np.tile(np.arange(1, horizon + 1), len(state)).astype("timedelta64[D]")
                 first = np.repeat(state["date"].to_numpy("datetime64[D]"), horizon)
                 yield pd.DataFrame(
@@ -141,35 +147,74 @@ def _roll(models: list[QuantileModel], horizon: int):
     return run
 
 
-def recursive_rollout(frame: DataFrame, models: list[QuantileModel], horizon: int = HORIZON) -> DataFrame:
-    """Daily cones after the last row of every series.
+def recursive_rollout(
+    frame: DataFrame, models: list[QuantileModel] | Forest, horizon: int = HORIZON, sets: DataFrame | None = None
+) -> DataFrame:
+    """Daily cones after the last row of every series, by three quantile models, or by a forest of which ``sets`` names the set
+    of each ``symbol``; series without a set get no cone.
 
     Steps follow each other in time, so this part runs in Python; a batch of series advances together as matrices
     and only the 31-row state is shipped. The state is dealt by work, ``TASK_SYMBOLS`` series a task, since its bytes
     are few and adaptive execution would merge them into one.
     """
     state = rollout_state(frame)
+    if sets is None:
+        forest, state = models[0].forest, state.withColumn("set", F.lit(models[0].set))
+    else:
+        forest, state = models, state.join(sets, "symbol")
     tasks = max(1, -(-frame.select("symbol").distinct().count() // TASK_SYMBOLS))
-    return state.repartition(tasks, "symbol").mapInPandas(_roll(models, horizon), FORECAST)
+    return state.repartition(tasks, "symbol").mapInPandas(_roll(forest, horizon), FORECAST)
+
+
+@dataclass
+class ForecastModels:
+    """Quantile models by the calendar block in which a series ends."""
+
+    starts: list[date]
+    forest: Forest
+
+
+def forecast_rows(frame: DataFrame) -> DataFrame:
+    """Feature rows of the series that are long enough."""
+    return feature_rows(with_row_count(frame).filter(F.col("n_rows") >= MIN_ROWS))
+
+
+def last_days(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("symbol").agg(F.max("date").alias("next_date"))
+
+
+def forecast_models(
+    frame: DataFrame,
+    settings: QuantileSettings = QuantileSettings(),
+    fit: Callable[..., Forest] = fit_quantile_sets,
+) -> ForecastModels:
+    """Models of every block in which a series ends, each fitted on all rows of the panel older than the block, all in the
+    same passes. ``fit`` may return a stored forest."""
+    rows = forecast_rows(frame)
+    starts = block_starts(last_days(rows), settings.block_days)
+    return ForecastModels(starts, fit(rows, [older_than(s) for s in starts], QUANTILES, settings=settings))
+
+
+def series_sets(frame: DataFrame, models: ForecastModels, settings: QuantileSettings) -> DataFrame:
+    """``symbol, set`` of every long enough series; ``set`` is null where nothing older than its block was there to learn from."""
+    blocks = with_block(last_days(forecast_rows(frame)), settings.block_days)
+    fitted = F.array(*[F.lit(bool(f)) for f in models.forest.fitted]).cast("array<boolean>")
+    number = set_of_block(models.starts).cast("int")
+    return blocks.select("symbol", F.when(F.get(fitted, number), number).alias("set"))
 
 
 def forecast_trend(
-    frame: DataFrame, settings: QuantileSettings = QuantileSettings(), horizon: int = HORIZON
+    frame: DataFrame,
+    settings: QuantileSettings = QuantileSettings(),
+    horizon: int = HORIZON,
+    models: ForecastModels | None = None,
 ) -> DataFrame:
     """Fit the three quantile models and roll every series forward. The frame should be a stored table.
 
     Series are taken by the calendar block their last day lies in, and each block's models are fitted on all rows of the
-    panel older than it. A panel without a long enough series, or a block without older rows, gives no cones.
+    panel older than it. Series that are too short, or whose block has no older rows, get no cone; ``series_sets`` names the
+    latter.
     """
-    rows = feature_rows(with_row_count(frame).filter(F.col("n_rows") >= MIN_ROWS))
-    spark = frame.sparkSession
-    cones = spark.createDataFrame([], FORECAST)
-    last = rows.groupBy("symbol").agg(F.max("date").alias("next_date"))
-    blocks = with_block(last, settings.block_days)
-    for start in block_starts(last, settings.block_days):
-        train = training_rows(rows, start)
-        if not train.isEmpty():
-            models = boost_quantiles(train, QUANTILES, settings=settings)
-            own = blocks.filter(F.col("block") == F.lit(start)).select("symbol")
-            cones = cones.unionByName(recursive_rollout(frame.join(own, "symbol", "left_semi"), models, horizon))
-    return cones
+    models = models or forecast_models(frame, settings)
+    sets = series_sets(frame, models, settings).filter("set is not null")
+    return recursive_rollout(frame, models.forest, horizon, sets)

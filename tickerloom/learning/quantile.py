@@ -1,77 +1,62 @@
-"""Boosted quantile regression on top of the cluster's tree learner.
+"""Boosted quantile regression.
 
-Each round fits a shallow regression tree to the gradient of the quantile loss, then replaces the value of every
-leaf by the quantile of the residuals that fall into it. Trees are applied as ordinary CASE expressions, so updating
-the running prediction stays inside generated code.
+Each round fits a shallow tree to the gradient of the quantile loss over a share of the rows, then sets every leaf to the
+quantile of the residuals that fall into it. All quantiles, and all sets of training rows, share the passes.
 """
 
 from __future__ import annotations
 
 import sys
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.ml.regression import DecisionTreeRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.learning.classifier import assemble
+from tickerloom.learning.boosting import Forest, Growth, Quantiles, fit_forest
 from tickerloom.operators.features import FEATURES
 from tickerloom.workspace import stage
 
 # Functions that run in tasks travel with them, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-SKETCH = 10_000  # accuracy of the residual quantiles; bounds the memory of each leaf's sketch
-
 
 @dataclass(frozen=True)
 class QuantileSettings:
     rounds: int = 150
     step: float = 0.05
     depth: int = 3
+    min_leaf: int = 1
     subsample: float = 0.8
+    bins: int = 64
     seed: int = 42
-    store_every: int = 10
     block_days: int = 180
 
-
-@dataclass
-class Tree:
-    """Complete binary tree in heap order: ``2**depth - 1`` splits (go right if above) and ``2**depth`` leaves."""
-
-    feature: list[int]
-    threshold: list[float]
-    value: list[float] = field(default_factory=list)
-
-    def leaf(self, inputs: list[Column], node: int = 0) -> Column:
-        if node >= len(self.feature):
-            return F.lit(node - len(self.feature))
-        if self.threshold[node] == float("inf"):
-            return self.leaf(inputs, 2 * node + 1)
-        goes_left = inputs[self.feature[node]] <= self.threshold[node]
-        return F.when(goes_left, self.leaf(inputs, 2 * node + 1)).otherwise(self.leaf(inputs, 2 * node + 2))
-
-    def output(self, inputs: list[Column]) -> Column:
-        return F.array(*[F.lit(float(v)) for v in self.value])[self.leaf(inputs)]
+    def growth(self) -> Growth:
+        return Growth(self.rounds, self.step, self.depth, self.min_leaf, self.bins)
 
 
 @dataclass
 class QuantileModel:
+    """One quantile of one set of a forest."""
+
     alpha: float
-    base: float
-    step: float
-    trees: list[Tree]
+    forest: Forest
+    set: int
+    output: int
+
+    @property
+    def base(self) -> float:
+        return float(self.forest.base[self.set, self.output])
 
-    def arrays(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """All trees as matrices, one row per tree; bounded by rounds and depth."""
-        return (
-            np.array([t.feature for t in self.trees], dtype=int),
-            np.array([t.threshold for t in self.trees], dtype=float),
-            np.array([t.value for t in self.trees], dtype=float),
-        )
+    @property
+    def rounds(self) -> int:
+        return self.forest.feature.shape[2]
+
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        return self.forest.scores(x, self.set)[:, self.output]
 
 
 def pinball(actual: Column, predicted: Column, alpha: float) -> Column:
@@ -79,19 +64,24 @@ def pinball(actual: Column, predicted: Column, alpha: float) -> Column:
     return F.avg(F.greatest(alpha * (actual - predicted), (1 - alpha) * (predicted - actual)))
 
 
-def _read_tree(fitted, depth: int) -> Tree:
-    """The learner's nodes laid out as a complete tree; an early leaf fills its subtree with one-way splits."""
-    splits = 2**depth - 1
-    tree = Tree([0] * splits, [float("inf")] * splits)
-    pending = [(fitted._java_obj.rootNode(), 0)]
-    while pending:
-        node, at = pending.pop()
-        if at >= splits or node.subtreeDepth() == 0:
-            continue
-        tree.feature[at] = node.split().featureIndex()
-        tree.threshold[at] = node.split().threshold()
-        pending += [(node.leftChild(), 2 * at + 1), (node.rightChild(), 2 * at + 2)]
-    return tree
+def fit_quantile_sets(
+    rows: DataFrame,
+    masks: list[Column],
+    alphas: tuple[float, ...],
+    target: str = "next_return",
+    settings: QuantileSettings = QuantileSettings(),
+) -> Forest:
+    """The quantiles ``alphas`` of ``target`` on the sixteen features of ``symbol, date`` rows, for every mask. Rows are drawn
+    by a hash of their key, so a recomputed task draws the same ones."""
+    loss = Quantiles(alphas, settings.subsample, settings.seed)
+    if not masks:
+        return fit_forest(rows, 0, loss, settings.growth())
+    weights = F.array(*[F.coalesce(mask, F.lit(False)).cast("double") for mask in masks])
+    known = rows.filter(F.col(target).isNotNull()).select(
+        *FEATURES, F.col(target).alias("y"), F.xxhash64("symbol", "date").alias("draw"), weights.alias("w")
+    )
+    held = known.filter(F.exists("w", lambda w: w > 0))
+    return fit_forest(stage(held, "boosting"), len(masks), loss, settings.growth())
 
 
 def boost_quantiles(
@@ -100,41 +90,9 @@ def boost_quantiles(
     target: str = "next_return",
     settings: QuantileSettings = QuantileSettings(),
 ) -> list[QuantileModel]:
-    """Fit several quantiles of ``target`` on the sixteen features of ``symbol, date`` rows.
-
-    The quantiles advance together with one running prediction column each, so a round's table is stored once for
-    all of them.
-    """
-    inputs = [F.col(c) for c in FEATURES]
-    y = F.col("y")
-    rows = train.select("symbol", "date", *FEATURES, F.col(target).alias("y"))
-    bases = rows.agg(F.percentile_approx("y", list(alphas), SKETCH)).first()[0]  # one number per quantile
-    models = [QuantileModel(alpha, base, settings.step, []) for alpha, base in zip(alphas, bases)]
-    guesses = [f"guess{k}" for k in range(len(models))]
-    current = stage(rows.withColumns({g: F.lit(m.base) for g, m in zip(guesses, models)}), "boosting")
-    for n in range(settings.rounds):
-        # drawn from the row's key, so a recomputed task draws the same rows
-        draw = F.pmod(F.xxhash64("symbol", "date", F.lit(settings.seed + n)), F.lit(1000))
-        drawn = current.filter(draw < int(settings.subsample * 1000))
-        better = {}
-        for model, name in zip(models, guesses):
-            guess, alpha = F.col(name), model.alpha
-            gradient = F.lit(alpha) - (y <= guess).cast("double")
-            learner = DecisionTreeRegressor(
-                featuresCol="features", labelCol="g", maxDepth=settings.depth, seed=settings.seed + n
-            )
-            fitted = learner.fit(assemble(drawn.withColumn("g", gradient)).select("features", "g"))
-            tree = _read_tree(fitted, settings.depth)
-            residual = F.percentile_approx(y - guess, alpha, SKETCH)
-            found = drawn.groupBy(tree.leaf(inputs).alias("leaf")).agg(residual.alias("v"))
-            values = {r["leaf"]: r["v"] for r in found.collect()}  # one row per leaf
-            tree.value = [values.get(k, 0.0) for k in range(2**settings.depth)]
-            model.trees.append(tree)
-            better[name] = guess + settings.step * tree.output(inputs)
-        current = current.withColumns(better)
-        if (n + 1) % settings.store_every == 0 and n + 1 < settings.rounds:
-            current = stage(current, "boosting")
-    return models
+    """Fit several quantiles of ``target`` on all rows."""
+    forest = fit_quantile_sets(train, [F.lit(True)], alphas, target, settings)
+    return [QuantileModel(alpha, forest, 0, k) for k, alpha in enumerate(alphas)]
 
 
 def quantile_boost(
@@ -144,37 +102,11 @@ def quantile_boost(
     return boost_quantiles(train, (alpha,), target, settings)[0]
 
 
-def boosted(models: list[QuantileModel]):
-    """Evaluate all trees of all models at once for a matrix of feature rows."""
-    parts = [m.arrays() for m in models]
-    bases, steps = [m.base for m in models], [m.step for m in models]
-    feature, threshold, value = (np.concatenate([p[k] for p in parts]) for k in range(3))
-    owner = np.concatenate([np.full(len(m.trees), k) for k, m in enumerate(models)])
-    splits, tree = feature.shape[1], np.arange(len(feature))
-
-    def run(x: np.ndarray) -> np.ndarray:
-        node = np.zeros((len(x), len(tree)), dtype=int)
-        row = np.arange(len(x))[:, None]
-        while node[0, 0] < splits:
-            above = x[row, feature[tree, node]] > threshold[tree, node]
-            node = 2 * node + 1 + above
-        out = value[tree, node - splits]
-        return np.stack(
-            [base + step * out[:, owner == k].sum(axis=1) for k, (base, step) in enumerate(zip(bases, steps))], axis=1
-        )
-
-    return run
-
-
 def predict_quantile(rows: DataFrame, model: QuantileModel, name: str) -> DataFrame:
-    """Add the prediction as a column. All trees are walked at once over batches of rows: one CASE per tree would outgrow
-    what generated code can hold."""
-    if not model.trees:
-        return rows.withColumn(name, F.lit(float(model.base)))
-    run = boosted([model])
+    """Add the prediction as a column. All trees are walked at once over batches of rows."""
 
     @F.pandas_udf("double")
     def predict(*inputs: pd.Series) -> pd.Series:
-        return pd.Series(run(np.column_stack(inputs))[:, 0])
+        return pd.Series(model.predict(np.column_stack([i.astype(float) for i in inputs])))
 
     return rows.withColumn(name, predict(*FEATURES))

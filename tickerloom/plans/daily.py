@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions.guards import drop_null_keys
-from tickerloom.learning.classifier import ClassifierSettings, generate_signals
-from tickerloom.learning.forecast import forecast_trend
-from tickerloom.learning.quantile import QuantileSettings
+from tickerloom.learning.classifier import ClassifierSettings, block_models, fit_sets, generate_signals, split_usable
+from tickerloom.learning.forecast import forecast_models, forecast_trend
+from tickerloom.learning.quantile import QuantileSettings, fit_quantile_sets
+from tickerloom.learning.store import reusing
 from tickerloom.learning.walkforward import walk_forward_eval
 from tickerloom.operators.bars import BRIDGE_SYMBOL, normalize_usd, quote_side
 from tickerloom.operators.contagion import contagion_matrix
@@ -25,11 +26,13 @@ from tickerloom.workspace import settle
 
 @dataclass(frozen=True)
 class DailyRun:
-    """Locations and settings of a run."""
+    """Locations and settings of a run. Models are kept below the target and used again as long as the rows they were fitted on
+    and the settings stay as they are. ``include_next`` also gives the signal for the day after the last bar."""
 
     target: str
     classifier: ClassifierSettings = field(default_factory=ClassifierSettings)
     quantiles: QuantileSettings = field(default_factory=QuantileSettings)
+    include_next: bool = False
 
     def path(self, table: str) -> str:
         return f"{self.target.rstrip('/')}/{table}"
@@ -52,14 +55,26 @@ class DailyRun:
         frame = feature_frame(join_market_factor(scored_series(usd), factor))
         return self.store(with_label_inputs(frame).withColumn("year", F.year("date")), "series", ["year"])
 
+    def signals(self, series: DataFrame, log: list[bool] | None = None) -> DataFrame:
+        """``log`` gets whether the models were there already."""
+        panel = labelled_panel(series, include_next=self.include_next)
+        fit = reusing(fit_sets, self.target, "signals", log)
+        models = block_models(split_usable(panel), self.classifier, fit)
+        return self.store(generate_signals(panel, self.classifier, models), "signals")
+
+    def forecast(self, series: DataFrame, log: list[bool] | None = None) -> DataFrame:
+        """``log`` gets whether the models were there already."""
+        models = forecast_models(series, self.quantiles, reusing(fit_quantile_sets, self.target, "forecast", log))
+        return self.store(forecast_trend(series, self.quantiles, models=models), "forecast")
+
     def run(self, spark: SparkSession, candles: str) -> dict[str, DataFrame]:
         """All stages; returns the stored tables by name."""
         series = self.series(self.bars(spark, candles))
         return {
             "series": series,
             "contagion": self.store(contagion_matrix(series), "contagion"),
-            "signals": self.store(generate_signals(labelled_panel(series), self.classifier), "signals"),
-            "forecast": self.store(forecast_trend(series, self.quantiles), "forecast"),
+            "signals": self.signals(series),
+            "forecast": self.forecast(series),
         }
 
     def evaluate(self, series: DataFrame) -> DataFrame:
