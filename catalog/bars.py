@@ -145,9 +145,10 @@ def bridge_convert(spark, folder):
     return rounded(B.bridge_convert(other, B.bridge_prices(bars)).select("symbol", "date", "close_usd", "volume_usd"))
 
 
-@query("left_join_market_factor", using("usd_bars", "market", body="""
-SELECT u.symbol, u.date, round(coalesce(m.btc_return, 0.0), 6) AS btc_return
-FROM usd_bars u LEFT JOIN market m ON u.date = m.date"""))
+@query("left_join_market_factor", using("usd_bars", body="""
+SELECT symbol, date, round(coalesce(max(daily_return) FILTER (WHERE symbol = 'BTCUSDT') OVER (PARTITION BY date), 0.0), 6) AS btc_return
+FROM (SELECT symbol, date, CASE WHEN prev IS NULL OR prev = 0 THEN 0.0 ELSE (close_usd - prev) / prev END AS daily_return
+      FROM (SELECT symbol, date, close_usd, lag(close_usd) OVER (PARTITION BY symbol ORDER BY date) AS prev FROM usd_bars))"""))
 def left_join_market_factor(spark, folder):
     return rounded(frames.panel_input(spark, folder).select("symbol", "date", "btc_return"))
 

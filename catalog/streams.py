@@ -22,7 +22,7 @@ def price_events(spark, folder):
 def stream_klines(spark, folder):
     root = candle_tree(spark, folder)
     out = fresh_path(spark, "incoming")
-    I.drain(I.stream_klines(spark, root), out, fold=N.clean_candles)
+    I.drain(I.stream_klines(spark, root), out, fold=N.clean_candles, merge=N.clean_candles)
     clean = N.clean_candles(I.batches(spark, out))
     return rounded(clean.select("symbol", "date", "open", "high", "low", "close", "volume", "quote_asset_volume",
                                 "number_of_trades"))
@@ -34,7 +34,7 @@ SELECT event_type AS symbol, CAST(ts AS DATE) AS date, min_by(value, struct_pack
 FROM events GROUP BY event_type, CAST(ts AS DATE)""")
 def stream_daily_bars(spark, folder):
     path = fresh_path(spark, "daily_bars")
-    I.drain(price_events(spark, folder), path, fold=I.partial_bars)
+    I.drain(price_events(spark, folder), path, fold=I.partial_bars, merge=I.combined_bars)
     return I.merged_bars(I.batches(spark, path))
 
 
@@ -42,5 +42,5 @@ def stream_daily_bars(spark, folder):
 SELECT event_type AS symbol, max_by(value, struct_pack(a := ts, b := event_id)) AS price FROM events GROUP BY event_type""")
 def stream_latest_price(spark, folder):
     path = fresh_path(spark, "latest_price")
-    I.drain(price_events(spark, folder), path, "append", I.latest_price)
+    I.drain(price_events(spark, folder), path, "append", I.latest_price, I.latest_price)
     return I.latest_price(I.batches(spark, path)).select("symbol", "price")

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions.calendar import epoch_to_date
 from tickerloom.operators import bars as B
+from tickerloom.operators.returns import market_factor
 from tickerloom.sources import candles as N
 from tickerloom.sources import payloads as P
 from tickerloom.sources import tables as T
@@ -127,3 +128,13 @@ def test_payloads(spark):
     assert [(r.price, r.volume) for r in candles] == [(1.5, 9.0)]
     news = P.news_articles(one('{"results":[{"title":"T","votes":{"positive":1,"important":3},"currencies":[{"code":"A"}]}]}'), "p").first()
     assert (news.url, news.source, news.sentiment, news.is_hot, news.currencies) == ("#", "Unknown", "bullish", True, ["A"])
+
+
+def test_repeated_days_of_the_bridge_do_not_multiply_rows(spark):
+    day = dt.date(2024, 1, 1)
+    rows = [("BTCUSDT", day, 100.0, 1.0), ("BTCUSDT", day, 90.0, 1.0), ("XBTC", day, 2.0, 3.0)]
+    bars = spark.createDataFrame(rows, "symbol string, date date, close double, volume double")
+    got = [r for r in B.normalize_usd(bars).collect() if r.symbol == "XBTC"]
+    assert [(r.close_usd, r.volume_usd) for r in got] == [(200.0, 300.0)]
+    scored = spark.createDataFrame([("BTCUSDT", day, 0.1), ("BTCUSDT", day, 0.2), ("XBTC", day, 0.3)], "symbol string, date date, daily_return double")
+    assert [tuple(r) for r in market_factor(scored).collect()] == [(day, 0.2)]

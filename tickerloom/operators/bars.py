@@ -58,8 +58,10 @@ def base_asset(suffix: str) -> Column:
 
 
 def bridge_prices(bars: DataFrame) -> DataFrame:
-    """Price of the bridge asset by date. One row per calendar day, hence safe to broadcast at any scale."""
-    return usd_side(bars).filter(F.col("symbol") == BRIDGE_SYMBOL).select("date", F.col("close").alias("btc_usd_price"))
+    """Price of the bridge asset by date. Folded to one row per calendar day, hence safe to broadcast at any scale and
+    harmless where overlapping bars repeat a day (the largest price counts)."""
+    own = usd_side(bars).filter(F.col("symbol") == BRIDGE_SYMBOL)
+    return own.groupBy("date").agg(F.max("close").alias("btc_usd_price"))
 
 
 def without_usd_pair(bars: DataFrame, match: str = "base", convert_all: bool = False) -> DataFrame:

@@ -63,8 +63,10 @@ def scored_series(usd_bars: DataFrame) -> DataFrame:
 
 
 def market_factor(scored: DataFrame, symbol: str = BRIDGE_SYMBOL) -> DataFrame:
-    """Daily return of the market proxy by date (one row per calendar day)."""
-    return scored.filter(F.col("symbol") == symbol).select("date", F.col("daily_return").alias("btc_return"))
+    """Daily return of the market proxy by date, folded to one row per calendar day (the largest where a day is repeated)."""
+    own = scored.filter(F.col("symbol") == symbol)
+    best = F.row_number().over(Window.partitionBy("symbol", "date").orderBy(F.desc("daily_return")))  # within the symbol's partition
+    return own.select("date", F.col("daily_return").alias("btc_return"), best.alias("_nth")).filter("_nth = 1").drop("_nth")
 
 
 def join_market_factor(df: DataFrame, factor: DataFrame) -> DataFrame:

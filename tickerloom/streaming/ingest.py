@@ -1,18 +1,21 @@
 """File streams of candles and price events.
 
-No stream keeps state. Each micro-batch is folded to one row per key and written to a folder under its id, so a batch that
-is repeated after a failure replaces its own output. The current table is an aggregation over the batches that gives the same
-rows for any cut of the events into batches, in any order.
+No stream keeps state. Each micro-batch is folded to one row per key and added to a tiered table, which knows the batches it
+has, so a batch that is repeated after a failure counts once. Folders are merged as they become many. The current table is an
+aggregation over the folders that gives the same rows for any cut of the events into batches, in any order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tickerloom.schemas import CANDLE_FILE
 from tickerloom.sources.candles import label_candles
+from tickerloom.streaming.tiers import Tiers
 from tickerloom.workspace import settle
 
 
@@ -41,6 +44,14 @@ def partial_bars(events: DataFrame) -> DataFrame:
     )
 
 
+def combined_bars(parts: DataFrame) -> DataFrame:
+    """Partial bars of several batches as partial bars, one per symbol and day."""
+    return parts.groupBy("symbol", "date").agg(
+        F.min(FIRST).alias(FIRST), F.max("high").alias("high"), F.min("low").alias("low"), F.max(LAST).alias(LAST),
+        F.sum("n_events").alias("n_events"),
+    )
+
+
 def merged_bars(parts: DataFrame) -> DataFrame:
     """Daily open, high, low, close and count from the partial bars of all batches. Late events correct their bar whenever
     they come; nothing is dropped and no state is kept."""
@@ -56,12 +67,20 @@ def latest_price(events: DataFrame) -> DataFrame:
     return events.groupBy("symbol").agg(newest).select("symbol", "_n.price", "_n.ts", "_n.event_id")
 
 
-def drain(stream: DataFrame, path: str, mode: str = "append", fold=None) -> StreamingQuery:
-    """Run a stream over everything available now, writing each micro-batch to ``path/batches/batch=<id>``."""
+def drain(
+    stream: DataFrame,
+    path: str,
+    mode: str = "append",
+    fold: Callable[[DataFrame], DataFrame] | None = None,
+    merge: Callable[[DataFrame], DataFrame] | None = None,
+    fan_in: int = 8,
+) -> StreamingQuery:
+    """Run a stream over everything available now and add each micro-batch, folded, to the tiered table at ``path``. ``merge``
+    folds what several batches left to the same columns; with it the table stays in few folders."""
+    table = Tiers(path, merge, fan_in)
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = fold(batch) if fold else batch
-        rows.write.mode("overwrite").parquet(f"{path}/batches/batch={number}")
+        table.add(fold(batch) if fold else batch, number)
 
     query = (
         stream.writeStream.outputMode(mode)
@@ -75,4 +94,4 @@ def drain(stream: DataFrame, path: str, mode: str = "append", fold=None) -> Stre
 
 
 def batches(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(f"{path}/batches")
+    return Tiers(path).read(spark)
