@@ -9,6 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from tickerloom.llm import alignment as A
+from tickerloom.llm import token_counts
 from tickerloom.llm.byte_pairs import encode_ordinary
 
 PATHS = A.AlignSettings()
@@ -127,3 +128,15 @@ def test_hostile_tables(spark, public):
     assert A.align_tokenizers(spark.createDataFrame([], kinds)).count() == 0
     empty = spark.createDataFrame([(1, None), (2, "")], "doc_id int, text string")
     assert sorted(r.n_links for r in A.align_tokenizers(empty).collect()) == [0, 0]
+
+
+def test_token_counts_of_long_blanks(spark):
+    texts = ["a" + " " * 1_000_000 + "b", " " * 1_000_000, "x" * 200_000 + "\n" * 300_000, "a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    lengths = {r.doc_id: r.n_tokens for r in token_counts.encoded_lengths(docs).collect()}
+    # a blank run is one piece without its last sign; this vocabulary has tokens of single blanks and line feed pairs
+    encoding = token_counts.encoder(token_counts.VOCABULARY, token_counts.PATTERN)
+    blank = len(encoding._encode_single_piece(" " * 999_999))
+    assert lengths[0] == 1 + blank + len(encoding.encode_ordinary(" b"))
+    assert lengths[1] == len(encoding._encode_single_piece(" " * 1_000_000)) and lengths[3] == 2
+    assert lengths[2] == len(encoding.encode_ordinary("x" * 200_000)) + len(encoding._encode_single_piece("\n" * 300_000))

@@ -14,13 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerloom.llm.byte_pairs import PATTERN, encode_ordinary
 from tickerloom.llm.words import Cache
 from tickerloom.ordering import running_total
 from tickerloom.workspace import stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
-#: Fixed value: the split pattern the vocabulary was made with.
-PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 _ENCODERS = Cache()
 
 
@@ -39,12 +38,13 @@ def encoder(path: str, pattern: str):
 
 def encoded_lengths(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN) -> DataFrame:
     """One row per row of ``docs``: ``doc_id, n_tokens``. Null and empty texts have 0 tokens; texts are encoded whole, and
-    strings that look like special tokens are ordinary text. Only ``doc_id`` and ``text`` are read."""
+    strings that look like special tokens are ordinary text; runs of white space of any length are encoded as the pattern
+    would, without its limit. Only ``doc_id`` and ``text`` are read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path, pattern).encode_ordinary
+        encoding = encoder(path, pattern)
         for batch in batches:
-            counts = [len(encode(text.as_py())) if text.is_valid else 0 for text in batch.column(1)]
+            counts = [len(encode_ordinary(encoding, text.as_py())) if text.is_valid else 0 for text in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["doc_id", "n_tokens"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
