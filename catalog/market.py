@@ -65,7 +65,7 @@ def limit_per_source(spark, folder):
     return M.limit_per_source(articles, [F.desc("doc_id")])
 
 
-@query("context_block", using("snapshot", body=f"""
+CONTEXT_SQL = f"""
 SELECT concat('[LIVE MARKET CONTEXT — 2024-02-01 00:00 UTC]', chr(10), 'Fear & Greed Index: ', (
     SELECT concat(CAST(max_by(CAST(json_extract_string(props, '$.k') AS INT), event_id) AS VARCHAR), '/100 — ', max_by(event_type, event_id))
     FROM events), chr(10),
@@ -76,7 +76,10 @@ SELECT concat('[LIVE MARKET CONTEXT — 2024-02-01 00:00 UTC]', chr(10), 'Fear &
   'Live Coin Prices:', chr(10),
   (SELECT string_agg(concat('  ', symbol, ' (', symbol, ') = $', printf(CASE WHEN price_usd >= 1 THEN '%.4f' ELSE '%.6f' END, price_usd), ' (',
      CASE WHEN change_24h < 0 THEN '-' ELSE '+' END, printf('%.2f', abs(change_24h)), '% 24h)'), chr(10) {SIZE})
-   FROM (SELECT * FROM snapshot {SIZE} LIMIT 25))) AS context FROM snapshot"""))
+   FROM (SELECT * FROM snapshot {SIZE} LIMIT 25))) AS context FROM snapshot"""
+
+
+@query("context_block", using("snapshot", body=CONTEXT_SQL))
 def context_block(spark, folder):
     events = star.table(spark, folder, "events")
     index = events.agg(
@@ -184,15 +187,15 @@ def export_positions(spark, folder):
     return spark.read.schema(rows.schema).option("header", "true").csv(path)
 
 
-CONTEXT = "[LIVE MARKET CONTEXT: Unavailable.]"
-
-
-@query("prompt_assembly", f"""
+@query("prompt_assembly", using("snapshot", body=f"""
+, live AS MATERIALIZED ({CONTEXT_SQL})
 SELECT conv_id, turn, CASE WHEN turn = last OR role = 'user' THEN 'user' ELSE 'model' END AS role,
-       CASE WHEN turn = last THEN concat('{CONTEXT}', chr(10), chr(10), 'User question: ', text) ELSE text END AS text
-FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)""")
+       CASE WHEN turn = last THEN concat((SELECT context FROM live), chr(10), chr(10), 'User question: ', text) ELSE text END AS text
+FROM (SELECT *, max(turn) OVER (PARTITION BY conv_id) AS last FROM conversations)"""))
 def prompt_assembly(spark, folder):
-    return G.prompt_assembly(star.table(spark, folder, "conversations"), F.lit(CONTEXT))
+    """The last turn of each conversation is led by the market context of the listing, one row read as a scalar."""
+    context = context_block(spark, folder).select("context").scalar()
+    return G.prompt_assembly(star.table(spark, folder, "conversations"), context)
 
 
 @query("response_extract", """

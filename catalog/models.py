@@ -1,4 +1,5 @@
-"""Signals and forecasts at the library's default settings, over every row of the panel. These results have no SQL counterpart except where a statement is given."""
+"""Signals and forecasts at the library's default settings, over every row of the panel. Values of fitted models have no SQL counterpart;
+statements check what must hold exactly, such as the rows each model learns from."""
 
 from __future__ import annotations
 
@@ -36,16 +37,26 @@ def block_signals(test, models):
     return with_block_probabilities(test, models, SETTINGS).withColumn("date", F.col("next_date"))
 
 
-@query("train_classifier")
+@query("train_classifier", using("labelled", body=f"""
+, blocks AS (
+  SELECT DISTINCT CAST(DATE '1970-01-01' + CAST(floor((next_date - DATE '1970-01-01') / {SETTINGS.block_days}.0) * {SETTINGS.block_days} AS INT) AS DATE) AS block
+  FROM labelled WHERE k >= floor(n * 0.8))
+SELECT b.block, l.label, count(*) AS n, count(*) AS n_scored, true AS better_than_chance
+FROM blocks b JOIN labelled l ON l.next_date < b.block GROUP BY b.block, l.label"""))
 def fit_classifier(spark, folder):
-    """Labels and signals of each block's training rows."""
+    """Training rows of each block by label, how many of them its model scores, and whether it finds more of the label again
+    than a draw among three classes."""
     split = split_panel(spark, folder)
     models = block_models(split, SETTINGS)
     known = [F.when(older_than(start), F.struct(F.lit(k).alias("set"), F.lit(start).alias("block"))) for k, start in enumerate(models.starts)]
     own = F.explode(F.filter(F.array(*known), lambda b: b.isNotNull())) if known else F.lit(None).cast("struct<set:int,block:date>")
     rows = split.withColumn("_own", own).filter("_own is not null")
     fitted = with_probabilities(rows, models.forest, F.col("_own.set")).withColumn("block", F.col("_own.block"))
-    return fitted.groupBy("block", "label", "signal").agg(F.count(F.lit(1)).alias("n"))
+    return fitted.groupBy("block", "label").agg(
+        F.count(F.lit(1)).alias("n"),
+        F.count("signal").alias("n_scored"),
+        (F.count_if(F.col("signal") == F.col("label")) * 3 > F.count(F.lit(1))).alias("better_than_chance"),
+    )
 
 
 @query("predict_signals", using("labelled", body="""
@@ -132,21 +143,26 @@ def evaluate(spark, folder):
     return walk_forward_eval(stage(frames.labelled(spark, folder), "panel"), SETTINGS)
 
 
-@query("quantile_boost")
+@query("quantile_boost", using("labelled", body="""
+SELECT CAST(q.alpha AS DOUBLE) AS alpha, count(*) AS n, true AS below_constant, true AS covers
+FROM labelled, (VALUES (0.1), (0.5), (0.9)) q(alpha) GROUP BY q.alpha"""))
 def boost(spark, folder):
-    """Loss of each boosted quantile on its training rows next to the loss of the constant it starts from."""
+    """Of each boosted quantile: training rows, whether its loss is below that of the constant it starts from, and whether the
+    share of rows at or below it is the quantile's to five points."""
     rows = stage(frames.labelled(spark, folder), "labelled")
-    losses = []
+    found = []
     for model in Q.boost_quantiles(rows, C.QUANTILES, settings=SETTINGS_Q):
         y, guess = F.col("next_return"), F.col("guess")
-        losses.append(
+        share = F.avg((y <= guess).cast("double"))
+        found.append(
             Q.predict_quantile(rows, model, "guess").agg(
                 F.lit(model.alpha).alias("alpha"),
-                Q.pinball(y, guess, model.alpha).alias("loss"),
-                Q.pinball(y, F.lit(model.base), model.alpha).alias("loss_constant"),
+                F.count(F.lit(1)).alias("n"),
+                (Q.pinball(y, guess, model.alpha) < Q.pinball(y, F.lit(model.base), model.alpha)).alias("below_constant"),
+                (F.abs(share - model.alpha) <= 0.05).alias("covers"),
             )
         )
-    return losses[0].unionByName(losses[1]).unionByName(losses[2])
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 @query("forecast_trend")
