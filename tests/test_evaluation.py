@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 
@@ -59,3 +61,24 @@ def test_summary_and_cuts(spark):
     assert summary.med_f1_w == pytest.approx(0.45) and summary.avg_f1_w == pytest.approx(0.45)
     everything = spark.createDataFrame([(f"S{k}",) for k in range(14)] * 2, "symbol string")
     assert tuple(V.filtered_out_count(everything, df).first()) == (14, 11, 3)
+
+
+def test_one_pass_equals_the_single_metrics(spark):
+    """Ties, classes never seen or never called, and keys of one row."""
+    rng = random.Random(9)
+    rows = []
+    for key in range(30):
+        labels = rng.sample(CLASSES, rng.randint(1, 3))
+        calls = rng.sample(CLASSES, rng.randint(1, 3))
+        for _ in range(rng.choice([1, 2, 5, 40])):
+            rows.append((f"S{key}", key % 3, rng.choice(labels), rng.choice(calls), *(float(rng.randint(0, 4)) for _ in range(3))))
+    schema = "symbol string, fold int, label string, prediction string, score_up double, score_down double, score_neutral double"
+    df, keys = spark.createDataFrame(rows, schema), ["symbol", "fold"]
+    one = V.all_metrics(df, keys)
+    assert one._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    single = V.f1_scores(df, keys).join(V.directional_accuracy(df, keys), keys).join(V.auc_ovr_weighted(df, keys), keys)
+    names = ["f1_weighted", "f1_macro", "dir_accuracy", "auc_roc"]
+    got, want = ({r.symbol: [r[n] for n in names] for r in x.collect()} for x in (one, single))
+    assert set(got) == set(want)
+    for symbol in got:
+        assert got[symbol] == pytest.approx(want[symbol], abs=1e-12)

@@ -86,19 +86,67 @@ def auc_ovr_weighted(df: DataFrame, keys: list[str]) -> DataFrame:
     return areas.groupBy(*keys).agg(F.when(whole, weighted).otherwise(F.lit(0.0)).alias("auc_roc"))
 
 
+def with_tied_ranks(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Rank of each class's score among the rows of a key, ties sharing their mean rank, as ``rank_<class>``. Rank and number of
+    ties come from one sort per class."""
+    for c in CLASSES:
+        score = f"score_{c.lower()}"
+        rank = F.rank().over(Window.partitionBy(*keys).orderBy(score))
+        ties = F.count(F.lit(1)).over(Window.partitionBy(*keys, score))
+        df = df.withColumn(f"rank_{c.lower()}", rank + (ties - 1) / 2)
+    return df
+
+
+def all_metrics(df: DataFrame, keys: list[str]) -> DataFrame:
+    """``f1_weighted, f1_macro, dir_accuracy, auc_roc`` per key from one exchange and one aggregate, equal to what
+    :func:`f1_scores`, :func:`directional_accuracy` and :func:`auc_ovr_weighted` give one by one.
+
+    The rows of a key meet in one task, as many as a series has days. An area under the curve is the sum of the ranks of the
+    class's rows above the least it could be.
+    """
+    label, call = F.col("label"), F.col("prediction")
+    sums = []
+    for c in CLASSES:
+        name = c.lower()
+        sums += [
+            F.count_if(label == c).alias(f"support_{name}"),
+            F.count_if(call == c).alias(f"called_{name}"),
+            F.count_if((label == c) & (call == c)).alias(f"hits_{name}"),
+            F.sum(F.when(label == c, F.col(f"rank_{name}"))).alias(f"ranks_{name}"),
+        ]
+    sided = (label != NEUTRAL) & (call != NEUTRAL)
+    sums += [F.count_if(sided).alias("sided"), F.count_if(sided & (label == call)).alias("right"), F.count("label").alias("n")]
+    found = with_tied_ranks(df, keys).groupBy(*keys).agg(*sums)
+    f1, weighted, areas, seen = [], [], [], []
+    for c in CLASSES:
+        support, called, hits, ranks = (F.col(f"{x}_{c.lower()}") for x in ("support", "called", "hits", "ranks"))
+        score = ratio(2 * hits, support + called)
+        f1.append(F.when(support + called > 0, score))
+        seen.append((support + called > 0).cast("int"))
+        weighted.append(F.when(support > 0, score * support).otherwise(0.0))
+        areas.append(F.try_divide(ranks - support * (support + 1) / 2, support * (F.col("n") - support)) * support)
+    plain = sum((F.coalesce(x, F.lit(0.0)) for x in f1[1:]), F.coalesce(f1[0], F.lit(0.0)))
+    return found.select(
+        *keys,
+        ratio(sum(weighted[1:], weighted[0]), F.col("n")).alias("f1_weighted"),
+        F.try_divide(plain, sum(seen[1:], seen[0])).alias("f1_macro"),
+        ratio(F.col("right"), F.col("sided"), ACCURACY_WITHOUT_CALLS).alias("dir_accuracy"),
+        F.coalesce((areas[0] + areas[1] + areas[2]) / F.col("n"), F.lit(0.0)).alias("auc_roc"),
+    )
+
+
 def fold_metrics(folded: DataFrame, usable: DataFrame | None = None) -> DataFrame:
     """All metrics per symbol and fold, test rows of usable folds only.
 
-    The rows are stored once and read by each metric. ``usable`` names the usable folds where ``folded`` has no training
-    rows to tell them by.
+    ``usable`` names the usable folds where ``folded`` has no training rows to tell them by; otherwise the rows are stored
+    once and read for both.
     """
     keys = ["symbol", "fold"]
-    shown = ["label", "prediction", "score_up", "score_down", "score_neutral"]
-    rows = stage(folded.select(*keys, "part", *shown), "folded")
-    test = rows.filter("part = 'test'").join(usable_folds(rows) if usable is None else usable, keys, "left_semi")
-    return (
-        f1_scores(test, keys).join(directional_accuracy(test, keys), keys).join(auc_ovr_weighted(test, keys), keys)
-    )
+    rows = folded.select(*keys, "part", "label", "prediction", "score_up", "score_down", "score_neutral")
+    if usable is None:
+        rows = stage(rows, "folded")
+        usable = usable_folds(rows)
+    return all_metrics(rows.filter("part = 'test'"), keys).join(usable, keys, "left_semi")
 
 
 def fold_mean(metrics: DataFrame) -> DataFrame:
