@@ -19,7 +19,8 @@ from tickerloom.operators.contagion import contagion_matrix
 from tickerloom.operators.features import feature_frame
 from tickerloom.operators.labels import labelled_panel, with_label_inputs
 from tickerloom.operators.returns import join_market_factor, market_factor, scored_series, with_returns
-from tickerloom.sources.candles import clean_candles, scan_klines
+from tickerloom.sources.candles import clean_candles
+from tickerloom.sources.intake import CandleIntake
 from tickerloom.sources.tables import read_parquet, write_parquet
 from tickerloom.workspace import settle
 
@@ -42,8 +43,10 @@ class DailyRun:
         return read_parquet(df.sparkSession, self.path(table))
 
     def bars(self, spark: SparkSession, candles: str) -> DataFrame:
-        """Candle files, overlaps removed, stored by quote side."""
-        clean = clean_candles(scan_klines(settle(spark), candles))
+        """Candle files, overlaps removed, stored by quote side. Files taken by an earlier run are not read again."""
+        intake = CandleIntake(self.path("intake"))
+        intake.take(settle(spark), candles)
+        clean = clean_candles(intake.candles(spark))
         return self.store(clean.drop("ignore").withColumn("side", quote_side()), "bars", ["side"])
 
     def series(self, bars: DataFrame) -> DataFrame:

@@ -31,9 +31,9 @@ def label_candles(raw: DataFrame) -> DataFrame:
 
 
 def scan_klines(
-    spark: SparkSession, base_path: str, mode: str = "PERMISSIVE", malformed: str | None = None
+    spark: SparkSession, base_path: str | list[str], mode: str = "PERMISSIVE", malformed: str | None = None
 ) -> DataFrame:
-    """All candle rows below ``base_path`` with the file they came from, ticker and date.
+    """All candle rows below ``base_path``, or of a list of files, with the file they came from, ticker and date.
 
     ``mode`` is the reader's treatment of malformed lines; with ``malformed`` their text is kept in a column of that
     name. Rows from files without a ticker in their name keep a
