@@ -111,6 +111,18 @@ def test_repeated_rows_inside_a_chain_are_linked(spark):
     assert len(got) == 60 and [r for r in got if r.component_id != r.doc_id // 10 * 10] == []
 
 
+def test_texts_of_one_id_each_keep_their_links(spark):
+    a, b, c = ([f"{name}{i}" for i in range(60)] for name in "abc")
+    rows = [(5, a), (5, b), (9, [*a, "x"]), (12, [*b, "x"]), (30, c), (21, [*c, "x"]), (30, a[:20]), (41, [*a[:20], "y"])]
+    rows = [(i, " ".join(w)) for i, w in rows] + [(41, None), (30, " ".join(c)), (None, " ".join(a))]
+    got = hyperminhash.near_duplicates(docs_of(spark, rows)).collect()
+    found = sorted(((r.doc_id, r.component_id) for r in got if r.n_shingles and r.doc_id is not None))
+    assert found == [(5, 5), (5, 5), (9, 5), (12, 5), (21, 21), (30, 21), (30, 21), (30, 21), (41, 21)]
+    assert [(r.component_id, r.kept) for r in got if not r.n_shingles or r.doc_id is None] in (
+        [(41, True), (None, True)], [(None, True), (41, True)]
+    )
+
+
 def test_registers_estimate_similarity_and_borrow():
     settings = hyperminhash.NearSettings(bands=200, rows=5)
     rng = np.random.default_rng(1)

@@ -24,6 +24,8 @@ from tickerloom.workspace import stage
 
 
 PARTS = 32
+#: What names a node: its number, the smallest id of a row with its set, and the set's 128-bit name.
+NAME = ["node", "first", "s1", "s2"]
 
 
 @dataclass(frozen=True)
@@ -139,8 +141,7 @@ def _banded(nodes: DataFrame, settings: NearSettings) -> DataFrame:
                 node = np.repeat(batch.column("node").to_numpy(zero_copy_only=False), settings.bands)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(node)], ["bucket", "node"])
 
-    kind = nodes.schema["node"].dataType.simpleString()
-    return nodes.select("node", "registers").mapInArrow(run, f"bucket long, node {kind}")
+    return nodes.select("node", "registers").mapInArrow(run, "bucket long, node long")
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, settings: NearSettings) -> DataFrame:
@@ -162,14 +163,13 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, settings: NearSettings) -> Da
 
     side = nodes.select("node", "n_shingles", "registers")
     named = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
-    kind = nodes.schema["node"].dataType.simpleString()
-    return named.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, f"a {kind}, b {kind}")
+    return named.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: NearSettings) -> DataFrame:
-    """``node, members`` (sorted hashes, packed): one row per wanted node (``node, s1, s2``), with the set of that name, however
-    many rows share the node's id. Sets are made only for texts that pass a fixed-size filter of the wanted ids."""
-    table = key_filter(wanted, "node")
+    """``node, members`` (sorted hashes, packed): one row per wanted node (``node, first, s1, s2``), with the set of that name,
+    read from a row with the id ``first``. Sets are made only for texts that pass a fixed-size filter of those ids."""
+    table = key_filter(wanted, "first")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,14 +179,14 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: NearSettings) -> DataFra
                 packed = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [block.column("doc_id"), *_names(values, offsets), pa.array(packed, pa.binary())],
-                    ["node", "s1", "s2", "members"],
+                    ["first", "s1", "s2", "members"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = docs.filter("doc_id is not null").select("doc_id", "text", place_of("doc_id").alias("place"))
-    sets = texts.mapInArrow(run, f"node {kind}, s1 long, s2 long, members binary")
-    found = sets.dropDuplicates(["node", "s1", "s2"]).join(wanted, ["node", "s1", "s2"], "left_semi")
-    return found.select("node", "members")
+    sets = texts.mapInArrow(run, f"first {kind}, s1 long, s2 long, members binary")
+    found = sets.join(wanted, ["first", "s1", "s2"]).select("node", "members")
+    return found.dropDuplicates(["node"])
 
 
 def _shingles(sets: DataFrame) -> DataFrame:
@@ -203,13 +203,12 @@ def _shingles(sets: DataFrame) -> DataFrame:
                         [batch.column("node").take(pa.array(owner)), pa.array(np.concatenate(some))], ["node", "shingle"]
                     )
 
-    kind = sets.schema["node"].dataType.simpleString()
-    return sets.mapInArrow(run, f"node {kind}, shingle long")
+    return sets.mapInArrow(run, "node long, shingle long")
 
 
 def _common(nodes: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """``node, facts`` of nodes (``node, s1, s2``): the size of each node's set and, by ``PARTS`` parts of the hash space, how many of its members some
-    other of the nodes has, too."""
+    """``node, facts`` of nodes (``node, first, s1, s2``): the size of each node's set and, by ``PARTS`` parts of the hash space,
+    how many of its members some other of the nodes has, too."""
     part = F.pmod("shingle", F.lit(PARTS)).cast("int").alias("part")
     held = stage(_shingles(_sets(docs, nodes, settings)), "held")
     single = held.groupBy("shingle").agg(F.min("node").alias("node"), F.max("node").alias("last")).filter("node = last")
@@ -238,7 +237,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Nea
     """Pairs whose full shingle sets reach the threshold."""
     pairs = stage(pairs, "estimated")
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select("node", "s1", "s2").join(wanted, "node", "left_semi")
+    wanted = nodes.select(*NAME).join(wanted, "node", "left_semi")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -251,10 +250,28 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Nea
                 keep.append(100 * inside >= settings.percent * (len(x) + len(y) - inside))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
     members = stage(_sets(docs, wanted, settings), "members")
     named = pairs.join(members.toDF("a", "ma"), "a").join(members.toDF("b", "mb"), "b")
-    return named.select("a", "b", "ma", "mb").mapInArrow(compare, f"a {kind}, b {kind}")
+    return named.select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long")
+
+
+def _nodes(live: DataFrame) -> DataFrame:
+    """One row per different set, numbered in the order of its smallest id: ``node, first, s1, s2, n_shingles, registers``."""
+    sets = live.groupBy("s1", "s2").agg(
+        F.min("doc_id").alias("first"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("registers").alias("registers")
+    )
+    numbered = sets.orderBy("first", "s1", "s2").withColumn("node", F.monotonically_increasing_id())
+    return stage(numbered, "nodes")  # stored, so that the numbers hold
+
+
+def _same_document(live: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (``a, b``) between the different sets of rows that share an id: the least of them with each other one."""
+    name = F.struct("s1", "s2")
+    several = live.groupBy("doc_id").agg(F.min(name).alias("lo"), F.max(name).alias("hi")).filter("lo <> hi").select("doc_id")
+    held = live.join(several, "doc_id", "left_semi").select("doc_id", "s1", "s2").distinct()
+    held = held.join(nodes.select("node", "s1", "s2"), ["s1", "s2"])
+    least = held.groupBy("doc_id").agg(F.min("node").alias("a"))
+    return held.join(least, "doc_id").filter("a <> node").select("a", F.col("node").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, settings: NearSettings | None = None) -> DataFrame:
@@ -263,25 +280,26 @@ def near_duplicates(docs: DataFrame, settings: NearSettings | None = None) -> Da
     Documents whose shingle sets have a Jaccard similarity of at least ``percent`` / 100 are linked; ``component_id`` is the
     smallest ``doc_id`` reachable over links, ``kept`` is true for that document. Texts with equal sets are one item from the
     start, so copies cost one row each. Null, empty and wordless texts have no shingles and link with nothing. Rows that
-    share a ``doc_id`` are one node with one of their texts; a row with a null id keeps a null ``component_id``,
-    links with nothing and is kept. An empty table gives an empty table.
+    share a ``doc_id`` are one document that has the links of each of its texts; a row with a null id keeps a null
+    ``component_id``, links with nothing and is kept. An empty table gives an empty table.
     """
     settings = settings or NearSettings()
     sketches = stage(_sketches(docs, settings), "sketches")
     live = sketches.filter("n_shingles > 0 and doc_id is not null")
-    nodes = live.groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("node"), F.any_value("n_shingles").alias("n_shingles"), F.any_value("registers").alias("registers")
-    )
-    nodes = stage(nodes.dropDuplicates(["node"]), "nodes")
+    nodes = _nodes(live)
     buckets = stage(_banded(nodes, settings), "bands")
     found = link_buckets(
         buckets,
         lambda pairs: _verified(_estimated(pairs, nodes, settings), nodes, docs, settings),
-        lambda open_nodes: _common(nodes.select("node", "s1", "s2").join(open_nodes, "node", "left_semi"), docs, settings),
+        lambda open_nodes: _common(nodes.select(*NAME).join(open_nodes, "node", "left_semi"), docs, settings),
         _can_reach(settings),
+        _same_document(live, nodes),
     )
-    named = live.groupBy("s1", "s2").agg(F.min("doc_id").alias("node"))
-    classes = named.join(found, "node", "left").select("s1", "s2", F.coalesce("component", "node").alias("linked"))
+    # numbers follow the ids, so a class's smallest node has its smallest id
+    heads = nodes.select(F.col("node").alias("component"), F.col("first").alias("linked"))
+    linked = nodes.select("node", "s1", "s2").join(found, "node").join(heads, "component").select("s1", "s2", "linked")
+    named = nodes.select("s1", "s2", "first").join(linked, ["s1", "s2"], "left")
+    classes = named.select("s1", "s2", F.coalesce("linked", "first").alias("linked"))
     joined = sketches.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("linked", "doc_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)

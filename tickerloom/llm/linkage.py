@@ -50,7 +50,11 @@ def _leader_pairs(rows: DataFrame, possible: Possible) -> DataFrame:
 
 
 def link_buckets(
-    buckets: DataFrame, verify: Verify, facts: Callable[[DataFrame], DataFrame] | None = None, possible: Possible | None = None
+    buckets: DataFrame,
+    verify: Verify,
+    facts: Callable[[DataFrame], DataFrame] | None = None,
+    possible: Possible | None = None,
+    given: DataFrame | None = None,
 ) -> DataFrame:
     """``node, component`` of every node that has a link, exact with respect to the buckets: two nodes that share a bucket
     and pass ``verify`` end in one class.
@@ -60,12 +64,13 @@ def link_buckets(
     bucket whose members form one class is done. What is left are pairs of different classes in one bucket. They are
     compared one by one, except those that ``possible`` rules out while they are joined: first a node against a class,
     then the two nodes. It sees the node's ``facts`` (``node, facts`` for a table of open nodes, a struct of numbers)
-    and the least and greatest of the other side's. A group of n copies costs a few n comparisons and those of its
+    and the least and greatest of the other side's. ``given`` are links (``a, b``) that hold from the start. A group of n copies costs a few n comparisons and those of its
     outliers rather than n * n.
     """
     shared = buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.max("node").alias("last"))
     shared = stage(buckets.join(shared.filter("leader <> last").select("bucket", "leader"), "bucket"), "shared")
-    links = stage(verify(_pairs(shared, "leader")), "links")
+    links = verify(_pairs(shared, "leader"))
+    links = stage(links if given is None else links.unionByName(given), "links")
     rows = _with_component(shared.select("bucket", "node"), links)
     known = facts(rows.select("node").distinct()) if facts else rows.select("node", F.struct(F.lit(0).alias("none")).alias("facts"))
     known, possible = stage(known.distinct(), "facts"), possible or _anything
