@@ -46,21 +46,22 @@ def probes(edits: int) -> list[tuple[int, int, int]]:
     return out
 
 
-def segment_keys(line: Column, length: Column, edits: int) -> Column:
-    """Array of ``(bucket, is_index)``; probes that do not fit the line have a null bucket."""
-    keys = []
-    for shorter, i, shift in probes(edits):
-        other = length - shorter
-        base = F.floor(other / (edits + 1)).cast("int")
-        short = (edits + 1) - (other - base * (edits + 1))  # segments of the base length come first
-        start = 1 + (i - 1) * base + F.greatest(F.lit(0), F.lit(i - 1) - short) + shift
-        size = base + F.when(F.lit(i) > short, 1).otherwise(0)
-        fits = (base > 0) & (start >= 1) & (start + size - 1 <= length)
-        bucket = F.xxhash64(other.cast("int"), F.lit(i), F.substring(line, start, size))
-        keys.append(
-            F.struct(F.when(fits, bucket).alias("bucket"), F.lit(int(shorter == 0 and shift == 0)).alias("is_index"))
-        )
-    return F.array(*keys)
+def segment_keys(lines: DataFrame, edits: int) -> DataFrame:
+    """``node, bucket, is_index`` of ``lines`` (``node, line, length``): a row per probe that fits its line. Probes are made into
+    rows first, so that the generated code holds one key's expression and not that of all."""
+    table = F.array(*[F.struct(*[F.lit(x).alias(c) for x, c in zip(p, ("shorter", "i", "shift"))]) for p in probes(edits)])
+    rows = lines.select("node", "line", "length", F.inline(table))
+    rows = rows.withColumn("other", F.col("length") - F.col("shorter"))
+    rows = rows.withColumn("base", F.expr(f"other div {edits + 1}").cast("int"))
+    short = F.lit(edits + 1) - (F.col("other") - F.col("base") * (edits + 1))  # segments of the base length come first
+    rows = rows.withColumn("short", short)
+    before = (F.col("i") - 1) * F.col("base") + F.greatest(F.lit(0), F.col("i") - 1 - F.col("short"))
+    rows = rows.withColumn("start", F.lit(1) + before + F.col("shift"))
+    rows = rows.withColumn("size", F.col("base") + F.when(F.col("i") > F.col("short"), 1).otherwise(0))
+    rows = rows.filter("base > 0 and start >= 1 and start + size - 1 <= length")
+    bucket = F.xxhash64("other", "i", F.substring("line", F.col("start"), F.col("size")))
+    is_index = ((F.col("shorter") == 0) & (F.col("shift") == 0)).cast("int")
+    return rows.select("node", bucket.alias("bucket"), is_index.alias("is_index"))
 
 
 def within_edits(a: Column, b: Column, edits: int) -> Column:
@@ -137,12 +138,19 @@ def _lines(docs: DataFrame, settings: LineSettings) -> DataFrame:
     )
 
 
-def line_classes(docs: DataFrame, settings: LineSettings | None = None) -> DataFrame:
-    """``node, component`` of every different line that lies within ``edits`` edits of another, over chains of such lines."""
+def _different(docs: DataFrame, settings: LineSettings) -> DataFrame:
+    """``node, line, length, first``: one row per different line that takes part, with its first place, stored."""
+    lines = _lines(docs, settings)
+    folded = lines.groupBy("node").agg(F.min(F.struct("doc_id", "at")).alias("first"), F.any_value("line").alias("line"))
+    return stage(folded.withColumn("length", F.length("line")), "lines")
+
+
+def line_classes(lines: DataFrame, settings: LineSettings | None = None) -> DataFrame:
+    """``node, component`` of those different lines (``node, line, length``, stored) that lie within ``edits`` edits of another,
+    over chains of such lines."""
     settings = settings or LineSettings()
-    lines = _lines(docs, settings).filter(F.col("length") >= settings.least)
-    keyed = lines.select("node", F.inline(segment_keys(F.col("line"), F.col("length"), settings.edits)))
-    keyed = stage(keyed.filter("bucket is not null"), "keyed")
+    lines = lines.filter(F.col("length") >= settings.least)
+    keyed = stage(segment_keys(lines, settings.edits), "keyed")
     met = keyed.groupBy("bucket").agg(
         F.min("node").alias("lo"), F.max("node").alias("hi"), F.max("is_index").alias("indexed")
     )
@@ -151,7 +159,7 @@ def line_classes(docs: DataFrame, settings: LineSettings | None = None) -> DataF
     buckets = stage(buckets, "buckets")
     nodes = buckets.select("node").distinct()
     texts = semi_filter(lines.select("node", "line"), "node", nodes, "node").join(nodes, "node")
-    texts = stage(texts.dropDuplicates(["node"]).withColumn("facts", _letters(F.col("line"))), "texts")
+    texts = stage(texts.withColumn("facts", _letters(F.col("line"))), "texts")
     possible = _may_be_near(settings.edits)
 
     def verify(pairs: DataFrame) -> DataFrame:
@@ -196,10 +204,8 @@ def dedup_lines(docs: DataFrame, settings: LineSettings | None = None) -> DataFr
     """
     settings = settings or LineSettings()
     docs = docs.drop("n_lines", "n_removed")
-    lines = _lines(docs, settings)
-    firsts = lines.groupBy("node").agg(F.min(F.struct("doc_id", "at")).alias("first"))
-    classes = line_classes(docs, settings)
-    named = firsts.join(classes, "node", "left")
+    lines = _different(docs, settings)
+    named = lines.select("node", "first").join(line_classes(lines, settings), "node", "left")
     alone = named.filter("component is null").select("first")
     heads = named.filter("component is not null").groupBy("component").agg(F.min("first").alias("first")).select("first")
     kept = alone.unionByName(heads).select("first.doc_id", "first.at").groupBy("doc_id").agg(
