@@ -10,6 +10,7 @@ from tickerloom.operators import labels as L
 from tickerloom.operators import selection as S
 from tickerloom.operators.ranking import describe, describe_approx, leaderboard, top_safest
 from tickerloom.operators.returns import scored_series
+from tickerloom.ordering import running_totals
 
 
 def prices_of(n, seed=0):
@@ -187,3 +188,15 @@ def test_describe_is_exact(spark):
     assert got["y"].n == 0 and got["y"].q50 is None and (got["z"].n, got["z"].q25) == (30_000, 7.0)
     near = describe_approx(table, ["x"]).first()
     assert abs(near.q50 - got["x"].q50) < 0.02
+
+
+def test_running_totals_of_one_range_sort(spark):
+    rows = [(k, (7 * k) % 50, float(k % 3), None if k % 11 == 0 else k) for k in range(200)] + [(200, None, 1.0, 5)]
+    df = spark.createDataFrame(rows, "id long, at long, x double, y long")
+    got = running_totals(df, ["at", "id"], {"sum_x": "x", "sum_y": "y"}).collect()
+    x, y, want = 0.0, 0, {}
+    for row in sorted(rows, key=lambda r: (r[1] is None, r[1], r[0])):
+        x, y = x + row[2], y + (row[3] or 0)
+        want[row[0]] = (x, y)
+    assert {r.id: (r.sum_x, r.sum_y) for r in got} == want
+    assert running_totals(df.limit(0), ["at"], {"sum_x": "x"}).count() == 0

@@ -28,15 +28,25 @@ def range_offsets(ranged: DataFrame, value: str) -> DataFrame:
     return totals.select(PART, "total", F.coalesce(F.sum("total").over(before), F.lit(0)).alias(BEFORE))
 
 
-def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
-    """``df`` with ``name``: the sum of ``value`` over this and all earlier rows in ``order`` (nulls last)."""
+def running_totals(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """``df`` with a column per entry ``name: value`` of ``sums``: the sum of ``value`` over this and all earlier rows in ``order``
+    (nulls last, null values count as 0). One range sort serves all of them."""
     ranged = range_sorted(df, order)
     within = Window.partitionBy(PART).orderBy(*[F.col(c).asc_nulls_last() for c in order])
-    total = F.sum(value).over(within.rowsBetween(Window.unboundedPreceding, 0))
-    offsets = F.broadcast(range_offsets(ranged, value).select(PART, BEFORE))  # one row per range
-    return ranged.withColumn(name, total).join(offsets, PART).withColumn(name, F.col(name) + F.col(BEFORE)).drop(
-        PART, BEFORE
-    )
+    within = within.rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)  # over one row per range
+    before = {name: f"{BEFORE}{k}" for k, name in enumerate(sums)}
+    totals = ranged.groupBy(PART).agg(*[F.coalesce(F.sum(v), F.lit(0)).alias(before[n]) for n, v in sums.items()])
+    offsets = totals.select(PART, *[F.coalesce(F.sum(c).over(earlier), F.lit(0)).alias(c) for c in before.values()])
+    summed = ranged.withColumns(
+        {n: F.coalesce(F.sum(v).over(within), F.lit(0)) for n, v in sums.items()}
+    ).join(F.broadcast(offsets), PART)
+    return summed.withColumns({n: F.col(n) + F.col(before[n]) for n in sums}).drop(PART, *before.values())
+
+
+def running_total(df: DataFrame, order: list[str], value: str, name: str) -> DataFrame:
+    """``df`` with ``name``: the sum of ``value`` over this and all earlier rows in ``order`` (nulls last)."""
+    return running_totals(df, order, {name: value})
 
 
 def cut_at(df: DataFrame, order: list[str], value: str, budget: Column | int) -> DataFrame:
