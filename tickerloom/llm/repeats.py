@@ -174,8 +174,7 @@ def _several(docs: DataFrame, bits: int, settings: RepeatSettings) -> str:
             keep = np.concatenate(([True], (piece[1:] != piece[:-1]) | (who[1:] != who[:-1])))
             piece, who = piece[keep], who[keep]
             ids, index = np.unique(who, return_inverse=True)
-            index = index.astype(np.uint32 if len(ids) > 65535 else np.uint16)
-            yield from _dealt(piece >> np.uint64(48 - bits), piece, index, ids, bits)
+            yield from _dealt(piece >> np.uint64(48 - bits), piece, index, ids)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, bucket = [], None
@@ -203,16 +202,27 @@ def _several(docs: DataFrame, bits: int, settings: RepeatSettings) -> str:
     return path
 
 
-def _dealt(bucket: np.ndarray, piece: np.ndarray, index: np.ndarray, ids: np.ndarray, bits: int) -> Iterator[pa.RecordBatch]:
-    """Sorted 48-bit pieces with their documents, packed, one row per bucket."""
-    cuts = np.searchsorted(bucket, np.arange((1 << bits) + 1).astype(np.uint64))
-    rows = [(b, slice(x, y)) for b, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())) if y > x]
+def _runs(bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of a sorted array and where each begins, with the array's end put last."""
+    new = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+    return bucket[new], np.append(new, len(bucket))
+
+
+def _dealt(bucket: np.ndarray, piece: np.ndarray, index: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Sorted 48-bit pieces with their documents, packed, one row per bucket that occurs, with the ids of its documents alone:
+    16 bytes a piece at most, however many buckets there are."""
+    names, cuts = _runs(bucket)
+    rank = np.repeat(np.arange(len(names)), np.diff(cuts))
+    held, local = np.unique(rank * len(ids) + index, return_inverse=True)
+    firsts = np.searchsorted(held, np.arange(len(names) + 1) * len(ids))
+    local, docs = local - firsts[rank], ids[held % len(ids)]
     high, low = (piece >> np.uint64(16)).astype(np.uint32), (piece & np.uint64(0xFFFF)).astype(np.uint16)
-    yield pa.RecordBatch.from_arrays(
-        [pa.array([b for b, _ in rows], pa.int32()), *(pa.array([a[s].tobytes() for _, s in rows], pa.binary()) for a in (high, low, index)),
-         pa.array([ids.tobytes()] * len(rows), pa.binary())],
-        ["bucket", "high", "low", "who", "ids"],
-    )
+    rows = []
+    for name, x, y, p, q in zip(names.tolist(), cuts[:-1].tolist(), cuts[1:].tolist(), firsts[:-1].tolist(), firsts[1:].tolist()):
+        who = local[x:y].astype(np.uint16 if q - p <= 65535 else np.uint32)
+        rows.append((name, high[x:y].tobytes(), low[x:y].tobytes(), who.tobytes(), docs[p:q].tobytes()))
+    columns = [pa.array(c, pa.int32() if k == 0 else pa.binary()) for k, c in enumerate(zip(*rows))]
+    yield pa.RecordBatch.from_arrays(columns, ["bucket", "high", "low", "who", "ids"])
 
 
 def _taken(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, np.ndarray]:
@@ -259,20 +269,19 @@ def _candidates(docs: DataFrame, path: str, bits: int, settings: RepeatSettings)
                 continue
             by = np.argsort(piece, kind="stable")
             piece, text, start, end = piece[by], text[by], start[by], end[by]
-            cuts = np.searchsorted(piece >> np.uint64(64 - bits), np.arange((1 << bits) + 1).astype(np.uint64))
+            buckets, cuts = _runs(piece >> np.uint64(64 - bits))
             order, names = block.column("order").to_numpy(), block.column("hash").to_numpy()
             rows = []
-            for bucket, (x, y) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                if y > x:
-                    size = end[x:y] - start[x:y]
-                    where = np.repeat(start[x:y] - (np.cumsum(size) - size), size) + np.arange(size.sum())
-                    docs_here, who = np.unique(text[x:y], return_inverse=True)
-                    packed = [
-                        data[where].tobytes(), size.astype(np.uint8).tobytes(), piece[x:y].tobytes(),
-                        (start[x:y] - offsets[text[x:y]]).astype(np.int64).tobytes(), who.astype(np.uint32).tobytes(),
-                        order[docs_here].tobytes(), names[docs_here].tobytes(),
-                    ]
-                    rows.append((bucket, *(press.compress(p) for p in packed)))
+            for bucket, x, y in zip(buckets.tolist(), cuts[:-1].tolist(), cuts[1:].tolist()):
+                size = end[x:y] - start[x:y]
+                where = np.repeat(start[x:y] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+                docs_here, who = np.unique(text[x:y], return_inverse=True)
+                packed = [
+                    data[where].tobytes(), size.astype(np.uint8).tobytes(), piece[x:y].tobytes(),
+                    (start[x:y] - offsets[text[x:y]]).astype(np.int64).tobytes(), who.astype(np.uint32).tobytes(),
+                    order[docs_here].tobytes(), names[docs_here].tobytes(),
+                ]
+                rows.append((bucket, *(press.compress(p) for p in packed)))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(c, pa.int32() if i == 0 else pa.binary()) for i, c in enumerate(zip(*rows))],
                 ["bucket", "bytes", "size", "piece", "start", "who", "order", "hash"],
