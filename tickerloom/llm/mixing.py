@@ -10,18 +10,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickerloom.ordering import cut_at, running_total
+from tickerloom.ordering import cut_at, running_total, running_totals
 from tickerloom.workspace import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
 ORDER = ["finish", "rank", "pass", "key", "doc_id", "size"]
 
 
-def sized(docs: DataFrame, seed: int) -> DataFrame:
-    """``doc_id, source, size`` (words; null text 0) and the shuffle key."""
+def sized(docs: DataFrame, seed: int, carry: list[str]) -> DataFrame:
+    """``doc_id, source, size`` (words; null text 0), the shuffle key and the columns to carry."""
     words = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     key = F.md5(F.concat_ws(":", F.lit(str(seed)), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    return docs.select("doc_id", "source", words.alias("size"), key.alias("key"))
+    return docs.select("doc_id", "source", words.alias("size"), key.alias("key"), *carry)
 
 
 def source_targets(sizes: DataFrame, weights: list[int], passes: int) -> DataFrame:
@@ -33,17 +33,14 @@ def source_targets(sizes: DataFrame, weights: list[int], passes: int) -> DataFra
     not above its share of what the earlier ones leave, it is full. All of that is running totals, so many sources are fine.
     """
     per = sizes.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("one", F.lit(1).cast("long"))
-    ranked = running_total(per, ["source"], "one", "rank")
+    ranked = running_totals(per, ["source"], {"rank": "one", "before": "source_size"})
     cycle = F.array(*[F.lit(w) for w in weights])
     ranked = ranked.withColumn("weight", F.get(cycle, ((F.col("rank") - 1) % len(weights)).cast("int")).cast("long"))
-    ranked = running_total(ranked, ["rank"], "source_size", "before").withColumn(
-        "before", F.col("before") - F.col("source_size")
-    )
+    ranked = ranked.withColumn("before", F.col("before") - F.col("source_size"))
     exact = ranked.withColumn("cap", (F.col("source_size") * passes).cast("decimal(38,0)")).withColumn(
         "ratio", F.col("cap").cast("double") / F.col("weight")
     )
-    summed = running_total(exact, ["ratio", "rank"], "cap", "cap_sum")
-    summed = stage(running_total(summed, ["ratio", "rank"], "weight", "weight_sum"), "filling")
+    summed = stage(running_totals(exact, ["ratio", "rank"], {"cap_sum": "cap", "weight_sum": "weight"}), "filling")
     whole = summed.agg(F.sum("source_size").alias("all_words"), F.sum("weight").alias("all_weight"))
     filled = summed.crossJoin(F.broadcast(whole)).withColumn(
         "full",
@@ -61,9 +58,11 @@ def source_targets(sizes: DataFrame, weights: list[int], passes: int) -> DataFra
     )
 
 
-def mix_sources(docs: DataFrame, weights: list[int] | None = None, passes: int = 3, seed: int = 7) -> DataFrame:
+def mix_sources(
+    docs: DataFrame, weights: list[int] | None = None, passes: int = 3, seed: int = 7, carry: tuple[str, ...] = ()
+) -> DataFrame:
     """One row per row of ``docs`` (``doc_id, text, source``; other columns ignored): ``doc_id, source, size, source_size,
-    target, taken, copies``.
+    target, taken, copies``, and the columns named by ``carry``, which tell rows with one id apart.
 
     The budget is the words of all documents. ``taken`` is ``size`` times ``copies``, the passes in which the document lies
     before the cut; no document is taken more than ``passes`` times. Null text has size 0, null sources form the last source,
@@ -71,10 +70,10 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, passes: int =
     agree: the shuffle is a digest of seed and id. A hot source is no single group: its running words are a running
     total over ranges of the whole table.
     """
-    weights = weights or [5, 2, 1]
-    sizes = stage(sized(docs, seed), "sizes")
+    weights, carry = weights or [5, 2, 1], list(carry)
+    sizes = stage(sized(docs, seed, carry), "sizes")
     sources = stage(source_targets(sizes, weights, passes), "sources")
-    queued = running_total(_with_source(sizes, sources), ["rank", "key", "doc_id", "size"], "size", "sent")
+    queued = running_total(_with_source(sizes, sources), ["rank", "key", "doc_id", "size", *carry], "size", "sent")
     queued = stage(queued.withColumn("sent", F.col("sent") - F.col("before")).drop("before"), "queue")
 
     def finish(number):
@@ -90,7 +89,8 @@ def mix_sources(docs: DataFrame, weights: list[int] | None = None, passes: int =
         count = count + F.when(F.col("cut").isNotNull() & (key <= F.col("cut")), 1).otherwise(0)
     mixed = queued.join(cut, F.lit(True), "left")
     return mixed.select(
-        "doc_id", "source", "size", "source_size", "target", (F.col("size") * count).alias("taken"), count.alias("copies")
+        "doc_id", "source", "size", "source_size", "target", (F.col("size") * count).alias("taken"), count.alias("copies"),
+        *carry,
     )
 
 
