@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.byte_pairs import PATTERN, encode_ordinary
 from tickerloom.llm.words import Cache
-from tickerloom.ordering import running_total
+from tickerloom.ordering import running_totals
 from tickerloom.workspace import stage
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -62,8 +62,8 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     counts = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("n_docs"))
     counts = stage(counts.withColumn("tokens", F.col("n_tokens") * F.col("n_docs")), "lengths")
     whole = counts.agg(F.sum("n_docs").alias("all_docs"), F.sum("tokens").alias("all_tokens"))
-    summed = running_total(counts, ["n_tokens"], "n_docs", "docs_within")
-    summed = running_total(summed, ["n_tokens"], "tokens", "tokens_within").crossJoin(F.broadcast(whole))
+    summed = running_totals(counts, ["n_tokens"], {"docs_within": "n_docs", "tokens_within": "tokens"})
+    summed = summed.crossJoin(F.broadcast(whole))
     beyond = summed.withColumn("docs_beyond", F.col("all_docs") - F.col("docs_within"))
     return beyond.select(
         "n_tokens", "n_docs", "docs_within", "tokens_within", "docs_beyond",
