@@ -22,11 +22,20 @@ NEAR = NearSettings(words=5, percent=80, bands=40, rows=4)
 TOXIC = 0.5
 
 
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores put after it until no column has it."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity is below one half; the lexicon is learned from labelled documents of the table itself."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = score_toxicity(docs, learn_lexicon(training_rows(docs, labels)), "__score")
-    return scored.filter(F.col("__score") < TOXIC).select(*docs.columns)
+    score = free_name(docs, "__score")
+    scored = score_toxicity(docs, learn_lexicon(training_rows(docs, labels)), score)
+    return scored.filter(F.col(score) < TOXIC).select(*docs.columns)
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,14 +57,20 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: each document as often as it is taken, numbered by ``pass``; documents left out have no row.
+    """The mix: each document as often as it is taken, numbered by ``pass`` (a column of that name is replaced); documents left
+    out have no row.
 
-    Rows that share an id are taken as often as the most taken of them.
+    Rows are told apart by two 64-bit hashes of all their columns, so rows that share an id, or have none, are taken each as
+    the mix says. Equal rows stand for one another and are numbered together.
     """
-    taken = mix_sources(docs).filter("copies > 0").groupBy("doc_id").agg(F.max("copies").alias("__copies"))
-    taken = taken.withColumnRenamed("doc_id", "__doc")
-    mixed = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("__doc")))
-    return mixed.select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("__copies"))).alias("pass"))
+    columns = [c for c in docs.columns if c != "pass"]
+    first, second = free_name(docs, "__first"), free_name(docs, "__second")
+    row = [*columns, *[F.col(c).isNull() for c in columns]]  # a hash alone passes over nulls
+    named = docs.select(*columns, F.xxhash64(*row).alias(first), F.xxhash64(F.lit(1), *row[::-1]).alias(second))
+    copies = free_name(named, "__copies")
+    taken = mix_sources(named, carry=(first, second)).groupBy(first, second).agg(F.sum("copies").alias(copies))
+    mixed = named.dropDuplicates([first, second]).join(taken.filter(F.col(copies) > 0), [first, second])
+    return mixed.select(*columns, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int"))).alias("pass"))
 
 
 STAGES = [

@@ -392,3 +392,34 @@ def test_mixing_follows_weights_caps_and_budget(spark):
     assert mixing.mix_sources(docs_of(spark, []).limit(0)).count() == 0
 
 
+def test_pieces_travel_in_bounded_space_however_many_buckets_there_are():
+    rng = np.random.default_rng(5)
+    ids = np.sort(rng.choice(10**12, 3000, replace=False))
+    piece = np.sort(rng.integers(0, 2**48, 60_000).astype(np.uint64))
+    index = rng.integers(0, len(ids), len(piece))
+    for bits in (0, 6, 14, 20):
+        (batch,) = repeats._dealt(piece >> np.uint64(48 - bits), piece, index, ids)
+        taken = [repeats._taken(batch, row) for row in range(batch.num_rows)]
+        assert np.array_equal(np.concatenate([p for p, _ in taken]), piece)
+        assert np.array_equal(np.concatenate([w for _, w in taken]), ids[index])
+        sent = sum(batch.column(c).nbytes - 4 * (batch.num_rows + 1) for c in ("high", "low", "who", "ids"))
+        assert sent <= 16 * len(piece) and batch.num_rows <= 1 << bits
+
+
+def test_the_mix_takes_rows_of_one_id_each_for_itself(spark):
+    rows = [(7, "a b c d e f", "s"), (7, "g h", "t"), (None, "i j k", "t"), (None, "l", "s"), (8, "m n", None), (8, "m n", None)]
+    rows += [(9, "o p q r", "u"), (10, "", "u"), (11, None, "s"), (None, "x", None)]
+    docs = spark.createDataFrame(
+        [(i, t, None, s, len(t or ""), 3, 4) for i, t, s in rows], DOCS + ", pass int, __first long"
+    )
+    got = corpus_pipeline.mix(spark, docs, "").collect()
+    assert sorted(got[0].asDict()) == ["__first", "doc_id", "lang", "n_chars", "pass", "source", "text"]
+    want = {}
+    for r in mixing.mix_sources(docs.withColumn("text_", F.col("text")), carry=("text_",)).collect():
+        key = (r.doc_id, r.text_, r.source)
+        want[key] = want.get(key, 0) + r.copies
+    counted = {}
+    for r in got:
+        counted.setdefault((r.doc_id, r.text, r.source), []).append(r["pass"])
+    assert {k: sorted(v) for k, v in counted.items()} == {k: list(range(1, n + 1)) for k, n in want.items() if n}
+    assert corpus_pipeline.mix(spark, docs.limit(0), "").count() == 0
