@@ -56,6 +56,24 @@ def test_agrees_with_the_dense_routine(spark):
     np.testing.assert_allclose(np.array(square.collect(), dtype=float), dense, atol=1e-10)
 
 
+def test_blocks_that_cannot_reach_the_threshold_do_not_meet(spark):
+    rng = np.random.default_rng(11)
+    bases = rng.normal(size=(31, 6))
+    x = np.column_stack([bases[:, [k % 6]] * (1 if k % 7 else -1) + 0.2 * rng.normal(size=(31, 1)) for k in range(150)])
+    x[:, 17] = 0.5
+    names = [f"S{k:03d}" for k in range(150)]
+    vectors = C.stage(C.return_vectors(returns_table(spark, x, names, {(3, 1), (9, 40)})), "vectors")
+    every = {(r.symbol_a, r.symbol_b): r.corr for r in C.pair_correlations(vectors, block_symbols=10).collect()}
+    for least in (0.7, -0.2):
+        got = {(r.symbol_a, r.symbol_b): r.corr for r in C.pair_correlations(vectors, least, block_symbols=10).collect()}
+        want = {k: v for k, v in every.items() if v is not None and v >= least}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-12) for k in want)
+    met = C.blocks_in_reach(vectors, 0.7, 10)
+    blocks, pairs = met.select("block").distinct().count(), met.select("bi", "bj").distinct().count()
+    assert blocks > 12 and pairs < blocks * (blocks + 1) / 2 / 3
+    assert C.pair_correlations(vectors.filter("symbol = 'S017'").unionByName(vectors.filter("symbol = 'S017'")), 0.7, 1).count() == 0
+
+
 def brute_components(edges):
     parent = {}
 

@@ -21,6 +21,9 @@ from tickerloom.operators.selection import trailing_days
 from tickerloom.workspace import stage
 
 BLOCK_SYMBOLS = 512
+PIVOTS = 64
+PIVOT_SAMPLE = 1024
+SHELL = 0.2  # radians
 
 # The block product's functions travel with the task, so executors need not have this package installed.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -93,15 +96,84 @@ def _multiply(min_corr: float | None):
     return run
 
 
+def _pivots(vectors: DataFrame) -> np.ndarray:
+    """Directions far from each other among a bounded sample of the vectors, one row each."""
+    sample = vectors.orderBy(F.xxhash64("symbol"), "symbol").limit(PIVOT_SAMPLE).select("vec").toPandas()
+    if sample.empty:
+        return np.zeros((0, 0))
+    unit, varies = _unit_rows(_matrix(sample["vec"])[0])
+    unit = unit[varies]
+    chosen, nearest = [0] if len(unit) else [], np.full(len(unit), -2.0)
+    while 0 < len(chosen) < min(PIVOTS, len(unit)):
+        nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+        chosen.append(int(nearest.argmin()))
+    return unit[chosen]
+
+
+def _cells_in_reach(cells: pd.DataFrame, pivots: np.ndarray, min_corr: float) -> np.ndarray:
+    """Which pairs of cells can hold two vectors of that correlation. Vectors of a cell lie between two angles from its pivot,
+    and angles between directions obey the triangle inequality."""
+    between = np.arccos(np.clip(pivots @ pivots.T, -1.0, 1.0))
+    apart = between[np.ix_(cells["pivot"], cells["pivot"])]
+    low, high = cells["low"].to_numpy(), cells["high"].to_numpy()
+    least = np.maximum(apart - high[:, None] - high[None, :], low[:, None] - apart - high[None, :])
+    least = np.maximum(least, low[None, :] - apart - high[:, None])
+    return least <= math.acos(min(max(min_corr, -1.0), 1.0)) + 1e-6
+
+
+def blocks_in_reach(vectors: DataFrame, min_corr: float, block_symbols: int = BLOCK_SYMBOLS) -> DataFrame:
+    """``symbol, vec, block, bi, bj``: each vector that varies, once per pair of blocks whose members can have a correlation of
+    ``min_corr``.
+
+    A block is a part of a cell: the vectors nearest to one of ``PIVOTS`` directions, in shells by their angle to it. The
+    driver sees the bounds of the cells, whose number does not depend on that of the symbols.
+    """
+    pivots = _pivots(vectors)
+
+    def place(frames):
+        for rows in frames:
+            if len(rows) and len(pivots):
+                unit, varies = _unit_rows(_matrix(rows["vec"])[0])
+                dots = unit @ pivots.T
+                angle = np.arccos(np.clip(dots.max(axis=1), -1.0, 1.0))
+                found = rows.assign(pivot=dots.argmax(axis=1), shell=(angle / SHELL).astype(int), angle=angle)
+                yield found[varies]
+
+    kind = vectors.schema["symbol"].dataType.simpleString()
+    columns = f"symbol {kind}, vec array<double>, pivot int, shell int, angle double"
+    placed = stage(vectors.select("symbol", "vec").mapInPandas(place, columns), "placed")
+    bounds = placed.groupBy("pivot", "shell").agg(F.count(F.lit(1)).alias("n"), F.min("angle").alias("low"), F.max("angle").alias("high"))
+    cells = bounds.toPandas().sort_values(["pivot", "shell"], ignore_index=True)
+    parts = -(-cells["n"].to_numpy() // block_symbols)
+    first = np.cumsum(parts) - parts
+    ranges = []
+    for k, reach in enumerate(_cells_in_reach(cells, pivots, min_corr) if len(cells) else []):
+        edges = np.flatnonzero(np.diff(np.concatenate(([0], reach.astype(int), [0]))))  # cells side by side are one range
+        met = [(int(first[x]), int(first[y - 1] + parts[y - 1] - 1)) for x, y in zip(edges[::2], edges[1::2])]
+        ranges.append((int(cells["pivot"][k]), int(cells["shell"][k]), int(first[k]), int(parts[k]), met))
+    table = placed.sparkSession.createDataFrame(
+        ranges, "pivot int, shell int, first int, parts int, met array<struct<low:int,high:int>>"
+    )
+    tagged = placed.join(F.broadcast(table), ["pivot", "shell"])  # a row per cell
+    block = (F.col("first") + F.pmod(F.xxhash64("symbol"), F.col("parts"))).cast("int")
+    partners = F.flatten(F.transform("met", lambda r: F.sequence(r["low"], r["high"])))
+    met = tagged.select("symbol", "vec", block.alias("block"), F.explode(partners).alias("_other"))
+    return met.select("symbol", "vec", "block", F.least("block", "_other").alias("bi"), F.greatest("block", "_other").alias("bj"))
+
+
 def pair_correlations(
     vectors: DataFrame, min_corr: float | None = None, block_symbols: int = BLOCK_SYMBOLS
 ) -> DataFrame:
     """Pearson correlation of every unordered pair ``symbol_a <= symbol_b``; null where a series never varies.
 
-    ``vectors`` should be a stored table. With ``min_corr`` the comparison happens inside the block product, so weaker pairs are never materialised.
-    A task holds two blocks, about ``2 * block_symbols`` short vectors, whatever the number of symbols is.
+    ``vectors`` should be a stored table. With ``min_corr`` pairs of blocks that cannot reach it do not meet, and the comparison
+    happens inside the block product, so weaker pairs are never materialised. A task holds two blocks, about
+    ``2 * block_symbols`` short vectors, whatever the number of symbols is.
     """
     blocks = max(1, math.ceil(vectors.count() / block_symbols))
+    if min_corr is not None and blocks > 1:
+        met = blocks_in_reach(vectors, min_corr, block_symbols)
+        return met.groupBy("bi", "bj").applyInPandas(_multiply(min_corr), PAIRS)
     tagged = vectors.withColumn("block", F.pmod(F.xxhash64("symbol"), F.lit(blocks)).cast("int"))
     partner = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     met = tagged.withColumn("_other", partner).withColumns(
