@@ -19,6 +19,7 @@ from tickerloom.sources import star
 from tickerloom.workspace import fresh_path, settle, stage
 
 _STORED: dict[tuple[str, str, str], str] = {}
+_REGISTRIES: dict[str, str] = {}
 
 
 def stored(spark: SparkSession, folder: str, name: str, build: Callable[[], DataFrame]) -> DataFrame:
@@ -85,5 +86,15 @@ def signals(spark: SparkSession, folder: str) -> DataFrame:
     return stage(generate_signals(stage(labelled(spark, folder), "panel"), ClassifierSettings()), "signals")
 
 
+def generated(spark: SparkSession, folder: str) -> DataFrame:
+    """Signals of the fitted models, generated once per application and viewed from there."""
+    return stored(spark, folder, "generated", lambda: signals(spark, folder))
+
+
+def registry(spark: SparkSession) -> str:
+    """Folder of the application's fitted models. A model is found again by its rows and settings alone."""
+    return _REGISTRIES.setdefault(spark.sparkContext.applicationId, fresh_path(spark, "registry"))
+
+
 def forecast(spark: SparkSession, folder: str) -> DataFrame:
     return stage(forecast_trend(stage(features(spark, folder), "features"), QuantileSettings()), "forecast")

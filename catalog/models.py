@@ -22,6 +22,7 @@ from tickerloom.learning.store import reusing
 from tickerloom.learning.walkforward import walk_forward_eval
 from tickerloom.operators import labels as L
 from tickerloom.operators import signals as G
+from tickerloom.operators.selection import MIN_FEATURE_ROWS, MIN_LABELS
 from tickerloom.workspace import fresh_path, stage
 
 SETTINGS = ClassifierSettings()
@@ -32,6 +33,11 @@ def split_panel(spark, folder):
     return stage(L.chrono_split(frames.labelled(spark, folder)), "panel")
 
 
+def registered_models(split):
+    """Models of every block of a split panel. Queries that start from the same panel share one fit."""
+    return block_models(split, SETTINGS, reusing(fit_sets, frames.registry(split.sparkSession), "panel"))
+
+
 def block_signals(test, models):
     """Signals dated on the day they are about, each by its block's models."""
     return with_block_probabilities(test, models, SETTINGS).withColumn("date", F.col("next_date"))
@@ -47,7 +53,7 @@ def fit_classifier(spark, folder):
     """Training rows of each block by label, how many of them its model scores, and whether it finds more of the label again
     than a draw among three classes."""
     split = split_panel(spark, folder)
-    models = block_models(split, SETTINGS)
+    models = registered_models(split)
     known = [F.when(older_than(start), F.struct(F.lit(k).alias("set"), F.lit(start).alias("block"))) for k, start in enumerate(models.starts)]
     own = F.explode(F.filter(F.array(*known), lambda b: b.isNotNull())) if known else F.lit(None).cast("struct<set:int,block:date>")
     rows = split.withColumn("_own", own).filter("_own is not null")
@@ -64,7 +70,7 @@ SELECT symbol, next_date AS date, 1.0::DOUBLE AS total, true AS largest_is_signa
 def predict(spark, folder):
     """Which days get a signal, what its probabilities add up to and whether the signal is the likeliest class."""
     split = split_panel(spark, folder)
-    signals = block_signals(split.filter("part = 'test'"), block_models(split, SETTINGS))
+    signals = block_signals(split.filter("part = 'test'"), registered_models(split))
     of_signal = F.element_at(
         F.create_map(F.lit("UP"), "prob_up", F.lit("DOWN"), "prob_down", F.lit("NEUTRAL"), "prob_neutral"), F.col("signal")
     )
@@ -97,7 +103,30 @@ def model_store(spark, folder):
 
 @query("generate_signals")
 def signals(spark, folder):
-    return frames.signals(spark, folder)
+    return frames.generated(spark, folder)
+
+
+@query("signal_views", using("labelled", body=f"""
+, usable AS (
+  SELECT symbol, next_date, k, n FROM labelled
+  WHERE symbol IN (SELECT symbol FROM labelled GROUP BY symbol HAVING count(*) >= {MIN_FEATURE_ROWS} AND count(DISTINCT label) >= {MIN_LABELS})
+), shown AS (SELECT * FROM usable WHERE k >= floor(n * 0.8))
+SELECT symbol, max(next_date) AS date, count(*) AS n_history, max(next_date) = (SELECT max(next_date) FROM shown) AS is_latest,
+       (SELECT count(*) FROM shown WHERE next_date = (SELECT max(next_date) FROM shown)) AS n_counted, true AS is_action, true AS is_likeliest
+FROM shown GROUP BY symbol"""))
+def signal_views(spark, folder):
+    """The views over generated signals, a row per symbol: its newest signal in the roster, the length of its history, whether it is
+    among the latest signals, how many of those are counted, and whether action and confidence are those of a likeliest class."""
+    rows = frames.generated(spark, folder)
+    latest = G.latest_signals(rows).select("symbol", F.lit(True).alias("_shown"))
+    counts = G.signal_counts(rows).select((F.col("n_up") + F.col("n_down") + F.col("n_neutral")).alias("n_counted"))
+    history = rows.groupBy("symbol").agg(F.count("signal").alias("n_history"))
+    roster = G.signal_roster(rows).join(history, "symbol").join(latest, "symbol", "left").crossJoin(F.broadcast(counts))
+    return roster.select(
+        "symbol", "date", "n_history", F.coalesce("_shown", F.lit(False)).alias("is_latest"), "n_counted",
+        F.col("signal").isin("BUY", "SELL", "HOLD").alias("is_action"),
+        F.col("confidence").between(1 / 3 - 1e-9, 1.0).alias("is_likeliest"),
+    )
 
 
 def simple_signals(spark, folder):

@@ -1,10 +1,12 @@
 import datetime as dt
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_series import prices_of
 
+import catalog
 from catalog import frames as N
 from catalog import models as M
 from tickerloom.learning import boosting as B
@@ -121,6 +123,22 @@ def test_queries_fit_every_block_on_its_own_older_rows(spark, panel, monkeypatch
     assert M.model_store(spark, "").first().n == 0
 
 
+def test_signal_views_over_generated_signals_equal_their_sql(spark, monkeypatch):
+    monkeypatch.setattr(N, "ClassifierSettings", lambda: ClassifierSettings(rounds=1))
+    folder = "/root/testdata/sf0.001"
+    con = duckdb.connect()
+    for table in ("lineitem", "part"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{folder}/{table}.parquet'")
+    found = {q: catalog.load().queries[q] for q in ("signal_views", "generate_signals")}
+    got = found["signal_views"](spark, folder).toPandas().sort_values("symbol", ignore_index=True)
+    want = con.execute(catalog.load().sql["signal_views"]).df().sort_values("symbol", ignore_index=True)
+    assert len(got) > 1 and (got["n_history"] > 1).all() and list(got["symbol"]) == list(want["symbol"])
+    for column in want.columns:
+        assert [str(x)[:10] for x in got[column]] == [str(x)[:10] for x in want[column]], column
+    assert found["generate_signals"](spark, folder).count() == want["n_history"].sum()
+    N._STORED.pop((spark.sparkContext.applicationId, folder, "generated"))
+
+
 def test_queries_run_at_the_default_size(spark, panel, monkeypatch):
     used = []
 
