@@ -423,3 +423,15 @@ def test_the_mix_takes_rows_of_one_id_each_for_itself(spark):
         counted.setdefault((r.doc_id, r.text, r.source), []).append(r["pass"])
     assert {k: sorted(v) for k, v in counted.items()} == {k: list(range(1, n + 1)) for k, n in want.items() if n}
     assert corpus_pipeline.mix(spark, docs.limit(0), "").count() == 0
+
+
+@pytest.mark.parametrize("kind", ["smallint", "decimal(20,0)", "string", "int", "date"])
+def test_overlaps_keep_any_type_of_id(spark, kind):
+    text = " ".join(f"word{k}" for k in range(20))
+    cast = (lambda c: F.date_add(F.lit("2020-01-01"), F.col(c).cast("int"))) if kind == "date" else (lambda c: F.col(c).cast(kind))
+    docs = docs_of(spark, [(1, text), (2, "other words")]).withColumn("doc_id", cast("doc_id"))
+    items = spark.createDataFrame([(3, text), (None, text)], "item_id int, text string").withColumn("item_id", cast("item_id"))
+    found = decontamination.find_overlaps(docs, items)
+    assert [found.schema[c].dataType.simpleString() for c in ("doc_id", "item_id")] == [kind, kind]
+    want = [(r.doc_id, r.item_id) for r in docs.limit(1).crossJoin(items).select("doc_id", "item_id").collect()]
+    assert sorted(map(str, [(r.doc_id, r.item_id) for r in found.collect()])) == sorted(map(str, want))

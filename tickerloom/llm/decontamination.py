@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tickerloom.llm.words import PLAIN, blocks, flat_bytes, mix, word_hashes
 
@@ -146,6 +147,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, settings: OverlapSettin
     """
     settings = settings or OverlapSettings()
     kinds = [docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()]
+    item_type = to_arrow_type(benchmark.schema["item_id"].dataType)
     schema = f"doc_id {kinds[0]}, item_id {kinds[1]}, first_word long, end_word long, n_equal long, similarity double"
     found = docs.sparkSession.createDataFrame([], schema)
     for index in seed_indexes(benchmark, settings):
@@ -158,7 +160,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, settings: OverlapSettin
                 rows = index.overlaps(words, at)
                 if rows:
                     text, item, first, end, equal = (np.array(c) for c in zip(*rows))
-                    ids = pa.array([index.ids[i] for i in item], _arrow(kinds[1]))
+                    ids = pa.array([index.ids[i] for i in item], item_type)
                     yield pa.RecordBatch.from_arrays(
                         [block.column("doc_id").take(pa.array(text)), ids, pa.array(first), pa.array(end), pa.array(equal),
                          pa.array(equal / (end - first)), pa.array([index.times[i] for i in item], pa.int64())],
@@ -170,10 +172,6 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, settings: OverlapSettin
     return found
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def drop_overlapping(docs: DataFrame, benchmark: DataFrame, settings: OverlapSettings | None = None) -> DataFrame:
     """The rows of ``docs`` that overlap with no benchmark item, all columns unchanged, without a shuffle."""
     settings = settings or OverlapSettings()
