@@ -1,5 +1,5 @@
 """Numbers and codes as display text. Values are rounded to the shown places before formatting, so that the result
-does not depend on how a formatter treats halves."""
+does not depend on how a formatter treats halves. ``fixed`` rounds the number itself, not its shortest decimal form."""
 
 from __future__ import annotations
 
@@ -14,8 +14,30 @@ SIGNAL_WORDS = {"UP": "BUY", "DOWN": "SELL", "NEUTRAL": "HOLD"}
 HOT_VOTES = 2
 
 
+def nearest(value: Column, places: int) -> Column:
+    """The multiple of ``10 ** -places`` (6 at most) nearest to the double itself, a tie going to the even one.
+
+    ``round`` starts from the shortest decimal form, which may be a tie that the double lies below: 2.275 is
+    2.27499999999999991. Here the fraction is cut into pieces of 26 bits, whose products with the scale are exact.
+    """
+    scale, size = F.lit(10.0**places), F.abs(value)
+    whole = F.floor(size).cast("double")
+    part = size - whole
+    high = F.floor(part * 2.0**26) / F.lit(2.0**26)
+    middle = F.floor((part - high) * 2.0**52) / F.lit(2.0**52)
+    low = part - high - middle
+    steps = F.floor(high * scale).cast("double")
+    beyond = (high * scale - steps) + middle * scale  # exact; from the step below, without the lowest bits
+    more = F.floor(beyond)
+    steps, over = steps + more, (beyond - more - 0.5) + low * scale
+    up = F.when(over > 0, 1.0).when(over < 0, 0.0).otherwise(steps % 2)
+    sized = (whole * scale + steps + up) / scale
+    # numbers too large for exact steps, and those that are none, are left to round
+    return F.when(size * scale < 2.0**53, F.signum(value) * sized).otherwise(F.round(value, places))
+
+
 def fixed(value: Column, places: int) -> Column:
-    return F.format_string(f"%.{places}f", F.round(value, places))
+    return F.format_string(f"%.{places}f", nearest(value, places))
 
 
 def grouped(value: Column, places: int) -> Column:
