@@ -1,8 +1,10 @@
 import datetime as dt
+import pickle
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.sql import functions as F
 from test_series import prices_of
 
@@ -280,6 +282,21 @@ def test_many_tasks_add_up_in_a_tree(spark):
     assert B._added(numbers, lambda part: np.array([sum(part), 1])).tolist() == [19900, 100]
 
 
+def test_the_driver_gets_splits_and_no_histograms(panel, monkeypatch):
+    """What a round sends to the driver is small and the same for any number of tasks."""
+    rows = stage(numpy_rows(panel)[1], "rows")
+    fetched, collect = [], RDD.collect
+    monkeypatch.setattr(RDD, "collect", lambda self: fetched.append(collect(self)) or fetched[-1])
+    sent = {}
+    for loss in (B.Softmax(3), B.Quantiles(C.QUANTILES)):
+        for tasks in (1, 12):
+            chunks = B.packed(rows).rdd.flatMap(B._split_sets(B.feature_cuts(rows, 2, 64), np.zeros((2, 3)))).repartition(tasks)
+            fetched.clear()
+            B.grow_round(chunks, loss, [], 0, B.Growth(rounds=1, step=0.1, depth=3), (2, 3))
+            sent[loss, tasks] = sum(len(pickle.dumps(value)) for value in fetched)
+        assert 0 < sent[loss, 12] < 1.2 * sent[loss, 1] < 10_000
+
+
 def test_walk_forward(panel):
     rows = {r.symbol: r for r in walk_forward_eval(panel, FEW).collect()}
     assert set(rows) == {"A", "B"}

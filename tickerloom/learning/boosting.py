@@ -3,8 +3,8 @@
 A set is a mask over the rows of one table, given as a weight per set: nested sets, such as all rows older than one day or
 another, share every pass. Features are cut into at most 64 bins once per set, from that set's rows only. One level of the
 trees of all sets and all outputs is one job: tasks add the gradients of their rows into histograms of a fixed size (set,
-output, node, feature, bin), the histograms are added in a tree, and the driver picks the splits from them. Nothing on the
-driver grows with the rows.
+output, node, feature, bin), the histograms of each set and output meet in one task, which adds them and picks the splits. The
+driver gets the splits alone: nothing on it grows with the rows or with the tasks.
 
 Tasks read chunks of rows from a stored table and bring their scores up to date with the few trees grown since the scores
 were last checkpointed, so a lost executor costs its own chunks only.
@@ -157,11 +157,11 @@ class Quantiles:
         size = np.abs(place - self.HALF)
         return np.sign(place - self.HALF) * np.where(size > 0, self.LEAST * np.exp((size - 0.5) * self.RATIO), 0.0)
 
-    def leaf_values(self, counts: np.ndarray) -> np.ndarray:
-        """From counts by (set, output, leaf, place); 0 for a leaf without rows."""
+    def leaf_values(self, counts: np.ndarray, outputs: slice = slice(None)) -> np.ndarray:
+        """From counts by (set, output, leaf, place) of some or all outputs; 0 for a leaf without rows."""
         upto = counts.cumsum(axis=-1)
         total = upto[..., -1:]
-        wanted = np.maximum(np.ceil(self.alphas[None, :, :, None] * total), 1)
+        wanted = np.maximum(np.ceil(self.alphas[None, outputs, :, None] * total), 1)
         found = self.middle((upto < wanted).sum(axis=-1))
         return np.where(total[..., 0] > 0, found, 0.0)
 
@@ -301,17 +301,26 @@ def leaf_counts(
     return out
 
 
-def _added(chunks: RDD, add_up: Callable[[Iterator[Chunk]], np.ndarray | None]) -> np.ndarray:
-    """The tasks' arrays added up, in a tree once there are many tasks. All have one size."""
+def _summed(chunks: RDD, add_up: Callable[[Iterator[Chunk]], np.ndarray | None]) -> RDD:
+    """The tasks' arrays added up, by place along their first axis: each place's arrays meet in one task. All have one size."""
 
-    def run(part: Iterator[Chunk]) -> list[np.ndarray]:
+    def run(part: Iterator[Chunk]) -> Iterator[tuple[int, np.ndarray]]:
         found = add_up(part)
-        return [] if found is None else [found]
+        return iter([]) if found is None else enumerate(found)
 
-    arrays, tasks = chunks.mapPartitions(run), chunks.getNumPartitions()
-    if tasks <= 32:
-        return arrays.reduce(np.add)
-    return arrays.treeReduce(np.add, depth=max(2, math.ceil(math.log(tasks, 32))))
+    return chunks.mapPartitions(run).reduceByKey(np.add, min(chunks.getNumPartitions(), chunks.ctx.defaultParallelism))
+
+
+def _added(
+    chunks: RDD, add_up: Callable[[Iterator[Chunk]], np.ndarray | None], pick: Callable[[int, np.ndarray], np.ndarray] | None = None
+) -> np.ndarray:
+    """The tasks' arrays added up, or what ``pick`` takes from the sum of each place along the first axis."""
+    return _picked(_summed(chunks, add_up), pick or (lambda place, total: total))
+
+
+def _picked(sums: RDD, pick: Callable[[int, np.ndarray], object]) -> np.ndarray:
+    found = sums.map(lambda item: (item[0], pick(*item))).collect()
+    return np.stack([value for _, value in sorted(found, key=lambda item: item[0])])
 
 
 def best_splits(sums: np.ndarray, min_leaf: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -341,21 +350,46 @@ def grow_round(chunks: RDD, loss: Loss, recent: list[Trees], number: int, growth
     """One tree per set and output."""
     splits = (1 << growth.depth) - 1
     trees = Trees(np.zeros((*shape, splits), np.int64), np.full((*shape, splits), NO_SPLIT), np.zeros((*shape, splits + 1)))
-    sums = left = np.zeros(0)
+    places, sums, rows = shape[0] * shape[1], None, np.zeros(0)
+
+    def whole(pair: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+        """Histograms of all nodes of a level from those of the left children and of the level above."""
+        found, above = pair
+        return np.stack([found, above - found], axis=1).reshape(-1, *found.shape[1:])
+
+    def pick(place: int, total: np.ndarray) -> np.ndarray:
+        """Feature, cut, sums to the left and sums of each node."""
+        feature, cut, left = best_splits(total[None, None], growth.min_leaf)
+        return np.column_stack([feature[0, 0], cut[0, 0], left[0, 0], total[:, 0].sum(axis=-2)])
+
     for level in range(growth.depth):
 
         def add_up(part: Iterator[Chunk], level: int = level) -> np.ndarray | None:
-            return node_histograms(part, loss, recent, trees, level, number, growth)
-
-        found = _added(chunks, add_up)
-        sums = np.stack([found, sums - found], axis=3).reshape(*shape, 1 << level, *found.shape[3:]) if level else found
+            found = node_histograms(part, loss, recent, trees, level, number, growth)
+            return None if found is None else found.reshape(places, *found.shape[2:])
+
+        above, sums = sums, _summed(chunks, add_up)
+        sums = sums if above is None else sums.join(above, sums.getNumPartitions()).mapValues(whole)
+        sums.persist(StorageLevel.MEMORY_AND_DISK)
+        rows = _picked(sums, pick).reshape(*shape, 1 << level, -1)
+        if above is not None:
+            above.unpersist()
         here = slice((1 << level) - 1, (2 << level) - 1)
-        trees.feature[..., here], trees.cut[..., here], left = best_splits(sums, growth.min_leaf)
+        trees.feature[..., here], trees.cut[..., here] = rows[..., 0], rows[..., 1]
+    sums.unpersist()
     if isinstance(loss, Quantiles):
-        counts = _added(chunks, lambda part: leaf_counts(part, loss, recent, trees, number, growth))
-        trees.value[...] = loss.leaf_values(counts)
+
+        def count(part: Iterator[Chunk]) -> np.ndarray | None:
+            found = leaf_counts(part, loss, recent, trees, number, growth)
+            return None if found is None else found.reshape(places, *found.shape[2:])
+
+        def value(place: int, counts: np.ndarray) -> np.ndarray:
+            own = place % loss.outputs
+            return loss.leaf_values(counts[None, None], slice(own, own + 1))[0, 0]
+
+        trees.value[...] = _added(chunks, count, value).reshape(*shape, splits + 1)
     else:
-        total = sums[..., 0, :, :].sum(axis=-2)
+        left, total = rows[..., 2:5], rows[..., 5:]
         ends = np.stack([left, total - left], axis=3).reshape(*shape, splits + 1, 3)
         trees.value[...] = np.divide(-ends[..., 0], ends[..., 1], out=np.zeros(ends.shape[:-1]), where=ends[..., 1] > 1e-3)
     return trees
