@@ -1,6 +1,9 @@
 import datetime as dt
 import os
 
+import numpy as np
+import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.functions.calendar import epoch_to_date
@@ -8,6 +11,7 @@ from tickerloom.operators import bars as B
 from tickerloom.operators.returns import market_factor
 from tickerloom.sources import candles as N
 from tickerloom.sources import payloads as P
+from tickerloom.sources import star
 from tickerloom.sources import tables as T
 from tickerloom.workspace import fresh_path, stage
 
@@ -138,3 +142,31 @@ def test_repeated_days_of_the_bridge_do_not_multiply_rows(spark):
     assert [(r.close_usd, r.volume_usd) for r in got] == [(200.0, 300.0)]
     scored = spark.createDataFrame([("BTCUSDT", day, 0.1), ("BTCUSDT", day, 0.2), ("XBTC", day, 0.3)], "symbol string, date date, daily_return double")
     assert [tuple(r) for r in market_factor(scored).collect()] == [(day, 0.2)]
+
+
+def test_only_trades_of_the_first_and_last_order_are_sorted(spark, tmp_path, monkeypatch):
+    """All other figures of a bar come from hash tables, and ends that share an order are told apart by the rest of the key."""
+    rng = np.random.default_rng(5)
+    keys = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity"]
+    trades = pd.DataFrame({k: rng.integers(1, m, 400) for k, m in zip(keys, (12, 3, 5, 3, 900, 9))}).astype({keys[4]: float, keys[5]: float})
+    trades["l_orderkey"] = trades["l_orderkey"].astype("Int64").mask(rng.random(400) < 0.02)
+    trades["l_shipdate"] = pd.to_datetime("2024-01-01") + pd.to_timedelta(rng.integers(0, 6, 400), "D")
+    trades["l_shipdate"] = trades["l_shipdate"].astype("datetime64[us]")
+    parts = pd.DataFrame({"p_partkey": [1, 2, 3, 4], "p_brand": ["Brand#1", "Brand#2", "Brand#2", "Brand#22"]})
+    for name, table in (("lineitem", trades), ("part", parts)):
+        table.to_parquet(tmp_path / f"{name}.parquet")
+    seen = []
+    monkeypatch.setattr(star, "stage", lambda df, name: seen.append(df) or stage(df, name))
+    got = {(r.symbol, r.date): r for r in star.bars(spark, str(tmp_path)).collect()}
+    assert all("SortAggregate" not in df._jdf.queryExecution().toString() for df in seen) and len(seen) == 1
+    want = trades.merge(parts, left_on="l_partkey", right_on="p_partkey")
+    want["px"] = (want["l_extendedprice"] / want["l_quantity"]) ** 0.25
+    symbols = {"Brand#1": "BTCUSDT", "Brand#2": "B2USDT", "Brand#22": "B22BTC"}
+    groups = want.groupby(["p_brand", "l_shipdate"])
+    assert len(got) == len(groups)
+    for (brand, day), rows in groups:
+        bar, rows = got[symbols[brand], day.date()], rows.sort_values(keys, na_position="first")
+        prices = rows["px"].to_list()
+        assert (bar.open, bar.close) == pytest.approx((prices[0], prices[-1]))
+        assert (bar.high, bar.low, bar.volume) == pytest.approx((max(prices), min(prices), rows["l_quantity"].sum()))
+        assert bar.quote_asset_volume == pytest.approx(rows["l_extendedprice"].sum()) and bar.number_of_trades == len(rows)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.workspace import settle
+from tickerloom.workspace import settle, stage
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,8 +15,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def bars(spark: SparkSession, folder: str) -> DataFrame:
     """One bar per brand and shipping day; brands 1-20 are USD series, 21-25 are quoted in the bridge asset.
 
-    First and last trade are picked by ``min_by``/``max_by`` on the full sort key, so the aggregation combines on
-    the map side and no window over a brand's raw trades is needed.
+    Sums, extremes and the first and last order are plain numbers, so they are added up in hash tables of a row per bar
+    before anything is shuffled or sorted. First and last trade are then picked by ``min_by``/``max_by`` on the full sort key
+    among the trades of these two orders alone: that aggregation sorts its rows, which all trades of a task would be too many for.
     """
     trades = table(spark, folder, "lineitem").join(
         table(spark, folder, "part").select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey")
@@ -36,21 +37,25 @@ def bars(spark: SparkSession, folder: str) -> DataFrame:
         .when(F.col("n") <= 20, F.concat(F.lit("B"), n, F.lit("USDT")))
         .otherwise(F.concat(F.lit("B"), n, F.lit("BTC")))
     )
-    return (
-        priced.groupBy("n", "date")
-        .agg(
-            F.min_by("px", "seq").alias("open"),
+    order = F.col("seq.l_orderkey")
+    summed = stage(
+        priced.groupBy("n", "date").agg(
             F.max("px").alias("high"),
             F.min("px").alias("low"),
-            F.max_by("px", "seq").alias("close"),
             F.sum("qty").alias("volume"),
             F.round(F.sum("amt"), 2).alias("quote_asset_volume"),
             F.count(F.lit(1)).alias("number_of_trades"),
-        )
-        .select(
-            symbol.alias("symbol"), "date", "open", "high", "low", "close", "volume",
-            "quote_asset_volume", "number_of_trades",
-        )
+            F.when(F.count(order) == F.count(F.lit(1)), F.min(order)).alias("first"),  # an order without a key comes first
+            F.max(order).alias("last"),
+        ),
+        "summed",
+    )
+    bounds = summed.select(F.col("n").alias("_n"), F.col("date").alias("_date"), "first", "last")
+    same = F.col("n").eqNullSafe(F.col("_n")) & F.col("date").eqNullSafe(F.col("_date"))
+    ends = priced.join(bounds, same & (order.eqNullSafe(F.col("first")) | order.eqNullSafe(F.col("last"))))
+    ends = ends.groupBy("_n", "_date").agg(F.min_by("px", "seq").alias("open"), F.max_by("px", "seq").alias("close"))
+    return summed.join(ends, same).select(
+        symbol.alias("symbol"), "date", "open", "high", "low", "close", "volume", "quote_asset_volume", "number_of_trades"
     )
 
 
