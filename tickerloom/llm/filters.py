@@ -20,8 +20,8 @@ def key_filter(keys: DataFrame, column: str, bits: int = BITS) -> np.ndarray:
         F.shiftright("p", 6).alias("word"), F.expr("shiftleft(1L, cast(p & 63 as int))").alias("bit")
     )
     table = np.zeros(1 << (bits - 6), np.uint64)
-    for row in words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toLocalIterator():
-        table[row["word"]] = np.uint64(row["bits"] & 0xFFFFFFFFFFFFFFFF)
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()  # one job, and no row objects
+    table[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
     return table
 
 

@@ -308,6 +308,28 @@ def owners(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray, first: np.nd
     return result, out
 
 
+def covered(
+    live: np.ndarray, kind: np.ndarray, out: np.ndarray, keeper: np.ndarray, limit: np.ndarray, most: int = 1 << 20
+) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Runs of windows whose ``keeper`` is below the ``limit`` of their occurrence, as ``(occurrence, first, last)``, for some
+    occurrences at a time. ``kind`` is an occurrence's segment, whose windows are ``out[kind]..out[kind + 1]``. About ``most``
+    windows are laid out at once, however often a segment occurs."""
+    sizes = (out[1:] - out[:-1])[kind[live]]
+    upto = np.cumsum(sizes)
+    cuts = np.unique(np.searchsorted(upto, np.arange(0, (upto[-1] if len(upto) else 0) + most, most), side="right"))
+    for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        some, count = live[x:y], sizes[x:y]
+        base = np.cumsum(count) - count
+        spot = np.repeat(out[kind[some]] - base, count) + np.arange(count.sum())
+        flag = keeper[spot] < np.repeat(limit[some], count)
+        firsts = np.zeros(len(flag), bool)
+        firsts[base] = True
+        opens = np.flatnonzero(flag & (firsts | np.concatenate(([True], ~flag[:-1]))))
+        closes = np.flatnonzero(flag & np.concatenate((firsts[1:] | ~flag[1:], [True])))
+        owner = np.searchsorted(base, opens, side="right") - 1
+        yield some[owner], opens - base[owner], closes - base[owner]
+
+
 def _removed(candidates: DataFrame, settings: RepeatSettings) -> DataFrame:
     """``order, hash, spans``: byte ranges (start and end, 64 bits each) to remove, one row per document and bucket."""
 
@@ -327,7 +349,7 @@ def _removed(candidates: DataFrame, settings: RepeatSettings) -> DataFrame:
                     store.append(value)
         if not count:
             return
-        data, sizes, piece, start, who, order, names = (np.concatenate(p) for p in parts)
+        data, sizes, piece, start, who, order, names = (np.concatenate(parts.pop(0)) for _ in kinds)
         sizes = sizes.astype(np.int64)
         starts = np.cumsum(sizes) - sizes
         # equal segments are sorted once, for their smallest document
@@ -361,19 +383,14 @@ def _removed(candidates: DataFrame, settings: RepeatSettings) -> DataFrame:
                 spot = np.repeat(out[chosen] - inner[:-1], np.diff(inner)) + np.arange(inner[-1])
                 keeper[spot] = least
         # windows of every occurrence whose string starts in a smaller document, as ranges of bytes
-        live = np.flatnonzero(np.minimum.reduceat(keeper, out[:-1])[kind] < order[who])
-        count_ = windows[kind[live]]
-        base = np.cumsum(count_) - count_
-        spot = np.repeat(out[kind[live]] - base, count_) + np.arange(count_.sum())
-        flag = keeper[spot] < np.repeat(order[who[live]], count_)
-        firsts = np.zeros(len(flag), bool)
-        firsts[base] = True
-        opens = np.flatnonzero(flag & (firsts | np.concatenate(([True], ~flag[:-1]))))
-        closes = np.flatnonzero(flag & np.concatenate((firsts[1:] | ~flag[1:], [True])))
-        owner = np.searchsorted(base, opens, side="right") - 1
-        a = start[live][owner] + opens - base[owner]
-        b = start[live][owner] + closes - base[owner] + settings.length
-        doc = who[live][owner]
+        del data, starts, sizes, piece, named, by, new
+        limit = order[who]
+        live = np.flatnonzero(np.minimum.reduceat(keeper, out[:-1])[kind] < limit)
+        found = list(covered(live, kind, out, keeper, limit))
+        if not found:
+            return
+        owner, opens, closes = (np.concatenate(f) for f in zip(*found))
+        a, b, doc = start[owner] + opens, start[owner] + closes + settings.length, who[owner]
         by = np.lexsort((a, doc))
         spans, doc = np.column_stack([a[by], b[by]]), doc[by]
         edges = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.zeros(0, np.int64)
@@ -422,16 +439,12 @@ def drop_repeats(docs: DataFrame, settings: RepeatSettings | None = None) -> Dat
     keyed = _with_keys(docs).withColumn("place", place_of("hash"))
     table = key_filter(spans.select("hash").distinct(), "hash")
 
-    def touched(wanted: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                hit = passes(table, batch.column("place").to_numpy())
-                yield batch.filter(pa.array(hit if wanted else ~hit))
-
-        return run
+    def touched(batches: Iterator[pa.RecordBatch], wanted: bool = True) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hit = passes(table, batch.column("place").to_numpy())
+            yield batch.filter(pa.array(hit if wanted else ~hit))
 
-    whole = keyed.mapInArrow(touched(False), keyed.schema).select("doc_id", "text", F.lit(None).cast("array<binary>").alias("spans"))
-    cut = keyed.mapInArrow(touched(True), keyed.schema).join(found, ["order", "hash"], "left").select("doc_id", "text", "spans")
+    cut = keyed.mapInArrow(touched, keyed.schema).join(found, ["order", "hash"], "left").select("doc_id", "text", "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -452,9 +465,16 @@ def drop_repeats(docs: DataFrame, settings: RepeatSettings | None = None) -> Dat
                     ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"],
                 )
 
+    def untouched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Both steps in one worker, since a stage with two keeps two of them a core."""
+        for batch in touched(batches, False):
+            none = pa.nulls(batch.num_rows, pa.list_(pa.binary()))
+            yield from remove(iter([batch.select(["doc_id", "text"]).append_column("spans", none)]))
+
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept binary"
-    return whole.mapInArrow(remove, schema).unionByName(cut.mapInArrow(remove, schema))
+    whole = keyed.select("doc_id", "text", "place").mapInArrow(untouched, schema)
+    return whole.unionByName(cut.mapInArrow(remove, schema))
 
 
 def op4_repeats(spark: SparkSession, folder: str) -> DataFrame:

@@ -43,7 +43,7 @@ _POWERS = Cache()
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, BLOCK_BYTES + 1)
+        size = 1 << max(n - 1, 1 << 16).bit_length()  # doubled as blocks ask for more
         for name, base in (("up", _BASE), ("down", _INVERSE)):
             table = np.full(size, base, np.uint64)
             table[0] = 1
