@@ -17,13 +17,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm.filters import key_filter, passes, place_of
+from tickerloom.llm.filters import semi_filter
 from tickerloom.llm.linkage import link_buckets
 from tickerloom.llm.words import blocks, mix, shingle_sets
 from tickerloom.workspace import stage
 
 
 PARTS = 32
+BLOCK = 1 << 19  # bytes of text a task works on at a time
 #: What names a node: its number, the smallest id of a row with its set, and the set's 128-bit name.
 NAME = ["node", "first", "s1", "s2"]
 
@@ -115,7 +116,7 @@ def _sketches(docs: DataFrame, settings: NearSettings) -> DataFrame:
     """Per row: ``doc_id, n_shingles``, the 128-bit name of its set (``s1, s2``) and its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches):
+        for block in blocks(batches, limit=BLOCK):
             values, offsets = shingle_sets(block.column("text"), settings.words)
             kept = registers_of(values, offsets, settings)
             packed = [kept[i].tobytes() for i in range(len(kept))]
@@ -168,22 +169,19 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, settings: NearSettings) -> Da
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: NearSettings) -> DataFrame:
     """``node, members`` (sorted hashes, packed): one row per wanted node (``node, first, s1, s2``), with the set of that name,
-    read from a row with the id ``first``. Sets are made only for texts that pass a fixed-size filter of those ids."""
-    table = key_filter(wanted, "first")
+    read from a row with the id ``first``. Only texts that pass a fixed-size filter of those ids leave Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            batch = batch.filter(pa.array(passes(table, batch.column("place").to_numpy())))
-            for block in blocks(iter([batch])):
-                values, offsets = shingle_sets(block.column("text"), settings.words)
-                packed = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
-                yield pa.RecordBatch.from_arrays(
-                    [block.column("doc_id"), *_names(values, offsets), pa.array(packed, pa.binary())],
-                    ["first", "s1", "s2", "members"],
-                )
+        for block in blocks(batches, limit=BLOCK):
+            values, offsets = shingle_sets(block.column("text"), settings.words)
+            packed = [values[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist())]
+            yield pa.RecordBatch.from_arrays(
+                [block.column("doc_id"), *_names(values, offsets), pa.array(packed, pa.binary())],
+                ["first", "s1", "s2", "members"],
+            )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    texts = docs.filter("doc_id is not null").select("doc_id", "text", place_of("doc_id").alias("place"))
+    texts = semi_filter(docs.filter("doc_id is not null").select("doc_id", "text"), "doc_id", wanted, "first")
     sets = texts.mapInArrow(run, f"first {kind}, s1 long, s2 long, members binary")
     found = sets.join(wanted, ["first", "s1", "s2"]).select("node", "members")
     return found.dropDuplicates(["node"])
