@@ -146,7 +146,8 @@ def _banded(nodes: DataFrame, settings: NearSettings) -> DataFrame:
 
 
 def _estimated(pairs: DataFrame, nodes: DataFrame, settings: NearSettings) -> DataFrame:
-    """Pairs whose estimate, within ``slack`` standard errors, and whose set sizes can reach the threshold."""
+    """Pairs whose estimate, within ``slack`` standard errors, and whose set sizes can reach the threshold, with what names
+    their nodes (``x, y``)."""
     goal = settings.percent / 100
     least = goal - settings.slack * math.sqrt(goal * (1 - goal) / settings.registers)
 
@@ -160,11 +161,12 @@ def _estimated(pairs: DataFrame, nodes: DataFrame, settings: NearSettings) -> Da
                 n, m = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("na", "nb"))
                 guess = estimated_similarity((left == right).sum(axis=1), n, m, settings)
                 keep = (guess >= least) & (100 * np.minimum(n, m) >= settings.percent * np.maximum(n, m))
-                yield batch.select(["a", "b"]).filter(pa.array(keep))
+                yield batch.select(["a", "b", "x", "y"]).filter(pa.array(keep))
 
-    side = nodes.select("node", "n_shingles", "registers")
-    named = pairs.join(side.toDF("a", "na", "ra"), "a").join(side.toDF("b", "nb", "rb"), "b")
-    return named.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(run, "a long, b long")
+    side = nodes.select("node", "n_shingles", "registers", F.struct(*NAME).alias("name"))
+    name = side.schema["name"].dataType.simpleString()
+    named = pairs.join(side.toDF("a", "na", "ra", "x"), "a").join(side.toDF("b", "nb", "rb", "y"), "b")
+    return named.select("a", "b", "na", "nb", "ra", "rb", "x", "y").mapInArrow(run, f"a long, b long, x {name}, y {name}")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, settings: NearSettings) -> DataFrame:
@@ -231,11 +233,10 @@ def _can_reach(settings: NearSettings):
     return possible
 
 
-def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold."""
+def _verified(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
+    """Those of the estimated pairs whose full shingle sets reach the threshold."""
     pairs = stage(pairs, "estimated")
-    wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
-    wanted = nodes.select(*NAME).join(wanted, "node", "left_semi")
+    wanted = pairs.select(F.inline(F.array("x", "y"))).distinct()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +250,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, settings: Nea
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     members = stage(_sets(docs, wanted, settings), "members")
-    named = pairs.join(members.toDF("a", "ma"), "a").join(members.toDF("b", "mb"), "b")
+    named = pairs.select("a", "b").join(members.toDF("a", "ma"), "a").join(members.toDF("b", "mb"), "b")
     return named.select("a", "b", "ma", "mb").mapInArrow(compare, "a long, b long")
 
 
@@ -288,15 +289,15 @@ def near_duplicates(docs: DataFrame, settings: NearSettings | None = None) -> Da
     buckets = stage(_banded(nodes, settings), "bands")
     found = link_buckets(
         buckets,
-        lambda pairs: _verified(_estimated(pairs, nodes, settings), nodes, docs, settings),
+        lambda pairs: _verified(_estimated(pairs, nodes, settings), docs, settings),
         lambda open_nodes: _common(nodes.select(*NAME).join(open_nodes, "node", "left_semi"), docs, settings),
         _can_reach(settings),
         _same_document(live, nodes),
     )
     # numbers follow the ids, so a class's smallest node has its smallest id
     heads = nodes.select(F.col("node").alias("component"), F.col("first").alias("linked"))
-    linked = nodes.select("node", "s1", "s2").join(found, "node").join(heads, "component").select("s1", "s2", "linked")
-    named = nodes.select("s1", "s2", "first").join(linked, ["s1", "s2"], "left")
+    linked = found.join(heads, "component").select("node", "linked")
+    named = nodes.select("node", "s1", "s2", "first").join(linked, "node", "left")
     classes = named.select("s1", "s2", F.coalesce("linked", "first").alias("linked"))
     joined = sketches.select("doc_id", "n_shingles", "s1", "s2").join(classes, ["s1", "s2"], "left")
     component = F.when(F.col("n_shingles") > 0, F.coalesce("linked", "doc_id")).otherwise(F.col("doc_id"))

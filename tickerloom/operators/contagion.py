@@ -217,7 +217,7 @@ def _smallest_neighbour(edges: DataFrame) -> DataFrame:
 
 
 def _both_directions(edges: DataFrame) -> DataFrame:
-    return edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    return edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -231,31 +231,35 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of a node, and the node itself, are linked to the smallest of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     linked = down.join(_smallest_neighbour(down), "u")
-    others = linked.select(F.col("v").alias("u"), F.col("m").alias("v"))
-    own = linked.select("u", F.col("m").alias("v"))
-    return others.unionByName(own).filter("u <> v").distinct()
+    smallest = F.col("m").alias("v")
+    both = F.array(F.struct(F.col("v").alias("u"), smallest), F.struct("u", smallest))
+    return linked.select(F.inline(both)).filter("u <> v").distinct()
 
 
 def _is_star_forest(edges: DataFrame) -> bool:
     """Every node points at a root, that is no node that is pointed at points further, and none at two roots."""
-    pointed_at = edges.select(F.col("v").alias("u"))
-    further = edges.join(pointed_at, "u", "left_semi").select("u")
-    split = edges.groupBy("u").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("u")
-    return further.unionByName(split).isEmpty()
+    start = F.struct(F.col("u").alias("node"), F.lit(1).alias("out"), F.lit(0).alias("in"))
+    end = F.struct(F.col("v").alias("node"), F.lit(0).alias("out"), F.lit(1).alias("in"))
+    degrees = edges.select(F.inline(F.array(start, end))).groupBy("node").agg(F.sum("out").alias("out"), F.sum("in").alias("in"))
+    return degrees.filter("out > 1 or (out > 0 and in > 0)").isEmpty()
 
 
-def connected_components(edges: DataFrame) -> DataFrame:
-    """Component label (smallest member) of every node that has an edge.
+def star_forest(edges: DataFrame) -> DataFrame:
+    """``u, v``: each node of the stored ``edges`` (``u, v``) with the smallest node of its component, which itself has no row.
 
     Alternates the large-star and small-star steps of Kiveris et al., "Connected Components in MapReduce and
     Beyond" (2014). The number of edges never grows, the groups are reduced by aggregation and never collected, and
     each round's edges are written to the shared folder, so neither hubs nor lost executors hurt.
     """
-    current = stage(edges.select(F.col("symbol_a").alias("u"), F.col("symbol_b").alias("v")).distinct(), "edges")
     while True:  # each round links nodes to smaller ones, so this ends
-        current = stage(_small_star(_large_star(current)), "edges")
-        if _is_star_forest(current):
-            break
+        edges = stage(_small_star(_large_star(edges)), "edges")
+        if _is_star_forest(edges):
+            return edges
+
+
+def connected_components(edges: DataFrame) -> DataFrame:
+    """Component label (smallest member) of every node that has an edge, see :func:`star_forest`."""
+    current = star_forest(stage(edges.select(F.col("symbol_a").alias("u"), F.col("symbol_b").alias("v")).distinct(), "edges"))
     members = current.select(F.col("u").alias("symbol"), F.col("v").alias("cluster"))
     roots = current.select(F.col("v").alias("symbol"), F.col("v").alias("cluster")).distinct()
     return members.unionByName(roots)
