@@ -1,9 +1,12 @@
-"""Classes from buckets: the same with links that come late, and few jobs without any."""
+"""Classes from buckets: the same with links that come late, few jobs without any, and joins that the JVM compiles."""
+
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.llm.linkage import link_buckets
+from tickerloom.llm import hyperminhash, line_dedup
+from tickerloom.llm.linkage import _crossing_pairs, _leader_pairs, link_buckets
 from tickerloom.workspace import stage
 
 
@@ -32,3 +35,28 @@ def test_links_found_late_join_the_classes(spark, classes):
     rows = [(0, n) for n in range(4 * classes)] + [(1, n) for n in range(1, 4 * classes, 2)]
     got, _ = linked(spark, rows, f"{{0}} % {classes}")
     assert got == {n: n % classes for n in range(4 * classes)}
+
+
+@pytest.mark.parametrize("pairs", [_leader_pairs, _crossing_pairs])
+@pytest.mark.parametrize(
+    "possible, names",
+    [
+        (hyperminhash._can_reach(hyperminhash.NearSettings()), [f"p{k}" for k in range(hyperminhash.PARTS)]),
+        (line_dedup._may_be_near(2), list(line_dedup.LETTERS)),
+    ],
+)
+def test_bounds_of_pairs_are_short_enough_to_be_compiled(spark, capsys, pairs, possible, names):
+    """The JVM interprets methods of more than 8,000 bytes however often they run."""
+    facts = F.struct(F.lit(100).cast("long").alias("size"), *[F.lit(3).alias(c) for c in names])
+    rows = spark.range(40).select(F.col("id").alias("node"), F.col("id").alias("component"), F.expr("id % 4 AS bucket"), facts.alias("facts"))
+    rows = stage(rows, "rows")
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = pairs(rows, possible)
+        found.collect()  # the plan that ran has the code
+        found.explain("codegen")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    sizes = [int(x) for x in re.findall(r"maxMethodCodeSize:(\d+)", capsys.readouterr().out)]
+    assert sizes and max(sizes) <= 8000

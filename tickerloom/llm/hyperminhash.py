@@ -185,8 +185,8 @@ def _sets(docs: DataFrame, wanted: DataFrame, settings: NearSettings) -> DataFra
     kind = docs.schema["doc_id"].dataType.simpleString()
     texts = semi_filter(docs.filter("doc_id is not null").select("doc_id", "text"), "doc_id", wanted, "first")
     sets = texts.mapInArrow(run, f"first {kind}, s1 long, s2 long, members binary")
-    found = sets.join(wanted, ["first", "s1", "s2"]).select("node", "members")
-    return found.dropDuplicates(["node"])
+    found = sets.join(wanted, ["first", "s1", "s2"])
+    return found.dropDuplicates(["first", "s1", "s2"]).select("node", "members")  # a node has one name: no shuffle of its own
 
 
 def _shingles(sets: DataFrame) -> DataFrame:
@@ -225,10 +225,10 @@ def _can_reach(settings: NearSettings):
     ``high`` bound the counts of one or several sets."""
 
     def possible(x, low, high):
-        shared = F.least(x["p0"], high["p0"])
+        shared = F.least(x["p0"], high["p0"]).cast("double")  # holds counts exactly, and takes less code than checked sums
         for k in range(1, PARTS):
             shared = shared + F.least(x[f"p{k}"], high[f"p{k}"])
-        return 100 * shared >= settings.percent * (x["size"] + low["size"] - shared)
+        return (100 + settings.percent) * shared >= settings.percent * (x["size"] + low["size"])
 
     return possible
 
@@ -236,7 +236,7 @@ def _can_reach(settings: NearSettings):
 def _verified(pairs: DataFrame, docs: DataFrame, settings: NearSettings) -> DataFrame:
     """Those of the estimated pairs whose full shingle sets reach the threshold."""
     pairs = stage(pairs, "estimated")
-    wanted = pairs.select(F.inline(F.array("x", "y"))).distinct()
+    wanted = pairs.select(F.inline(F.array("x", "y"))).dropDuplicates(["first", "s1", "s2"])  # dealt as the join needs them
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -39,9 +39,16 @@ def _pairs(rows: DataFrame, leader: str) -> DataFrame:
     return pairs.select(F.least(leader, "node").alias("a"), F.greatest(leader, "node").alias("b")).distinct()
 
 
+def _definite(rows: DataFrame) -> DataFrame:
+    """The same rows with facts that cannot be null. Spark then leaves out the tests for nulls; with them the code of a join on
+    ``possible`` is a method of over 8,000 bytes, which the JVM interprets for every pair and never compiles."""
+    names = rows.schema["facts"].dataType.names
+    return rows.withColumn("facts", F.struct(*[F.coalesce(f"facts.{c}", F.lit(0)).alias(c) for c in names]))
+
+
 def _leader_pairs(rows: DataFrame, possible: Possible) -> DataFrame:
     """Members of each open bucket paired with six members of other classes, picked by hash."""
-    member = F.struct("node", "component", "facts")
+    rows, member = _definite(rows), F.struct("node", "component", "facts")
     picks = []
     for salt in range(3):
         order = F.struct(F.xxhash64("node", "bucket", F.lit(salt)), F.col("node"))
@@ -54,6 +61,7 @@ def _leader_pairs(rows: DataFrame, possible: Possible) -> DataFrame:
 
 def _crossing_pairs(rows: DataFrame, possible: Possible) -> DataFrame:
     """All pairs of different classes in one bucket that are possible: first a node against a class, then the two nodes."""
+    rows = _definite(rows)
     names = rows.schema["facts"].dataType.names
     bounds = [F.struct(*[f(F.col(f"facts.{c}")).alias(c) for c in names]).alias(k) for f, k in ((F.min, "low"), (F.max, "high"))]
     classes = rows.groupBy("bucket", F.col("component").alias("other")).agg(*bounds).withColumnRenamed("bucket", "in")
